@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gaugeframe.queries import scans
+from gaugeframe.queries import features, scans
 
-MODULES = (scans,)
+MODULES = (scans, features)
 
 
 def all_queries() -> dict:
