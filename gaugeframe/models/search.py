@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from itertools import product
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.models.linear import fit_linear
@@ -45,6 +45,11 @@ _TYPES = {"seq_length": "int", "hidden_units": "int", "num_layers": "int", "drop
 GRID_COLUMNS = list(_TYPES)
 
 
+def config_key() -> Column:
+    """One text per setting; a setting that does not apply counts as ``-``."""
+    return F.concat_ws("|", "model_type", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in GRID_COLUMNS])
+
+
 def param_grid(spark: SparkSession) -> DataFrame:
     """All settings of the searched families: (config_id, model_type, settings), NULL where a setting does not apply."""
     parts = None
@@ -57,8 +62,7 @@ def param_grid(spark: SparkSession) -> DataFrame:
             *[(F.col(c) if c in grid else F.lit(None)).cast(t).alias(c) for c, t in _TYPES.items()],
         )
         parts = part if parts is None else parts.unionByName(part)
-    key = F.concat_ws("|", "model_type", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in GRID_COLUMNS])
-    return parts.withColumn("config_id", key)
+    return parts.withColumn("config_id", config_key())
 
 
 def _fit(config: dict, frame: DataFrame, n_features: int, budget: int | None = None):

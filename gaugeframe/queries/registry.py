@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gaugeframe.queries import features, scans
+from gaugeframe.queries import features, ordering, scans
 
-MODULES = (scans, features)
+MODULES = (scans, features, ordering)
 
 
 def all_queries() -> dict:
