@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gaugeframe.queries import features, ordering, scans
+from gaugeframe.queries import features, ordering, reporting, scans
 
-MODULES = (scans, features, ordering)
+MODULES = (scans, features, ordering, reporting)
 
 
 def all_queries() -> dict:
