@@ -17,10 +17,8 @@ def fit_nonlinear(
     seed: int = 0,
 ) -> GBTRegressionModel:
     """Boosted trees. ``validation`` names a boolean column: rows that decide when to stop early."""
-    booster = GBTRegressor(
-        featuresCol="features", labelCol="y", maxDepth=max_depth, maxIter=max_iter, stepSize=step, seed=seed
-    )
+    settings = {"featuresCol": "features", "labelCol": "y", "maxDepth": max_depth, "maxIter": max_iter, "stepSize": step, "seed": seed}
     if validation:
-        booster = booster.setValidationIndicatorCol(validation).setValidationTol(tolerance)
+        settings |= {"validationIndicatorCol": validation, "validationTol": tolerance}
         frame = frame.withColumn(validation, F.coalesce(validation, F.lit(False)))
-    return booster.fit(frame)
+    return GBTRegressor(**settings).fit(frame)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gaugeframe.queries import features, ordering, reporting, scans
+from gaugeframe.queries import features, modeling, ordering, reporting, scans
 
-MODULES = (scans, features, ordering, reporting)
+MODULES = (scans, features, ordering, reporting, modeling)
 
 
 def all_queries() -> dict:
