@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def try_double(col: Column) -> Column:
     """DOUBLE, or NULL where the text does not parse; NaN counts as missing."""
-    value = col.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(col.try_cast("double"), F.lit(None).cast("double"))
 
 
 def exact_round(x: Column, digits: int) -> Column:

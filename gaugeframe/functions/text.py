@@ -58,7 +58,7 @@ def stat_suffix(name: Column) -> Column:
 
 def null_literal(col: Column) -> Column:
     """The text ``null`` and blanks as NULL."""
-    return F.nullif(F.nullif(F.trim(col), F.lit("null")), F.lit(""))
+    return F.when(~F.trim(col).isin("null", ""), col)
 
 
 def short_label(text: Column, width: int = 10) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.text import classify_model
-from gaugeframe.operators.metrics import loss_log_cosh, loss_mse
+from gaugeframe.operators.metrics import eval_losses
 
 
 def guard_width(sequences: DataFrame, n_features: int, x: str = "X") -> DataFrame:
@@ -77,19 +77,7 @@ def attention_pool(
 
 def evaluate_model(model: JavaModel, frame: DataFrame) -> DataFrame:
     """Both losses, mse, mae and r2 of a model on held-out sequences."""
-    from gaugeframe.operators.metrics import eval_metrics_scaled
-
-    scored = model.setPredictionCol("prediction").transform(frame).select("y", "prediction")
-    losses = scored.agg(
-        F.struct(
-            loss_mse(F.col("y"), F.col("prediction")).alias("mse"),
-            loss_log_cosh(F.col("y"), F.col("prediction")).alias("log_cosh"),
-        ).alias("l")
-    ).scalar()
-    table = eval_metrics_scaled(scored).withColumn("_l", losses)
-    return table.select(
-        F.col("_l")["mse"].alias("loss_mse"), F.col("_l")["log_cosh"].alias("loss_log_cosh"), "mse", "mae", "r2"
-    )
+    return eval_losses(model.setPredictionCol("prediction").transform(frame).select("y", "prediction"))
 
 
 def save_model(spark: SparkSession, name: str, model: JavaMLWritable, folder: str) -> None:

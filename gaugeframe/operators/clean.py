@@ -87,7 +87,7 @@ def null_literal_clean(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """The text ``null`` to NULL, metrics to numbers, rows with any NULL dropped."""
     typed = df.select(
         *[
-            (try_double(null_literal(F.col(c))) if c in metrics else null_literal(F.col(c))).alias(c)
+            (try_double(F.col(c)) if c in metrics else null_literal(F.col(c))).alias(c)
             for c in df.columns
         ]
     )

@@ -21,17 +21,23 @@ from gaugeframe.schemas import (
 from gaugeframe.sources.windows import sample_means
 
 
+def _within(samples: str, n_samples: int, value: Column) -> Column:
+    """``value``, or an error for a window longer than the layout: no sub-sample is dropped silently."""
+    message = F.lit(f"a window has more than {n_samples} sub-samples; raise n_samples")
+    return F.when(F.size(samples) > n_samples, F.raise_error(message)).otherwise(value)
+
+
 def flatten_samples(
     windows: DataFrame, layout: str = "new", n_samples: int = SAMPLES_PER_WINDOW, samples: str = "samples"
 ) -> DataFrame:
     """Sub-samples as columns f0..fK in key order; missing sub-samples give NULL.
 
     The layout fixes the number of columns, so no pass over the data is needed for it.
-    Size ``n_samples`` to the longest window of the feed.
+    Size ``n_samples`` to the longest window of the feed; a longer one is an error.
     """
     metrics = METRICS[layout]
     columns = {
-        f"f{i * len(metrics) + j}": F.get(F.col(samples), F.lit(i))["v"][metric]
+        f"f{i * len(metrics) + j}": _within(samples, n_samples, F.get(F.col(samples), F.lit(i))["v"][metric])
         for i in range(n_samples)
         for j, metric in enumerate(metrics)
     }

@@ -83,36 +83,29 @@ def window_starts(spark: SparkSession, start: str, n: int) -> DataFrame:
 def generate_windows(
     starts: DataFrame, seed: int = 0, inference: bool = False, n_samples: int = SAMPLES_PER_WINDOW
 ) -> DataFrame:
-    """Windows of ``n_samples`` sub-samples two seconds apart, built inside the row without a shuffle.
+    """Windows of ``n_samples`` sub-samples two seconds apart from (window_id, start_ts).
 
     The window time is that of its last sub-sample; ``inference`` leaves the target NULL.
+    Sub-samples are rows while they are drawn, which keeps that work in generated code; the
+    rows of a window lie in one task and are folded there before the shuffle.
     """
-    at = lambda j: F.timestamp_seconds(F.unix_seconds(F.col("start_ts").cast("timestamp")) + j * SAMPLE_SECONDS)
-    key = lambda j: F.col("window_id") * n_samples + j
-    rows = F.sequence(F.lit(0), F.lit(n_samples - 1))
-    staged = (
-        starts.withColumn("_d", F.transform(rows, lambda j: F.struct(at(j).alias("at"), _digests(key(j), seed).alias("d"))))
-        .withColumn("_u", F.transform("_d", lambda s: F.struct(s["at"].alias("at"), _spread(_raw(s["d"])).alias("s"))))
-        .withColumn(
-            "_m",
-            F.transform(
-                "_u", lambda s: F.struct(s["at"].alias("at"), _measured(s["s"], peak_hour(F.hour(s["at"]))).alias("m"))
-            ),
-        )
-        .withColumn("_q", F.transform("_m", lambda s: _score(s["m"])))
+    slots = starts.select("window_id", "start_ts", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_slot"))
+    first = F.unix_seconds(F.col("start_ts").cast("timestamp"))
+    rows = slots.select(
+        "window_id",
+        (F.col("window_id") * n_samples + F.col("_slot")).alias("_key"),
+        F.timestamp_seconds(first + F.col("_slot") * SAMPLE_SECONDS).alias("ts"),
     )
-    mean = F.aggregate("_q", F.lit(0.0), lambda acc, q: acc + q) / float(n_samples)
-    samples = F.transform(
-        "_m",
-        lambda s: F.struct(
-            ts_digits(s["at"]).alias("key"), F.struct(*[s["m"][m].alias(m) for m in METRICS["new"]]).alias("v")
-        ),
+    value = F.struct(*[F.col(m) for m in METRICS["new"]])
+    folded = generate_measurements(rows, "_key", seed=seed).groupBy("window_id").agg(
+        F.max("ts").alias("ts"),
+        F.sort_array(F.collect_list(F.struct("_key", "ts", value.alias("v"), "qoe"))).alias("_rows"),
     )
-    ts = at(F.lit(n_samples - 1))
-    return staged.select(
+    mean = F.aggregate("_rows", F.lit(0.0), lambda acc, s: acc + s["qoe"]) / float(n_samples)
+    return folded.select(
         "window_id",
-        F.concat(ts_digits(ts), F.lit(".json")).alias("file"),
-        ts.alias("ts"),
+        F.concat(ts_digits(F.col("ts")), F.lit(".json")).alias("file"),
+        "ts",
         (F.lit(None).cast("double") if inference else mean).alias(TARGET),
-        samples.alias("samples"),
+        F.transform("_rows", lambda s: F.struct(ts_digits(s["ts"]).alias("key"), s["v"].alias("v"))).alias("samples"),
     )

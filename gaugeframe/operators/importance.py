@@ -19,16 +19,14 @@ def parse_feature_names(weights: DataFrame) -> DataFrame:
 
 
 def _roll_up(weights: DataFrame, key: Column, name: str) -> DataFrame:
-    size = F.abs("weight")
+    """Sum per feature name first, so names are taken apart once and not per weight."""
+    named = weights.groupBy("feature").agg(F.sum(F.abs("weight")).alias("_sum"), F.count("weight").alias("_n"))
     return (
-        weights.select(key.alias(name), "weight")
+        named.select(key.alias(name), "_sum", "_n")
         .where(F.col(name).isNotNull())
         .groupBy(name)
-        .agg(
-            F.sum(size).alias("total_importance"),
-            F.count("weight").alias("n_features"),
-            F.avg(size).alias("avg_importance"),
-        )
+        .agg(F.sum("_sum").alias("total_importance"), F.sum("_n").alias("n_features"))
+        .withColumn("avg_importance", F.try_divide("total_importance", "n_features"))
     )
 
 

@@ -91,6 +91,13 @@ def eval_metrics_scaled(scored: DataFrame, truth: str = "y", prediction: str = P
     return table.select("mse", "mae", "r2")
 
 
+def eval_losses(scored: DataFrame, truth: str = "y", prediction: str = PREDICTION) -> DataFrame:
+    """Both losses with the scaled metrics."""
+    y, p = F.col(truth), F.col(prediction)
+    table = scored.agg(*_sums(y, p), loss_mse(y, p).alias("loss_mse"), loss_log_cosh(y, p).alias("loss_log_cosh"))
+    return table.withColumns(_derived()).select("loss_mse", "loss_log_cosh", "mse", "mae", "r2")
+
+
 def eval_metrics_original(
     scored: DataFrame, scaler: DataFrame, target: str, truth: str = "y", prediction: str = PREDICTION
 ) -> DataFrame:
@@ -100,6 +107,22 @@ def eval_metrics_original(
     return table.select("mse", "mae", F.col("_min_y").alias("target_min"), F.col("_max_y").alias("target_max"))
 
 
+def eval_metrics(scored: DataFrame, scaler: DataFrame, target: str, truth: str = "y", prediction: str = PREDICTION) -> DataFrame:
+    """The metrics of both spaces in one pass over the scored rows."""
+    original = inverse_scale(
+        scored.select(truth, prediction, F.col(truth).alias("_y"), F.col(prediction).alias("_p")), scaler, ["_y", "_p"], target
+    )
+    error = F.col("_p") - F.col("_y")
+    table = original.agg(
+        *_sums(F.col(truth), F.col(prediction)),
+        F.avg(error * error).alias("mse_original"),
+        F.avg(F.abs(error)).alias("mae_original"),
+        F.min("_y").alias("target_min"),
+        F.max("_y").alias("target_max"),
+    ).withColumns(_derived())
+    return table.select("mse", "mae", "r2", "mse_original", "mae_original", "target_min", "target_max")
+
+
 def file_validation_metrics(predictions: DataFrame, truth: str = TRUTH, prediction: str = PREDICTION) -> DataFrame:
     """mse, rmse, mae, r2 and bias over all validated files."""
     table = predictions.agg(*_sums(F.col(truth), F.col(prediction))).withColumns(_derived())

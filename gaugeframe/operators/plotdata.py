@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.operators.metrics import regression_metrics
 from gaugeframe.operators.ranking import melt_metrics
+from gaugeframe.session import sized
 
 # Beyond this many bandwidths a Gaussian term is exactly zero in double precision.
 _KERNEL_REACH = 39.0
@@ -29,6 +30,7 @@ def error_histogram(errors: DataFrame, bins: int = 30, groups: Sequence[str] = (
         F.when(level, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_to"),
     )
     place = F.floor((F.col(error) - F.col("_from")) / (F.col("_to") - F.col("_from")) * float(bins))
+    ends = sized(ends, "histogram")
     counts = (
         errors.where(F.col(error).isNotNull())
         .select(*groups, error)
@@ -69,6 +71,7 @@ def error_density(
         (F.col("_lo") - F.col("_h") * cut).alias("_from"),
         ((F.col("_hi") - F.col("_lo") + F.col("_h") * (2.0 * cut)) / float(points - 1)).alias("_step"),
     )
+    shape = sized(shape, "density")
     reach = F.col("_h") * _KERNEL_REACH
     first = F.greatest(F.ceil((F.col(error) - reach - F.col("_from")) / F.col("_step")), F.lit(0)).cast("int")
     last = F.least(F.floor((F.col(error) + reach - F.col("_from")) / F.col("_step")), F.lit(points - 1)).cast("int")

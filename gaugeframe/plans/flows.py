@@ -13,7 +13,7 @@ from gaugeframe.models.score import guard_width, score_sequences
 from gaugeframe.operators.clean import mask_target
 from gaugeframe.operators.features import flatten_samples, window_stats
 from gaugeframe.operators.lookups import join_truth
-from gaugeframe.operators.metrics import eval_metrics_original, eval_metrics_scaled, regression_metrics
+from gaugeframe.operators.metrics import eval_metrics, regression_metrics
 from gaugeframe.operators.scaling import fit_scaler, inverse_scale, scale
 from gaugeframe.operators.sequences import make_sequences, make_trailing_sequences, mean_pool
 from gaugeframe.operators.splits import tail_test
@@ -48,14 +48,7 @@ def evaluate_baseline(windows: DataFrame, order_by: Sequence[str], seq_length: i
     total = F.greatest(row_total(indexed.select("idx")) - seq_length, F.lit(0))
     tail = tail_test(made, test_ratio, total=total)
     scored = mean_pool(tail, len(inputs)).select("y", F.get("pooled", F.lit(len(inputs) - 1)).alias("prediction"))
-    near = eval_metrics_scaled(scored)
-    original = eval_metrics_original(scored, scaler, TARGET)
-    both = original.select(
-        F.struct(
-            F.col("mse").alias("mse_original"), F.col("mae").alias("mae_original"), "target_min", "target_max"
-        ).alias("o")
-    ).scalar()
-    return near.withColumn("_o", both).select("mse", "mae", "r2", "_o.*")
+    return eval_metrics(scored, scaler, TARGET)
 
 
 def validate_models(

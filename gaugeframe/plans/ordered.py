@@ -9,6 +9,7 @@ series key does not help when one key holds a third of all rows. Both are avoide
   every block into the next one, so row-framed windows can run per block.
 * :func:`series_position` numbers the rows of every series, joining series to rows per
   block so no join key ever has more than one block of rows.
+* :func:`running_total` sums along the order of each group, however large the group is.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ BLOCK_ROWS = 8192
 OWN_BLOCK = "_own_blk"
 BLOCK = "_blk"
 _SLOT = "_slot"
+_PART = "_part_id"
 
 
 def dense_index(
@@ -56,7 +58,7 @@ def row_total(indexed: DataFrame) -> Column:
 
 
 def block_of(idx: str, block_rows: int) -> Column:
-    return F.floor(F.col(idx) / F.lit(block_rows))
+    return F.expr(f"`{idx}` div {block_rows}")
 
 
 def with_blocks(
@@ -99,11 +101,35 @@ def series_position(
     ``indexed`` must be ordered by ``keys`` first, so a series is a run of ``idx``.
     """
     runs = indexed.groupBy(*keys).agg(F.min(idx).alias("_first"), F.count(F.lit(1)).alias(total))
-    first_block = F.floor(F.col("_first") / F.lit(block_rows))
-    last_block = F.floor((F.col("_first") + F.col(total) - 1) / F.lit(block_rows))
+    first_block = F.expr(f"_first div {block_rows}")
+    last_block = F.expr(f"(_first + `{total}` - 1) div {block_rows}")
     runs = runs.withColumn(BLOCK, F.explode(F.sequence(first_block, last_block)))
     return (
         indexed.withColumn(BLOCK, block_of(idx, block_rows))
         .join(runs, [*keys, BLOCK])
         .select(*indexed.columns, (F.col(idx) - F.col("_first")).alias(position), total)
     )
+
+
+def running_total(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], weight: str, out: str, partitions: int | None = None
+) -> DataFrame:
+    """Add the inclusive running sum of ``weight`` within ``keys``, in the order of ``order_by``.
+
+    Groups are cut at the range partitions: sums run inside a partition and start from the
+    total of the group's earlier partitions. Keys and order together must identify a row.
+    """
+    cols = [F.col(c) for c in (*keys, *order_by)]
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    stored = materialize(
+        ranged.sortWithinPartitions(*cols).withColumn(_PART, F.spark_partition_id()), "running"
+    )
+    sums = stored.groupBy(_PART, *keys).agg(F.sum(weight).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    starts = starts.select(*[F.col(c).alias(f"_k_{c}") for c in (_PART, *keys)], "_start")
+    inside = stored.withColumn(out, F.sum(weight).over(Window.partitionBy(_PART, *keys).orderBy(*order_by)))
+    condition = F.col(_PART) == F.col(f"_k_{_PART}")
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+    return inside.join(starts, condition).select(*df.columns, (F.col(out) + F.col("_start")).alias(out))

@@ -3,6 +3,11 @@
 A sketch proposes cut points around each wanted rank. The intervals between the cuts are
 counted exactly, so the interval that holds a rank is certain; only its distinct values are
 then ordered. The sketch decides how few values that is, never which value is returned.
+
+The input is read three times: for the sketch, for the counts, and for the values of the few
+intervals. The first two results have a handful of rows per group and are stored, so that the
+joins back to the input are planned with their size. The size of the chosen intervals is known
+before their values are ordered; large ones are ordered across tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeframe.plans.ordered import running_total
+from gaugeframe.session import sized
+
 ACCURACY = 10000
+# Up to this many rows the values of one interval are ordered by one task.
+ONE_TASK_ROWS = 2_000_000
 
 
 
@@ -33,11 +43,12 @@ def select_ranks(
     ranks: dict[str, tuple[float, Column]],
     groups: Sequence[str] = (),
     accuracy: int = ACCURACY,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """For every group and named rank: the value at that 0-based rank and the rows below it.
 
     ``ranks`` maps a name to (approximate fraction, rank as a column over ``_n``, the number
-    of values of the group). Returns (groups, name, value, below); a rank outside 0.._n-1
+    of values of the group). Returns (groups, name, value, below, n); a rank outside 0.._n-1
     has no row.
     """
     groups = list(groups)
@@ -50,6 +61,7 @@ def select_ranks(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", points, accuracy).alias("_cuts"),
     )
+    sketch = sized(sketch, "sketch")
     if groups:
         placed = _match(base, sketch, groups, ["_cuts"])
     else:
@@ -60,7 +72,7 @@ def select_ranks(
     placed = placed.select(*groups, "_v", interval.alias("_iv"))
 
     # One row per group and interval; at most len(points) + 1 of them per group.
-    counted = placed.groupBy(*groups, "_iv").agg(F.count(F.lit(1)).alias("_rows"))
+    counted = sized(placed.groupBy(*groups, "_iv").agg(F.count(F.lit(1)).alias("_rows")), "intervals")
     in_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     in_order = in_group.orderBy("_iv")
     counted = counted.withColumn("_end", F.sum("_rows").over(in_order)).withColumn(
@@ -77,14 +89,17 @@ def select_ranks(
             F.filter(wanted, lambda t: (t["rank"] >= F.col("_start")) & (t["rank"] < F.col("_end"))),
         )
         .where(F.size("_targets") > 0)
-        .select(*groups, "_iv", "_start", "_targets")
+        .select(*groups, "_iv", "_start", "_targets", "_n", F.col("_rows").alias("_held"))
     )
 
     keys = [*groups, "_iv"]
     values = _match(placed, holding, keys, []).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_rows"))
-    running = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_v"))
-    values = values.withColumn("_upto", running)
-    found = _match(values, holding, keys, ["_start", "_targets"])
+    largest = holding.agg(F.max("_held")).first()[0] or 0
+    if largest <= one_task_rows:
+        values = values.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_v")))
+    else:
+        values = running_total(values, keys, ["_v"], "_rows", "_upto")
+    found = _match(values, holding, keys, ["_start", "_targets", "_n"])
     below = F.col("_start") + F.col("_upto") - F.col("_rows")
     hits = found.withColumn("_below", below).withColumn(
         "_hit",
@@ -96,7 +111,7 @@ def select_ranks(
         ),
     )
     return hits.select(
-        *groups, F.col("_hit.name").alias("name"), F.col("_v").alias("value"), F.col("_below").alias("below")
+        *groups, F.col("_hit.name").alias("name"), F.col("_v").alias("value"), F.col("_below").alias("below"), F.col("_n").alias("n")
     )
 
 
@@ -106,6 +121,7 @@ def exact_quantiles(
     probs: dict[str, float],
     groups: Sequence[str] = (),
     accuracy: int = ACCURACY,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """One row per group with a column per quantile, interpolated linearly between ranks."""
     groups = list(groups)
@@ -114,16 +130,12 @@ def exact_quantiles(
         at = (F.col("_n") - 1) * F.lit(float(p))
         ranks[f"{name}:lo"] = (p, F.floor(at))
         ranks[f"{name}:hi"] = (p, F.ceil(at))
-    number = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    sizes = number.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    picked = select_ranks(number.withColumn(value, F.col(value).cast("double")), value, ranks, groups, accuracy)
-    ends = picked.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks]
+    number = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn(value, F.col(value).cast("double"))
+    picked = select_ranks(number, value, ranks, groups, accuracy, one_task_rows)
+    joined = picked.groupBy(*groups).agg(
+        F.max("n").alias("_n"),
+        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks],
     )
-    if groups:
-        joined = _match(ends, sizes, groups, ["_n"])
-    else:
-        joined = ends.withColumn("_n", sizes.scalar())
     out = list(groups)
     for name, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(p))

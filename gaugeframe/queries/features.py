@@ -83,14 +83,14 @@ _TS_FROM_FILENAME_SQL = f"""WITH {t.WINDOWS_SQL}
 
 
 def _select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = features.flatten_samples(t.windows(spark, sf_dir), n_samples=2)
+    frame = features.flatten_samples(t.windows(spark, sf_dir))
     kept = features.select_features(frame, drop=("window_id",))
     return kept.agg(*[r(F.avg(c)).alias(f"avg_{c}") for c in kept.columns])
 
 
 _SELECT_FEATURES_SQL = f"""WITH {t.WINDOWS_SQL},
     flat AS (SELECT s.window_id, {t.flat_sql()} FROM slotted s GROUP BY s.window_id)
-    SELECT {', '.join(f'round(avg(f{i}), 6) AS avg_f{i}' for i in range(10))}, round(avg("QoE"), 6) AS "avg_QoE"
+    SELECT {', '.join(f'round(avg(f{i}), 6) AS avg_f{i}' for i in range(25))}, round(avg("QoE"), 6) AS "avg_QoE"
     FROM windows w JOIN flat f ON w.window_id = f.window_id"""
 
 
@@ -290,13 +290,13 @@ def _apply_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [*M, TARGET]
     rows, scaler = _scaled(spark, sf_dir, names)
     scaled = scaling.scale(rows, scaler, names)
-    return scaled.groupBy("user_id").agg(*[r(F.avg(c)).alias(f"avg_{c}") for c in names])
+    return scaled.groupBy("user_id").agg(*[r(F.avg(c), 9).alias(f"avg_{c}") for c in names])
 
 
 _APPLY_SCALER_SQL = f"""WITH {t.SAMPLES_SQL}, b AS (
       SELECT {', '.join(f'min({m}) AS lo_{m}, max({m}) AS hi_{m}' for m in (*M, 'qoe'))} FROM samples)
-    SELECT user_id, {', '.join(f'round(avg(({m} - lo_{m}) / (hi_{m} - lo_{m})), 6) AS avg_{m}' for m in M)},
-      round(avg((qoe - lo_qoe) / (hi_qoe - lo_qoe)), 6) AS "avg_QoE" FROM samples, b GROUP BY user_id"""
+    SELECT user_id, {', '.join(f'round(avg(({m} - lo_{m}) / (hi_{m} - lo_{m})), 9) AS avg_{m}' for m in M)},
+      round(avg((qoe - lo_qoe) / (hi_qoe - lo_qoe)), 9) AS "avg_QoE" FROM samples, b GROUP BY user_id"""
 
 
 def _inverse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from gaugeframe.queries import tables as t
 from gaugeframe.queries.ordering import ORDERED_SQL
 from gaugeframe.queries.tables import r
 from gaugeframe.schemas import METRICS, STATS, TARGET
-from gaugeframe.session import scratch_path
+from gaugeframe.session import materialize, scratch_path
 from gaugeframe.streaming import score as stream_scoring
 from gaugeframe.streaming import windows as stream_windowing
 
@@ -36,9 +36,9 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str, length: int = 1, names=PAIR) -> tuple[DataFrame, DataFrame]:
-    """Training and test sequences in time order."""
+    """Training and test sequences in time order, stored once for all fits."""
     indexed = _indexed(spark, sf_dir)
-    made = to_frame(sequences.make_sequences(indexed, length, names, carry=["event_id"]))
+    made = materialize(to_frame(sequences.make_sequences(indexed, length, names, carry=["event_id"])), "sequences")
     total = F.greatest(row_total(indexed) - length, F.lit(0))
     return splits.split_sequential(made, 0.8, total=total)
 
@@ -209,9 +209,8 @@ def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("file"), "ts", *PAIR, F.col("qoe").alias(TARGET)
     )
     indexed, scaler = flows.scaled_order(rows, PAIR, ["ts", "event_id"])
-    train, _ = splits.split_sequential(
-        to_frame(sequences.make_sequences(indexed, 1, PAIR)), 0.8, total=row_total(indexed.select("idx")) - 1
-    )
+    made = materialize(to_frame(sequences.make_sequences(indexed, 1, PAIR)), "sequences")
+    train, _ = splits.split_sequential(made, 0.8, total=row_total(indexed.select("idx")) - 1)
     models = {"linear_plain": fit_linear(train, 2), "linear_ridge": fit_linear(train, 2, l2=L2)}
     _, table = flows.validate_models(rows, models, scaler, PAIR, ["ts", "event_id"], 1)
     return table.select("model", *[r(c, 4).alias(c) for c in ("mse", "mae", "medae", "r2", "mean_error", "max_error")])

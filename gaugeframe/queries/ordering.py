@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.timeparse import ts_digits
 from gaugeframe.models.search import GRIDS, GRID_COLUMNS, config_key, param_grid
 from gaugeframe.operators import lookups, sequences, splits
 from gaugeframe.plans.ordered import dense_index, row_total, series_position

@@ -272,7 +272,7 @@ def _roll(fn, name: str):
         table = fn(t.weights(spark, sf_dir))
         key = F.col(name).cast("bigint").alias(name) if name == "step" else F.col(name)
         return table.select(
-            key, r("total_importance").alias("total_importance"), "n_features", r("avg_importance").alias("avg_importance")
+            key, r("total_importance", 8).alias("total_importance"), "n_features", r("avg_importance").alias("avg_importance")
         )
 
     return run
@@ -280,7 +280,7 @@ def _roll(fn, name: str):
 
 def _roll_sql(name: str) -> str:
     return f"""WITH {t.WEIGHTS_SQL}, parts AS (SELECT *, {FEATURE_PARTS_SQL} FROM weights)
-    SELECT {name}, round(sum(abs(weight)), 6) AS total_importance, count(*) AS n_features, round(avg(abs(weight)), 6) AS avg_importance
+    SELECT {name}, round(sum(abs(weight)), 8) AS total_importance, count(*) AS n_features, round(avg(abs(weight)), 6) AS avg_importance
     FROM parts WHERE {name} IS NOT NULL GROUP BY {name}"""
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.numeric import try_double
-from gaugeframe.functions.text import null_literal
 from gaugeframe.schemas import EXPERIMENT_SCHEMA, IMPORTANCE_SCHEMA, RESULTS_SCHEMA
 
 METADATA_SCHEMA = (
@@ -34,7 +33,7 @@ def scan_results_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def type_results(df: DataFrame) -> DataFrame:
-    number = lambda name: try_double(null_literal(F.col(name)))
+    number = lambda name: try_double(F.col(name))
     return df.select(
         F.col("Model").alias("model"),
         F.col("Model Type").alias("model_type"),
@@ -54,7 +53,7 @@ def scan_experiments_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("escape", '"')
         .csv(path)
     )
-    return raw.withColumn("test_loss", try_double(null_literal(F.col("test_loss"))))
+    return raw.withColumn("test_loss", try_double(F.col("test_loss")))
 
 
 def importance_from_text(df: DataFrame, value: str = "value") -> DataFrame:
