@@ -27,8 +27,8 @@ def _sequences(
     # The array around the features keeps rows with NULL features in the list.
     return (
         with_blocks(indexed.select(*wanted), length, idx, block_rows)
-        .withColumn("X", F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(frame))
-        .where(owned() & (F.size("X") == length))
+        .withColumn("_X", F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(frame))
+        .where(owned() & (F.size("_X") == length))
     )
 
 
@@ -51,7 +51,9 @@ def make_sequences(
         indexed, seq_length, features, [*carry, target], keys, idx, block_rows, -seq_length, -1
     )
     out = list(dict.fromkeys([*keys, *carry]))
-    return found.select(*out, (F.col(idx) - seq_length).alias("seq"), "X", F.col(target).cast("double").alias("y"))
+    return found.select(
+        *out, (F.col(idx) - seq_length).alias("seq"), F.col("_X").alias("X"), F.col(target).cast("double").alias("y")
+    )
 
 
 def make_trailing_sequences(
@@ -67,7 +69,7 @@ def make_trailing_sequences(
     found = _sequences(
         indexed, seq_length, features, carry, keys, idx, block_rows, -(seq_length - 1), 0
     )
-    return found.select(*dict.fromkeys([*keys, *carry, idx]), "X")
+    return found.select(*dict.fromkeys([*keys, *carry, idx]), F.col("_X").alias("X"))
 
 
 def history_tail(df: DataFrame, rows: int, order_by: Sequence[str]) -> DataFrame:
@@ -127,15 +129,14 @@ def asof_history(
     among_new = dense_index(new, [ts, key], "_v", partitions)
     placed = among_new.join(overall.select(key, "_u"), key).withColumn("_at", F.col("_u") - F.col("_v") - 1)
     past = make_trailing_sequences(
-        dense_index(history.select(ts, key, *features), [ts, key], "idx", partitions),
+        dense_index(history.select(*dict.fromkeys([ts, key, *features])), [ts, key], "idx", partitions),
         seq_length - 1,
         features,
         block_rows=block_rows,
     )
+    past = past.select(F.col("idx").alias("_row"), F.col("X").alias("_past"))
     own = F.array(F.array(*[F.col(f).cast("double") for f in features]))
-    return placed.join(past, F.col("_at") == F.col("idx")).select(
-        *new.columns, F.concat("X", own).alias("X")
-    )
+    return placed.join(past, F.col("_at") == F.col("_row")).select(*new.columns, F.concat("_past", own).alias("X"))
 
 
 def last_in_series(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], rows: int) -> DataFrame:

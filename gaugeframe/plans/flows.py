@@ -19,6 +19,7 @@ from gaugeframe.operators.sequences import make_sequences, make_trailing_sequenc
 from gaugeframe.operators.splits import tail_test
 from gaugeframe.plans.ordered import dense_index, row_total
 from gaugeframe.schemas import TARGET, feature_names
+from gaugeframe.session import materialize
 
 
 def feature_frame(windows: DataFrame, stats: bool = True, layout: str = "new", keep: Sequence[str] = ("file", "ts")) -> DataFrame:
@@ -71,5 +72,6 @@ def validate_models(
     scored = score_sequences(models, frame).select("file", "model", "prediction")
     restored = inverse_scale(scored, scaler, ["prediction"])
     truth = windows.where(F.col(TARGET).isNotNull()).select("file", F.col(TARGET).alias("ground_truth"))
-    predictions = join_truth(restored, truth)
+    # Stored: the predictions are a result of their own, and the metrics read them more than once.
+    predictions = materialize(join_truth(restored, truth), "predictions")
     return predictions, regression_metrics(predictions)

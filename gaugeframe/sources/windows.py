@@ -38,6 +38,7 @@ def doc_value(doc: Column, key: str) -> Column:
 
 
 def _samples(doc: Column, metrics: tuple[str, ...]) -> Column:
+    """The typed sub-samples in document order; entries that are not objects are none."""
     fields = ", ".join(f"{m} STRING" for m in metrics)
 
     def typed(entry: Column) -> Column:
@@ -47,7 +48,8 @@ def _samples(doc: Column, metrics: tuple[str, ...]) -> Column:
             F.struct(*[try_double(raw[m]).alias(m) for m in metrics]).alias("v"),
         )
 
-    return F.transform(F.map_entries(drop_meta_keys(doc)), typed)
+    objects = F.filter(F.map_entries(drop_meta_keys(doc)), lambda e: F.startswith(F.ltrim(e["value"]), F.lit("{")))
+    return F.transform(objects, typed)
 
 
 def to_windows(docs: DataFrame, layout: str = "new", doc: str = "doc") -> DataFrame:
