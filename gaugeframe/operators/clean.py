@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +30,23 @@ def with_parsed_ts(df: DataFrame, column: str = TIMESTAMP, out: str = "ts") -> D
 def is_valid_window(doc: Column, layout: str = "new") -> Column:
     """Has a non-null QoE, a timestamp and, in the new layout, a first sub-sample with all fields.
 
-    Only the first sub-sample in document order is looked at.
+    Only the first sub-sample in document order is looked at. The one-element arrays bind a
+    parsed map to a name, so that it is not parsed again for every condition.
     """
-    has = lambda m, key: F.coalesce(F.map_contains_key(m, F.lit(key)), F.lit(False))
-    valid = has(doc, TARGET) & has(doc, TIMESTAMP) & F.try_element_at(doc, F.lit(TARGET)).isNotNull()
-    if layout == "legacy":
-        return valid
-    keys = F.filter(F.map_keys(doc), lambda k: ~k.isin(*META_KEYS))
-    first = F.from_json(F.try_element_at(doc, F.get(keys, F.lit(0))), "map<string,string>")
-    for metric in METRICS["new"]:
-        valid = valid & has(first, metric)
-    return valid
+
+    def has(m: Column, key: str) -> Column:
+        return F.map_contains_key(m, F.lit(key))
+
+    def first_complete(d: Column) -> Column:
+        keys = F.filter(F.map_keys(d), lambda k: ~k.isin(*META_KEYS))
+        first = F.from_json(F.try_element_at(d, F.get(keys, F.lit(0))), "map<string,string>")
+        return F.exists(F.array(first), lambda f: reduce(lambda a, b: a & b, [has(f, m) for m in METRICS["new"]]))
+
+    def conditions(d: Column) -> Column:
+        head = has(d, TARGET) & has(d, TIMESTAMP) & F.try_element_at(d, F.lit(TARGET)).isNotNull()
+        return head if layout == "legacy" else head & first_complete(d)
+
+    return F.coalesce(F.exists(F.array(doc), conditions), F.lit(False))
 
 
 def valid_window(docs: DataFrame, layout: str = "new", doc: str = "doc") -> DataFrame:
@@ -47,10 +54,8 @@ def valid_window(docs: DataFrame, layout: str = "new", doc: str = "doc") -> Data
 
 
 def validity_counts(docs: DataFrame, layout: str = "new", doc: str = "doc") -> DataFrame:
-    return docs.agg(
-        F.count_if(is_valid_window(F.col(doc), layout)).alias("n_valid"),
-        F.count_if(~is_valid_window(F.col(doc), layout)).alias("n_invalid"),
-    )
+    flagged = docs.select(is_valid_window(F.col(doc), layout).alias("ok"))
+    return flagged.agg(F.count_if("ok").alias("n_valid"), F.count_if(~F.col("ok")).alias("n_invalid"))
 
 
 def mask_target(df: DataFrame, target: str = TARGET) -> DataFrame:

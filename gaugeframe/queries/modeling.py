@@ -151,6 +151,20 @@ def _save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.join(score.registry(spark, folder).select("model", "model_type"), "model")
 
 
+def _load_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of two saved models, by name."""
+    folder = scratch_path(spark, "models")
+    train, test = _frames(spark, sf_dir)
+    score.save_model(spark, "linear_plain", fit_linear(train, 2), folder)
+    score.save_model(spark, "linear_ridge", fit_linear(train, 2, l2=L2), folder)
+    scored = score.score_sequences(score.load_models(spark, folder, "linear_ridge"), test)
+    return scored.select("event_id", "model", r("prediction", 5).alias("prediction"))
+
+
+_LOAD_MODELS_SQL = f"""WITH {_XY_SQL}, {_ridge_sql('fits', [L2])}
+    SELECT event_id, 'linear_ridge' AS model, round(w1 * x1 + w2 * x2 + b, 5) AS prediction FROM test, fits"""
+
+
 _SAVE_LOAD_SQL = f"""WITH {_XY_SQL}, {_ridge_sql('fits', [0.0, L2])}
     SELECT CASE run_id WHEN 0 THEN 'linear_plain' ELSE 'linear_ridge' END AS model, count(*) AS n,
       round(avg(w1 * x1 + w2 * x2 + b), 5) AS mean_prediction, 'Linear Regressor' AS model_type FROM test, fits GROUP BY run_id"""
@@ -290,6 +304,7 @@ QUERIES = {
     "grid_search": (_grid_search, _GRID_SEARCH_SQL),
     "successive_halving": (_halving, None),
     "save_model": (_save_load, _SAVE_LOAD_SQL),
+    "load_models": (_load_models, _LOAD_MODELS_SQL),
     "attention_pool": (_attention, _ATTENTION_SQL),
     "stream_windows": (_stream_windows, _STREAM_WINDOWS_SQL),
     "stream_score": (_stream_score, _STREAM_SCORE_SQL),

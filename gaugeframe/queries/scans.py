@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeframe.functions.timeparse import ts_digits
 from gaugeframe.operators.clean import repair_counts, repair_types
 from gaugeframe.operators.metrics import prediction_errors, regression_metrics
-from gaugeframe.operators.scaling import fit_scaler
+from gaugeframe.operators.scaling import fit_scaler, scale
 from gaugeframe.queries import tables as t
 from gaugeframe.queries.tables import r
 from gaugeframe.schemas import FLAT_METRICS, METRICS, RESULTS_SCHEMA, TARGET
@@ -27,7 +27,7 @@ def _sample_sums(layout: str) -> list:
 
 def _scan(layout: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        parsed = to_windows(with_document(t.documents(spark, sf_dir, layout)), layout)
+        parsed = to_windows(t.documents(spark, sf_dir, layout), layout)
         return parsed.select(
             "window_id", "file", "ts_raw", ts_digits(F.col("ts")).alias("ts_text"), r(TARGET, 9).alias(TARGET),
             F.coalesce(F.size("samples"), F.lit(0)).cast("bigint").alias("n_samples"),
@@ -247,6 +247,21 @@ def _scaler_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.load_scaler(spark, path)
 
 
+def _load_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored scaler applied to other rows than it was fitted on."""
+    path = scratch_path(spark, "scaler")
+    rows = t.samples(spark, sf_dir).withColumnRenamed("qoe", TARGET)
+    sinks.save_scaler(fit_scaler(rows.where("event_id % 3 = 0"), METRICS["new"]), path)
+    scaled = scale(rows.where("event_id % 3 <> 0"), sinks.load_scaler(spark, path), [*METRICS["new"], TARGET])
+    return scaled.select("event_id", *[r(c, 9).alias(c) for c in (*METRICS["new"], TARGET)])
+
+
+_LOAD_SCALER_SQL = f"""WITH {t.SAMPLES_SQL}, b AS (SELECT {', '.join(f'min({m}) AS lo_{m}, max({m}) AS hi_{m}' for m in (*METRICS['new'], 'qoe'))}
+      FROM samples WHERE event_id % 3 = 0)
+    SELECT event_id, {', '.join(f'round(({m} - lo_{m}) / (hi_{m} - lo_{m}), 9) AS {m}' for m in METRICS['new'])},
+      round((qoe - lo_qoe) / (hi_qoe - lo_qoe), 9) AS "QoE" FROM samples, b WHERE event_id % 3 <> 0"""
+
+
 def scaler_sql() -> str:
     names = [*METRICS["new"], "qoe"]
     rows = " UNION ALL ".join(
@@ -267,7 +282,7 @@ _DISK_USAGE_SQL = "SELECT sum(length(o_orderkey::VARCHAR) + 1)::BIGINT AS total_
 
 def _repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = repair_types(t.documents(spark, sf_dir))
-    parsed = to_windows(with_document(fixed))
+    parsed = to_windows(fixed)
     flags = fixed.select("window_id", "modified", F.col("unparsable").cast("bigint").alias("unparsable"))
     total = F.aggregate("samples", F.lit(0.0), lambda acc, s: acc + F.coalesce(s["v"]["speed"], F.lit(0.0)))
     return parsed.select("window_id", F.coalesce(total, F.lit(0.0)).alias("sum_speed")).join(flags, "window_id")
@@ -309,6 +324,7 @@ QUERIES = {
     "sink_results_csv": (_sink_results, _SINK_RESULTS_SQL),
     "sink_experiments": (_sink_experiments, _SINK_EXPERIMENTS_SQL),
     "save_scaler": (_scaler_round_trip, scaler_sql()),
+    "load_scaler": (_load_scaler, _LOAD_SCALER_SQL),
     "dataset_disk_usage": (_disk_usage, _DISK_USAGE_SQL),
     "repair_types": (_repair, _REPAIR_SQL),
     "repair_counts": (_repair_counts, _REPAIR_COUNTS_SQL),

@@ -52,15 +52,43 @@ def _samples(doc: Column, metrics: tuple[str, ...]) -> Column:
     return F.transform(objects, typed)
 
 
-def to_windows(docs: DataFrame, layout: str = "new", doc: str = "doc") -> DataFrame:
-    """Typed windows from parsed documents; sub-samples ordered by key as text."""
-    raw_ts = doc_value(F.col(doc), TIMESTAMP)
-    return docs.select(
-        *[c for c in docs.columns if c not in (doc, "value")],
-        raw_ts.alias("ts_raw"),
-        parse_ts(raw_ts).alias("ts"),
-        try_double(doc_value(F.col(doc), TARGET)).alias(TARGET),
-        F.array_sort(_samples(F.col(doc), METRICS[layout])).alias("samples"),
+def _variant_samples(variant: Column, metrics: tuple[str, ...]) -> Column:
+    """The same from a parsed variant, whose keys come sorted; a value that is not an object becomes NULL."""
+    fields = ", ".join(f"{m}: DOUBLE" for m in metrics)
+    entries = F.map_entries(F.try_variant_get(variant, "$", f"MAP<STRING, STRUCT<{fields}>>"))
+    missing = F.lit(None).cast("double")
+
+    def typed(entry: Column) -> Column:
+        values = [F.nanvl(entry["value"][m], missing).alias(m) for m in metrics]
+        return F.struct(entry["key"].alias("key"), F.struct(*values).alias("v"))
+
+    return F.transform(F.filter(entries, lambda e: ~e["key"].isin(*META_KEYS) & e["value"].isNotNull()), typed)
+
+
+def to_windows(docs: DataFrame, layout: str = "new", value: str = "value") -> DataFrame:
+    """Typed windows from document texts; sub-samples ordered by key as text.
+
+    A document is parsed once, to a variant. The few texts a variant does not take (a bare
+    NaN, a repeated key) are parsed through a map instead; broken JSON gives NULLs.
+    """
+    metrics = METRICS[layout]
+    parsed = docs.withColumn("_v", F.try_parse_json(value))
+    variant, doc = F.col("_v"), F.from_json(value, "map<string,string>")
+    fast = variant.isNotNull()
+    staged = parsed.select(
+        *[c for c in docs.columns if c not in ("doc", value)],
+        F.when(fast, F.try_variant_get(variant, f"$.{TIMESTAMP}", "string")).otherwise(doc_value(doc, TIMESTAMP)).alias("ts_raw"),
+        F.when(fast, F.try_variant_get(variant, f"$.{TARGET}", "double"))
+        .otherwise(doc_value(doc, TARGET).try_cast("double"))
+        .alias("_target"),
+        F.array_sort(F.when(fast, _variant_samples(variant, metrics)).otherwise(_samples(doc, metrics))).alias("samples"),
+    )
+    return staged.select(
+        *[c for c in docs.columns if c not in ("doc", value)],
+        "ts_raw",
+        parse_ts(F.col("ts_raw")).alias("ts"),
+        F.nanvl("_target", F.lit(None).cast("double")).alias(TARGET),
+        "samples",
     )
 
 
@@ -68,7 +96,7 @@ def scan_windows(
     spark: SparkSession, path: str, layout: str = "new", one_per_line: bool = False
 ) -> DataFrame:
     """Typed windows of a folder (file, ts_raw, ts, QoE, samples)."""
-    return to_windows(with_document(scan_documents(spark, path, one_per_line)), layout)
+    return to_windows(scan_documents(spark, path, one_per_line), layout)
 
 
 def scan_windows_legacy(spark: SparkSession, path: str) -> DataFrame:

@@ -75,6 +75,25 @@ def test_scan_windows(spark, folder):
     assert rows["20250402122900.json"]["samples"] is None
 
 
+def test_unusual_documents(spark):
+    texts = [
+        '{"QoE":"71.5","timestamp":"20250101","b":{"throughput":"fast","speed":"050","jitter":1e-3},"a":{"speed":5},"n":"x","m":[1],"z":null}',
+        '{"QoE":NaN,"timestamp":20250402121954,"a":{"speed":5,"jitter":NaN}}',
+        '{"QoE":1,"a":{"speed":1},"QoE":2}',
+        "[1, 2]",
+        '{"QoE": 1',
+        None,
+    ]
+    got = w.to_windows(spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, value string")).orderBy("i").collect()
+    empty = (None,) * 5
+    assert (got[0].QoE, got[0].ts_raw, got[0].ts) == (71.5, "20250101", None)
+    assert [(s.key, tuple(s.v)) for s in got[0].samples] == [("a", (*empty[:4], 5.0)), ("b", (None, None, None, 0.001, 50.0))]
+    assert (got[1].QoE, got[1].ts_raw) == (None, "20250402121954")
+    assert [tuple(s.v) for s in got[1].samples] == [(None, None, None, None, 5.0)]
+    assert len(got[2].samples) == 1
+    assert all(g.samples is None and g.QoE is None for g in got[3:])
+
+
 def test_flatten_and_stats(spark, folder):
     frame = features.window_stats(features.flatten_samples(w.scan_windows(spark, str(folder))))
     rows = by_file(frame)
