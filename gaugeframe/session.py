@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -42,9 +41,26 @@ def workspace(spark: SparkSession) -> str:
     return base
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the workspace."""
-    return os.path.join(workspace(spark), f"gaugeframe-{label}-{uuid.uuid4().hex}")
+    path = f"{workspace(spark).rstrip('/')}/gaugeframe-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote; call it when their results are stored.
+
+    DataFrames built on them cannot be read afterwards.
+    """
+    released = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        released += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return released
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
