@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.plans.quantiles import select_ranks
@@ -63,21 +65,19 @@ def sample_hash(key: Column, seed: int) -> Column:
 def sample_exact(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
     """Exactly floor(n * ratio) rows, repeatable by seed; all rows for a ratio of 1 or more.
 
-    Keeps the rows below the wanted order statistic of the hash instead of sorting and
-    limiting, so no row is shuffled. ``key`` must identify a row; it breaks ties.
+    Keeps the rows up to the wanted order statistic of the hash instead of sorting and
+    limiting, so the sample itself is a plain filter. ``key`` must identify a row and not
+    be NULL; it breaks ties, which only rows with the same 60-bit hash can have.
     """
     if ratio >= 1.0:
         return df
     hashed = df.withColumn("_h", sample_hash(F.col(key), seed))
     size = F.floor(F.col("_n") * F.lit(float(ratio)))
-    edge = select_ranks(hashed, "_h", {"edge": (ratio, size - 1)})
-    bound = edge.agg(F.struct(F.max("value").alias("h"), F.max("below").alias("below")).alias("b")).scalar()
-    marked = hashed.withColumn("_b", bound).withColumn("_k", split_point(total_rows(df), ratio))
-    inside = marked.where(F.col("_h") < F.col("_b")["h"])
-    ties = (
-        marked.where(F.col("_h") == F.col("_b")["h"])
-        .withColumn("_rn", F.row_number().over(Window.partitionBy("_h").orderBy(key)))
-        .where(F.col("_rn") <= F.col("_k") - F.col("_b")["below"])
-        .drop("_rn")
-    )
-    return inside.unionByName(ties).select(*df.columns)
+    edge = select_ranks(hashed.select("_h"), "_h", {"edge": (ratio, size - 1)}).first()
+    if edge is None:
+        return df.limit(0)
+    wanted = math.floor(edge["n"] * ratio) - edge["below"]
+    at_edge = hashed.where(F.col("_h") == edge["value"])
+    last = at_edge.orderBy(key).limit(wanted).agg(F.max(key)).first()[0]
+    kept = (F.col("_h") < edge["value"]) | ((F.col("_h") == edge["value"]) & (F.col(key) <= F.lit(last)))
+    return hashed.where(kept).select(*df.columns)

@@ -11,6 +11,7 @@ from gaugeframe.plans.ordered import dense_index, row_total, series_position
 from gaugeframe.queries import tables as t
 from gaugeframe.queries.tables import r
 from gaugeframe.schemas import METRICS, TARGET
+from gaugeframe.session import materialize
 
 M = METRICS["new"]
 S = 5
@@ -185,7 +186,8 @@ _ASOF_SQL = f"""WITH {t.SAMPLES_SQL},
 
 def _with_sequences(spark: SparkSession, sf_dir: str):
     indexed = _ordered(spark, sf_dir)
-    made = sequences.make_sequences(indexed, S, M)
+    # Stored: the parts of a split are read separately.
+    made = materialize(sequences.make_sequences(indexed, S, M), "sequences")
     return made, F.greatest(row_total(indexed) - S, F.lit(0))
 
 
