@@ -139,3 +139,8 @@ def successive_halving(
 
 def linear_configs(l1: Sequence[float], l2: Sequence[float]) -> list[dict]:
     return [{"model_type": "linear", "l1": a, "l2": b} for a, b in product(l1, l2)]
+
+
+def variant_configs() -> list[dict]:
+    """The named linear variants as settings for :func:`grid_search`."""
+    return [{"model_type": "linear", "name": n, "l1": a, "l2": b} for n, (a, b) in LINEAR_VARIANTS.items()]

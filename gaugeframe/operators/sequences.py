@@ -124,6 +124,9 @@ def asof_history(
     ``key`` identifies a record on either side. A record's place in the history is its index
     among all rows minus its index among the new ones; no range join and no per-series task.
     """
+    own = F.array(F.array(*[F.col(f).cast("double") for f in features]))
+    if seq_length == 1:
+        return new.withColumn("X", own)
     merged = history.select(ts, F.lit(1).alias("_side"), key).unionByName(new.select(ts, F.lit(0).alias("_side"), key))
     overall = dense_index(merged, [ts, "_side", key], "_u", partitions).where(F.col("_side") == 0)
     among_new = dense_index(new, [ts, key], "_v", partitions)
@@ -135,7 +138,6 @@ def asof_history(
         block_rows=block_rows,
     )
     past = past.select(F.col("idx").alias("_row"), F.col("X").alias("_past"))
-    own = F.array(F.array(*[F.col(f).cast("double") for f in features]))
     return placed.join(past, F.col("_at") == F.col("_row")).select(*new.columns, F.concat("_past", own).alias("X"))
 
 

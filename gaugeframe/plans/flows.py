@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from gaugeframe.models.frames import to_frame
 from gaugeframe.models.score import guard_width, score_sequences
-from gaugeframe.operators.clean import mask_target
+from gaugeframe.operators.clean import is_valid_window, mask_target
 from gaugeframe.operators.features import flatten_samples, window_stats
 from gaugeframe.operators.lookups import join_truth
 from gaugeframe.operators.metrics import eval_metrics, regression_metrics
 from gaugeframe.operators.scaling import fit_scaler, inverse_scale, scale
-from gaugeframe.operators.sequences import make_sequences, make_trailing_sequences, mean_pool
-from gaugeframe.operators.splits import tail_test
+from gaugeframe.operators.sequences import asof_history, make_sequences, make_trailing_sequences, mean_pool
+from gaugeframe.operators.splits import sample_exact, split_point, tail_test
 from gaugeframe.plans.ordered import dense_index, row_total
 from gaugeframe.schemas import TARGET, feature_names
 from gaugeframe.session import materialize
+from gaugeframe.sources.sinks import sink_validation_pair
+from gaugeframe.sources.windows import to_windows, with_document
 
 
 def feature_frame(windows: DataFrame, stats: bool = True, layout: str = "new", keep: Sequence[str] = ("file", "ts")) -> DataFrame:
@@ -31,13 +33,28 @@ def feature_frame(windows: DataFrame, stats: bool = True, layout: str = "new", k
 
 
 def scaled_order(
-    frame: DataFrame, features: Sequence[str], order_by: Sequence[str], scaler: DataFrame | None = None
+    frame: DataFrame,
+    features: Sequence[str],
+    order_by: Sequence[str],
+    scaler: DataFrame | None = None,
+    fit_on: str = "all",
+    seq_length: int = 5,
+    train_ratio: float = 0.8,
 ) -> tuple[DataFrame, DataFrame]:
-    """(indexed and scaled rows, scaler). The rows are ordered first, so the bounds and the
-    sequences read the stored table instead of building the features twice."""
+    """(indexed and scaled rows, scaler).
+
+    The rows are ordered first, so the bounds and the sequences read the stored table
+    instead of building the features twice. ``fit_on="train"`` takes the bounds only from
+    rows that training sequences of ``seq_length`` use or predict.
+    """
     indexed = dense_index(frame, order_by)
-    bounds = fit_scaler(indexed, features) if scaler is None else scaler
-    return scale(indexed, bounds, [*features, TARGET]), bounds
+    if scaler is None:
+        seen = indexed
+        if fit_on == "train":
+            sequences = F.greatest(row_total(indexed.select("idx")) - seq_length, F.lit(0))
+            seen = indexed.where(F.col("idx") < split_point(sequences, train_ratio) + seq_length)
+        scaler = fit_scaler(seen, features)
+    return scale(indexed, scaler, [*features, TARGET]), scaler
 
 
 def evaluate_baseline(windows: DataFrame, order_by: Sequence[str], seq_length: int = 5, test_ratio: float = 0.2) -> DataFrame:
@@ -75,3 +92,32 @@ def validate_models(
     # Stored: the predictions are a result of their own, and the metrics read them more than once.
     predictions = materialize(join_truth(restored, truth), "predictions")
     return predictions, regression_metrics(predictions)
+
+
+def prepare_validation(docs: DataFrame, path: str, ratio: float = 1.0, seed: int = 0, layout: str = "new") -> DataFrame:
+    """Sample window documents, keep the valid ones and write the validation pair below ``path``.
+
+    Returns one row with the numbers of valid and invalid documents.
+    """
+    chosen = with_document(sample_exact(docs, "file", ratio, seed)).withColumn("valid", is_valid_window(F.col("doc"), layout))
+    checked = materialize(chosen.drop("doc"), "chosen")
+    sink_validation_pair(to_windows(checked.where("valid").drop("valid"), layout), path)
+    return checked.agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"))
+
+
+def predict_records(
+    new: DataFrame,
+    history: DataFrame,
+    models: dict[str, JavaModel],
+    scaler: DataFrame,
+    features: Sequence[str],
+    seq_length: int,
+    key: str,
+    ts: str = "ts",
+) -> DataFrame:
+    """Predicted target of new records, each scored with the history before it; both are scaled alike."""
+    scaled_new = scale(new.select(key, ts, *features), scaler, features)
+    scaled_history = scale(history.select(key, ts, *features), scaler, features)
+    made = asof_history(scaled_new, scaled_history, seq_length, features, key, ts)
+    frame = to_frame(guard_width(made, len(features)).withColumn("y", F.lit(0.0))).drop("y", *features)
+    return inverse_scale(score_sequences(models, frame).select(key, "model", "prediction"), scaler, ["prediction"])

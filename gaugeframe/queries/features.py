@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import numeric, text, timeparse
 from gaugeframe.operators import clean, features, generate, profile, scaling
+from gaugeframe.operators.importance import parse_feature_names
 from gaugeframe.queries import tables as t
 from gaugeframe.queries.scans import scaler_sql
 from gaugeframe.queries.tables import r
@@ -157,8 +158,6 @@ _CLASSIFY_SQL = f"""WITH {t.RESULTS_SQL}
 
 def _parse_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = t.weights(spark, sf_dir).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    from gaugeframe.operators.importance import parse_feature_names
-
     return parse_feature_names(names).withColumn("step", F.col("step").cast("bigint"))
 
 
@@ -266,14 +265,14 @@ def _fit_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaling.fit_scaler(t.samples(spark, sf_dir).withColumnRenamed("qoe", TARGET), M)
 
 
-def _scaled(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def _scaled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = t.samples(spark, sf_dir).withColumn("flat_line", F.lit(3.5)).withColumnRenamed("qoe", TARGET)
     return rows, scaling.fit_scaler(rows, [*M, "flat_line"])
 
 
 def _scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [*M, "flat_line", TARGET]
-    rows, scaler = _scaled(spark, sf_dir, names)
+    rows, scaler = _scaled(spark, sf_dir)
     return scaling.scale(rows, scaler, names).select("event_id", *[r(c, 9).alias(c) for c in names])
 
 
@@ -288,7 +287,7 @@ _SCALE_SQL = f"""WITH {t.SAMPLES_SQL}
 
 def _apply_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [*M, TARGET]
-    rows, scaler = _scaled(spark, sf_dir, names)
+    rows, scaler = _scaled(spark, sf_dir)
     scaled = scaling.scale(rows, scaler, names)
     return scaled.groupBy("user_id").agg(*[r(F.avg(c), 9).alias(f"avg_{c}") for c in names])
 
@@ -300,7 +299,7 @@ _APPLY_SCALER_SQL = f"""WITH {t.SAMPLES_SQL}, b AS (
 
 
 def _inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, scaler = _scaled(spark, sf_dir, [TARGET])
+    rows, scaler = _scaled(spark, sf_dir)
     predicted = rows.select("event_id", ((F.col("event_id") % 101).cast("double") / 100.0).alias("prediction"))
     return scaling.inverse_scale(predicted, scaler, ["prediction"]).select("event_id", r("prediction", 8).alias("prediction"))
 

@@ -22,6 +22,7 @@ from gaugeframe.queries.ordering import ORDERED_SQL
 from gaugeframe.queries.tables import r
 from gaugeframe.schemas import METRICS, STATS, TARGET
 from gaugeframe.session import materialize, scratch_path
+from gaugeframe.sources import sinks
 from gaugeframe.streaming import score as stream_scoring
 from gaugeframe.streaming import windows as stream_windowing
 
@@ -79,7 +80,7 @@ _FIT_LINEAR_SQL = f"WITH {_XY_SQL}, {_ridge_sql('fits', [0.0, L2])} {_WEIGHT_ROW
 
 
 def _linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance of the scaled inputs: the size of each weight times the spread of its input."""
+    """The size of each weight of the plain fit."""
     train, _ = _frames(spark, sf_dir)
     table = linear_importance(spark, fit_linear(train, 2), PAIR, 1)
     return table.select("feature", r(F.abs("weight")).alias("importance"))
@@ -246,6 +247,50 @@ _VALIDATE_SQL = f"""WITH {_SCALED_XY_SQL}, {_ridge_sql('fits', [0.0, L2])},
       round(max(abs(e)), 4) AS max_error FROM e GROUP BY run_id"""
 
 
+def _prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "prepared")
+    counts = flows.prepare_validation(t.documents(spark, sf_dir), path, 0.6, seed=3)
+    truth, masked, metadata = sinks.load_validation_pair(spark, path)
+    summary = truth.join(metadata, "file").agg(
+        F.struct(F.count(F.lit(1)).alias("n"), r(F.sum("ground_truth_qoe"), 5).alias("total")).alias("s")
+    ).scalar()
+    return counts.withColumn("_s", summary).withColumn("n_masked", masked.where(F.col(TARGET).isNull()).agg(F.count(F.lit(1))).scalar()).select(
+        "n_valid", "n_invalid", "n_masked", F.col("_s")["n"].alias("n_truth"), F.col("_s")["total"].alias("sum_truth")
+    )
+
+
+_PREPARE_SQL = f"""WITH {t.DOCS_SQL}, ranked AS (SELECT d.*, w."QoE" AS q, row_number() OVER (ORDER BY substr(md5(d.file || ':3'), 1, 15), d.file) AS rn,
+      count(*) OVER () AS n FROM docs d JOIN windows w ON d.window_id = w.window_id),
+    chosen AS (SELECT *, window_id % 17 <> 3 AND window_id % 13 <> 5 AND window_id % 11 <> 7 AND window_id % 23 <> 6 AS ok FROM ranked WHERE rn <= floor(n * 6e-1))
+    SELECT count_if(ok)::BIGINT AS n_valid, count_if(NOT ok)::BIGINT AS n_invalid, count_if(ok)::BIGINT AS n_masked,
+      count_if(ok)::BIGINT AS n_truth, round(sum(q) FILTER (ok), 5) AS sum_truth FROM chosen"""
+
+
+def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row scored by a linear model of the rest, on two steps of one metric."""
+    names = ["packet_loss_rate"]
+    rows = t.samples(spark, sf_dir).select("event_id", "ts", *names, F.col("qoe").alias(TARGET))
+    history, new = rows.where("event_id % 7 <> 0"), rows.where("event_id % 7 = 0")
+    indexed, scaler = flows.scaled_order(history, names, ["ts", "event_id"])
+    train = materialize(to_frame(sequences.make_sequences(indexed, 2, names)), "sequences")
+    models = {"linear_plain": fit_linear(train, 2)}
+    scored = flows.predict_records(new.drop(TARGET), history, models, scaler, names, 2, "event_id")
+    return scored.select("event_id", "model", r("prediction", 4).alias("prediction"))
+
+
+_PREDICT_SQL = f"""WITH {t.SAMPLES_SQL}, hist AS (SELECT event_id, ts, packet_loss_rate AS v, qoe FROM samples WHERE event_id % 7 <> 0),
+    b AS (SELECT min(v) AS v0, max(v) AS v1, min(qoe) AS q0, max(qoe) AS q1 FROM hist),
+    sc AS (SELECT ts, event_id, (v - v0) / (v1 - v0) AS s, (qoe - q0) / (q1 - q0) AS q FROM hist, b),
+    train AS (SELECT lag(s, 2) OVER w AS x1, lag(s, 1) OVER w AS x2, q AS y, row_number() OVER w AS rn FROM sc WINDOW w AS (ORDER BY ts, event_id)),
+    c AS (SELECT var_pop(x1) AS c11, var_pop(x2) AS c22, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y,
+      avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM train WHERE rn > 2),
+    {_ridge_sql('fits', [0.0])},
+    both_sides AS (SELECT event_id, ts, (packet_loss_rate - v0) / (v1 - v0) AS s, event_id % 7 = 0 AS is_new FROM samples, b),
+    past AS (SELECT *, last_value(CASE WHEN NOT is_new THEN s END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM both_sides)
+    SELECT event_id, 'linear_plain' AS model, round((w1 * prev + w2 * s + fits.b) * (q1 - q0) + q0, 4) AS prediction
+    FROM past, fits, b WHERE is_new AND prev IS NOT NULL"""
+
+
 # --- streams ------------------------------------------------------------------------------
 
 
@@ -295,6 +340,8 @@ _STREAM_SCORE_SQL = """WITH x AS (SELECT event_id, avg(value) OVER w AS p, row_n
 QUERIES = {
     "evaluate_baseline": (_baseline, _BASELINE_SQL),
     "validate_models": (_validate, _VALIDATE_SQL),
+    "prepare_validation": (_prepare, _PREPARE_SQL),
+    "predict_records": (_predict, _PREDICT_SQL),
     "fit_linear": (_fit_linear, _FIT_LINEAR_SQL),
     "linear_importance": (_linear_importance, _LINEAR_IMPORTANCE_SQL),
     "fit_nonlinear": (_fit_nonlinear, None),

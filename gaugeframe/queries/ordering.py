@@ -10,7 +10,7 @@ from gaugeframe.operators import lookups, sequences, splits
 from gaugeframe.plans.ordered import dense_index, row_total, series_position
 from gaugeframe.queries import tables as t
 from gaugeframe.queries.tables import r
-from gaugeframe.schemas import METRICS, TARGET
+from gaugeframe.schemas import METRICS, TARGET, feature_names
 from gaugeframe.session import materialize
 
 M = METRICS["new"]
@@ -135,8 +135,6 @@ _FLATTEN_SEQUENCE_SQL = f"""WITH {ORDERED_SQL}, n AS (SELECT count(*) AS n FROM
 
 def _step_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each possible step name occurs among the weights."""
-    from gaugeframe.schemas import feature_names
-
     names = sequences.feature_step_names(feature_names(stats=True), S)
     known = spark.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("position", "feature"))
     seen = t.weights(spark, sf_dir).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))

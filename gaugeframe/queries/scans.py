@@ -11,7 +11,7 @@ from gaugeframe.operators.metrics import prediction_errors, regression_metrics
 from gaugeframe.operators.scaling import fit_scaler, scale
 from gaugeframe.queries import tables as t
 from gaugeframe.queries.tables import r
-from gaugeframe.schemas import FLAT_METRICS, METRICS, RESULTS_SCHEMA, TARGET
+from gaugeframe.schemas import FLAT_METRICS, METRICS, TARGET
 from gaugeframe.session import scratch_path
 from gaugeframe.sources import reports, sinks
 from gaugeframe.sources.windows import collapse_documents, flat_from_text, scan_windows, to_flat, to_windows, with_document

@@ -141,6 +141,20 @@ def test_sample_size_is_exact(spark, ratio):
     assert sorted(r.file for r in kept.collect()) == sorted(r.file for r in again.collect())
 
 
+def test_sample_finds_the_edge_elsewhere(spark):
+    # Hashes far from even: the strip around the expected place misses the rank.
+    hashes = spark.createDataFrame([(v,) for v in [2**59] * 900 + list(range(100))], "_h long")
+    assert splits._edge(hashes, 1000, 50) == (49, 49, 1)
+    assert splits._edge(hashes, 1000, 500) == (2**59, 100, 900)
+
+
+def test_sample_ties_go_by_key(spark, monkeypatch):
+    monkeypatch.setattr(splits, "sample_hash", lambda key, seed: F.pmod(key.cast("long"), F.lit(3)) * 2**58)
+    rows = spark.range(30).select(F.format_string("%02d", "id").alias("file"))
+    kept = sorted(int(r.file) for r in splits.sample_exact(rows, "file", 0.5).collect())
+    assert kept == sorted([i for i in range(30) if i % 3 == 0] + [1, 4, 7, 10, 13])
+
+
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_exact_quantiles(spark, limit):
     rng = np.random.default_rng(1)
