@@ -87,26 +87,36 @@ def _word(line: Column, n: int) -> Column:
 def extract_log_metrics(lines: DataFrame) -> DataFrame:
     """One metric row per log: the first value of each metric, FAILED and INCOMPLETE marked.
 
-    Conditional aggregates only, so a long log is combined where its lines lie.
+    Lines shrink to the few words wanted before they are grouped, and conditional
+    aggregates combine them where they lie, so a long log is never gathered.
     """
-    line, at = F.col("line"), F.col("line_no")
+    line = F.col("line")
 
-    def first_word(mark: str, n: int) -> Column:
-        hit = F.contains(line, F.lit(mark))
-        return F.min_by(F.when(hit, _word(line, n)), F.when(hit, at))
+    def on(mark: str, value: Column) -> Column:
+        """``value`` on the lines with the mark; blank if such a line has none."""
+        return F.when(F.contains(line, F.lit(mark)), F.coalesce(value, F.lit("")))
 
     # The marks of the log format and the word that holds the number.
-    typed = F.contains(line, F.lit("Detected model type:"))
-    found = lines.groupBy("file").agg(
-        F.max(F.contains(line, F.lit("Error:")) | F.contains(line, F.lit("Traceback"))).alias("_failed"),
-        F.min_by(
-            F.when(typed, F.replace(F.split_part(line, F.lit(":"), F.lit(2)), F.lit(" "), F.lit(""))),
-            F.when(typed, at),
-        ).alias("_type"),
-        first_word("Mean Squared Error (MSE):", 5).alias("_mse"),
-        first_word("Mean Absolute Error (MAE):", 5).alias("_mae"),
-        first_word("R^2 Score:", 3).alias("_r2"),
-        first_word("Average Inference Latency on Current System:", 7).alias("_latency"),
+    kind = F.replace(F.split_part(line, F.lit(":"), F.lit(2)), F.lit(" "), F.lit(""))
+    words = {
+        "_type": on("Detected model type:", kind),
+        "_mse": on("Mean Squared Error (MSE):", _word(line, 5)),
+        "_mae": on("Mean Absolute Error (MAE):", _word(line, 5)),
+        "_r2": on("R^2 Score:", _word(line, 3)),
+        "_latency": on("Average Inference Latency on Current System:", _word(line, 7)),
+    }
+    short = lines.select(
+        "file",
+        "line_no",
+        (F.contains(line, F.lit("Error:")) | F.contains(line, F.lit("Traceback"))).alias("_bad"),
+        *[value.alias(name) for name, value in words.items()],
+    )
+    found = short.groupBy("file").agg(
+        F.max("_bad").alias("_failed"),
+        *[
+            F.nullif(F.min_by(name, F.when(F.col(name).isNotNull(), F.col("line_no"))), F.lit("")).alias(name)
+            for name in words
+        ],
     )
     names = ("_mse", "_mae", "_r2", "_latency")
     complete = F.lit(True)
