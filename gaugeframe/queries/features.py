@@ -59,7 +59,7 @@ def _parse_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARSE_TS_SQL = f"""WITH {t.DOCS_SQL},
-    flat_ts AS (SELECT event_id, CASE WHEN event_id % 31 <> 5 THEN ts END AS ts FROM all_samples)
+    flat_ts AS (SELECT event_id, CASE WHEN event_id % 31 <> 5 THEN ts END AS ts FROM samples)
     SELECT 'window' AS kind, window_id AS id, epoch(try_strptime(ts_raw, '%Y%m%d%H%M%S'))::BIGINT AS epoch FROM docs
     UNION ALL SELECT 'record', event_id, epoch(date_trunc('second', ts))::BIGINT FROM flat_ts"""
 
@@ -309,23 +309,23 @@ _INVERSE_SQL = f"""WITH {t.SAMPLES_SQL}, b AS (SELECT min(qoe) AS lo, max(qoe) A
 
 
 def _scale_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = t.samples(spark, sf_dir).where("event_id % 10 <> 0").withColumnRenamed("qoe", TARGET)
-    new = t.samples(spark, sf_dir).where("event_id % 10 = 0").drop("qoe")
+    known = t.samples(spark, sf_dir).where("event_type <> 'signup'").withColumnRenamed("qoe", TARGET)
+    new = t.samples(spark, sf_dir).where("event_type = 'signup'").drop("qoe")
     scaler = scaling.fit_scaler(known, FLAT_METRICS)
     return scaling.scale(new, scaler, FLAT_METRICS).select("event_id", *[r(c, 9).alias(c) for c in FLAT_METRICS])
 
 
 _SCALE_NEW_SQL = f"""WITH {t.SAMPLES_SQL}, b AS (
-      SELECT {', '.join(f'min({m}) AS lo_{m}, max({m}) AS hi_{m}' for m in FLAT_METRICS)} FROM samples WHERE event_id % 10 <> 0)
+      SELECT {', '.join(f'min({m}) AS lo_{m}, max({m}) AS hi_{m}' for m in FLAT_METRICS)} FROM samples WHERE event_type <> 'signup')
     SELECT event_id, {', '.join(f'round(({m} - lo_{m}) / (hi_{m} - lo_{m}), 9) AS {m}' for m in FLAT_METRICS)}
-    FROM samples, b WHERE event_id % 10 = 0"""
+    FROM samples, b WHERE event_type = 'signup'"""
 
 
 def _qoe_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.all_samples(spark, sf_dir).select("event_id", "qoe")
+    return t.samples(spark, sf_dir).select("event_id", "qoe")
 
 
-_QOE_SQL = f"WITH {t.ALL_SAMPLES_SQL} SELECT event_id, qoe FROM all_samples"
+_QOE_SQL = f"WITH {t.BASE_SAMPLES_SQL} SELECT event_id, qoe FROM samples"
 
 
 def _generate(spark: SparkSession, sf_dir: str) -> DataFrame:

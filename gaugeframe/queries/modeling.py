@@ -74,7 +74,7 @@ def _fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WEIGHT_ROWS = """SELECT CASE run_id WHEN 0 THEN 'plain' ELSE 'ridge' END AS model, feature,
-      round(CASE feature WHEN 'packet_loss_rate_t-1' THEN w1 ELSE w2 END, 6) AS weight, round(b, 5) AS bias
+      round(CASE feature WHEN 'packet_loss_rate_t-1' THEN w1 ELSE w2 END, 6) + 0e0 AS weight, round(b, 5) AS bias
     FROM fits, (VALUES ('packet_loss_rate_t-1'), ('jitter_t-1')) f(feature)"""
 _FIT_LINEAR_SQL = f"WITH {_XY_SQL}, {_ridge_sql('fits', [0.0, L2])} {_WEIGHT_ROWS}"
 
@@ -110,8 +110,8 @@ def _evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVALUATE_SQL = f"""WITH {_XY_SQL}, {_ridge_sql('fits', [0.0])}, e AS (SELECT y, w1 * x1 + w2 * x2 + b - y AS e FROM test, fits)
-    SELECT round(avg(e * e), 5) AS loss_mse, round(avg(abs(e) + ln(1 + exp(-2e0 * abs(e))) - ln(2e0)), 5) AS loss_log_cosh,
-      round(avg(e * e), 5) AS mse, round(avg(abs(e)), 5) AS mae, round(1 - sum(e * e) / (count(*) * var_pop(y)), 5) AS r2 FROM e"""
+    SELECT round(avg(e * e), 5) + 0e0 AS loss_mse, round(avg(abs(e) + ln(1 + exp(-2e0 * abs(e))) - ln(2e0)), 5) + 0e0 AS loss_log_cosh,
+      round(avg(e * e), 5) + 0e0 AS mse, round(avg(abs(e)), 5) + 0e0 AS mae, round(1 - sum(e * e) / (count(*) * var_pop(y)), 5) + 0e0 AS r2 FROM e"""
 
 
 _PENALTIES = [0.0, 0.01, 0.1, 1.0]
@@ -242,9 +242,9 @@ _SCALED_XY_SQL = (
 )
 _VALIDATE_SQL = f"""WITH {_SCALED_XY_SQL}, {_ridge_sql('fits', [0.0, L2])},
     e AS (SELECT run_id, qoe, (w1 * s1 + w2 * s2 + fits.b) * (q1 - q0) + q0 - qoe AS e FROM sc, fits)
-    SELECT CASE run_id WHEN 0 THEN 'linear_plain' ELSE 'linear_ridge' END AS model, round(avg(e * e), 4) AS mse, round(avg(abs(e)), 4) AS mae,
-      round(median(abs(e)), 4) AS medae, round(1 - sum(e * e) / (count(*) * var_pop(qoe)), 4) AS r2, round(avg(e), 4) AS mean_error,
-      round(max(abs(e)), 4) AS max_error FROM e GROUP BY run_id"""
+    SELECT CASE run_id WHEN 0 THEN 'linear_plain' ELSE 'linear_ridge' END AS model, round(avg(e * e), 4) + 0e0 AS mse, round(avg(abs(e)), 4) + 0e0 AS mae,
+      round(median(abs(e)), 4) + 0e0 AS medae, round(1 - sum(e * e) / (count(*) * var_pop(qoe)), 4) + 0e0 AS r2, round(avg(e), 4) + 0e0 AS mean_error,
+      round(max(abs(e)), 4) + 0e0 AS max_error FROM e GROUP BY run_id"""
 
 
 def _prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,10 +267,10 @@ _PREPARE_SQL = f"""WITH {t.DOCS_SQL}, ranked AS (SELECT d.*, w."QoE" AS q, row_n
 
 
 def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh row scored by a linear model of the rest, on two steps of one metric."""
+    """Purchases scored by a linear model of all other rows, on two steps of one metric."""
     names = ["packet_loss_rate"]
-    rows = t.samples(spark, sf_dir).select("event_id", "ts", *names, F.col("qoe").alias(TARGET))
-    history, new = rows.where("event_id % 7 <> 0"), rows.where("event_id % 7 = 0")
+    rows = t.samples(spark, sf_dir).select("event_id", "event_type", "ts", *names, F.col("qoe").alias(TARGET))
+    history, new = rows.where("event_type <> 'purchase'"), rows.where("event_type = 'purchase'")
     indexed, scaler = flows.scaled_order(history, names, ["ts", "event_id"])
     train = materialize(to_frame(sequences.make_sequences(indexed, 2, names)), "sequences")
     models = {"linear_plain": fit_linear(train, 2)}
@@ -278,14 +278,14 @@ def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("event_id", "model", r("prediction", 4).alias("prediction"))
 
 
-_PREDICT_SQL = f"""WITH {t.SAMPLES_SQL}, hist AS (SELECT event_id, ts, packet_loss_rate AS v, qoe FROM samples WHERE event_id % 7 <> 0),
+_PREDICT_SQL = f"""WITH {t.SAMPLES_SQL}, hist AS (SELECT event_id, ts, packet_loss_rate AS v, qoe FROM samples WHERE event_type <> 'purchase'),
     b AS (SELECT min(v) AS v0, max(v) AS v1, min(qoe) AS q0, max(qoe) AS q1 FROM hist),
     sc AS (SELECT ts, event_id, (v - v0) / (v1 - v0) AS s, (qoe - q0) / (q1 - q0) AS q FROM hist, b),
     train AS (SELECT lag(s, 2) OVER w AS x1, lag(s, 1) OVER w AS x2, q AS y, row_number() OVER w AS rn FROM sc WINDOW w AS (ORDER BY ts, event_id)),
     c AS (SELECT var_pop(x1) AS c11, var_pop(x2) AS c22, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y,
       avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM train WHERE rn > 2),
     {_ridge_sql('fits', [0.0])},
-    both_sides AS (SELECT event_id, ts, (packet_loss_rate - v0) / (v1 - v0) AS s, event_id % 7 = 0 AS is_new FROM samples, b),
+    both_sides AS (SELECT event_id, ts, (packet_loss_rate - v0) / (v1 - v0) AS s, event_type = 'purchase' AS is_new FROM samples, b),
     past AS (SELECT *, last_value(CASE WHEN NOT is_new THEN s END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM both_sides)
     SELECT event_id, 'linear_plain' AS model, round((w1 * prev + w2 * s + fits.b) * (q1 - q0) + q0, 4) AS prediction
     FROM past, fits, b WHERE is_new AND prev IS NOT NULL"""

@@ -18,7 +18,7 @@ S = 5
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.samples(spark, sf_dir).select("event_id", "user_id", "ts", *M, F.col("qoe").alias(TARGET))
+    return t.samples(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", *M, F.col("qoe").alias(TARGET))
 
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,9 +163,10 @@ _MEAN_POOL_SQL = f"""WITH {ORDERED_SQL}, x AS (SELECT event_id, idx,
 
 
 def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as the new records, everything else as the history."""
     rows = _series(spark, sf_dir)
     made = sequences.asof_history(
-        rows.where("event_id % 7 = 0"), rows.where("event_id % 7 <> 0"), 4, ["throughput", "jitter"], "event_id"
+        rows.where("event_type = 'purchase'"), rows.where("event_type <> 'purchase'"), 4, ["throughput", "jitter"], "event_id"
     )
     return made.select(
         "event_id", *[F.col("X")[i][0].alias(f"throughput_{i}") for i in range(4)], F.col("X")[3][1].alias("own_jitter")
@@ -173,7 +174,7 @@ def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASOF_SQL = f"""WITH {t.SAMPLES_SQL},
-    u AS (SELECT *, event_id % 7 <> 0 AS is_history FROM samples),
+    u AS (SELECT *, event_type <> 'purchase' AS is_history FROM samples),
     placed AS (SELECT *, sum(CASE WHEN is_history THEN 1 ELSE 0 END) OVER (ORDER BY ts, is_history, event_id) AS seen FROM u),
     hist AS (SELECT seen AS h, throughput FROM placed WHERE is_history)
     SELECT p.event_id, a.throughput AS throughput_0, b.throughput AS throughput_1, c.throughput AS throughput_2,
@@ -243,14 +244,14 @@ def _truth_tables(spark: SparkSession, sf_dir: str):
         name("l_orderkey").alias("file"), (F.col("l_suppkey") % 3).cast("string").alias("model"),
         (F.col("l_extendedprice") / 1100.0).alias("prediction"),
     )
-    truth = t.table(spark, sf_dir, "orders").where("o_orderkey % 6 <> 0").select(
+    truth = t.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(
         name("o_orderkey").alias("file"), (F.col("o_totalprice") / 5000.0).alias("ground_truth")
     )
     return preds, truth
 
 
 _TRUTH_SQL = """preds AS (SELECT l_orderkey::VARCHAR || '.json' AS file, (l_suppkey % 3)::VARCHAR AS model, l_extendedprice / 11e2 AS prediction FROM lineitem),
-    truth AS (SELECT o_orderkey::VARCHAR || '.json' AS file, o_totalprice / 5e3 AS ground_truth FROM orders WHERE o_orderkey % 6 <> 0)"""
+    truth AS (SELECT o_orderkey::VARCHAR || '.json' AS file, o_totalprice / 5e3 AS ground_truth FROM orders WHERE o_orderstatus <> 'P')"""
 
 
 def _join_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,15 +279,15 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that match a row, and every eighth one that does not."""
     wid = F.col("window_id")
     name = F.when(wid % 8 == 3, F.concat(F.lit("x"), F.col("file"))).otherwise(F.col("file"))
-    return t.windows(spark, sf_dir).select("window_id", name.alias("file"))
+    return t.windows(spark, sf_dir).select("window_id", name.alias("file"), TARGET)
 
 
 def _file_to_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.join_file_to_row(_files(spark, sf_dir), _ordered(spark, sf_dir)).select("window_id", "file", "idx")
 
 
-_FILES_SQL = ORDERED_SQL + """, w3 AS (SELECT window_id, max(ts) AS ts FROM samples GROUP BY window_id),
-    files AS (SELECT window_id, CASE WHEN window_id % 8 = 3 THEN 'x' ELSE '' END || strftime(ts, '%Y%m%d%H%M%S') || '.json' AS file FROM w3),
+_FILES_SQL = ORDERED_SQL + """, w3 AS (SELECT window_id, max(ts) AS ts, avg(qoe) AS q FROM samples GROUP BY window_id),
+    files AS (SELECT window_id, CASE WHEN window_id % 8 = 3 THEN 'x' ELSE '' END || strftime(ts, '%Y%m%d%H%M%S') || '.json' AS file, q FROM w3),
     first_rows AS (SELECT strftime(ts, '%Y%m%d%H%M%S') AS digits, min(idx) AS idx FROM ordered GROUP BY 1)"""
 _FILE_TO_ROW_SQL = f"""WITH {_FILES_SQL}
     SELECT window_id, file, idx FROM files JOIN first_rows ON split_part(file, '.', 1) = digits"""
@@ -294,11 +295,11 @@ _FILE_TO_ROW_SQL = f"""WITH {_FILES_SQL}
 
 def _skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
-    status = lookups.file_status(files, files.where("window_id % 5 <> 2"), _ordered(spark, sf_dir), 100)
+    status = lookups.file_status(files, files.where(F.col(TARGET) >= 75.0), _ordered(spark, sf_dir), 100)
     return lookups.skipped_files(status)
 
 
-_SKIPPED_SQL = f"""WITH {_FILES_SQL}, known AS (SELECT DISTINCT file FROM files WHERE window_id % 5 <> 2),
+_SKIPPED_SQL = f"""WITH {_FILES_SQL}, known AS (SELECT DISTINCT file FROM files WHERE q >= 75e0),
     status AS (SELECT CASE WHEN files.file NOT IN (SELECT file FROM known) THEN 'not in metadata' WHEN idx IS NULL THEN 'no matching timestamp'
       WHEN idx < 99 THEN 'not enough history' END AS reason FROM files LEFT JOIN first_rows ON split_part(file, '.', 1) = digits)
     SELECT reason, count(*) AS n_files FROM status WHERE reason IS NOT NULL GROUP BY reason"""

@@ -20,7 +20,7 @@ def _regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("model", *[r(c).alias(c) for c in METRIC_NAMES])
 
 
-_METRIC_LIST = ", ".join(f"round({m}, 6) AS {m}" for m in METRIC_NAMES)
+_METRIC_LIST = ", ".join(f"round({m}, 6) + 0e0 AS {m}" for m in METRIC_NAMES)
 _REGRESSION_SQL = f"WITH {t.METRICS_SQL} SELECT model, {_METRIC_LIST} FROM metrics"
 
 
@@ -48,7 +48,7 @@ def _eval_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCALED_SQL = t.PREDICTIONS_SQL + """, b AS (SELECT min(ground_truth) AS lo, max(ground_truth) AS hi FROM predictions),
     scored AS (SELECT (ground_truth - lo) / (hi - lo) AS y, prediction / 11e1 AS p, lo, hi FROM predictions, b)"""
 _EVAL_SCALED_SQL = f"""WITH {_SCALED_SQL} SELECT round(avg((p - y) * (p - y)), 8) AS mse, round(avg(abs(p - y)), 8) AS mae,
-    round(1 - sum((p - y) * (p - y)) / (count(*) * var_pop(y)), 8) AS r2 FROM scored"""
+    round(1 - sum((p - y) * (p - y)) / (count(*) * var_pop(y)), 8) + 0e0 AS r2 FROM scored"""
 
 
 def _eval_original(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def _file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FILE_METRICS_SQL = f"""WITH {t.PREDICTIONS_SQL} SELECT round(avg(error * error), 6) AS mse, round(sqrt(avg(error * error)), 6) AS rmse,
     round(avg(abs(error)), 6) AS mae, round(1 - sum(error * error) / (count(*) * var_pop(ground_truth)), 6) AS r2,
-    round(avg(error), 6) AS bias FROM errors"""
+    round(avg(error), 6) + 0e0 AS bias FROM errors"""
 
 
 def _loss_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ def _rank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANK_MODELS_SQL = f"""WITH {t.METRICS_SQL}, tall AS (
       SELECT model, 'r2' AS metric, r2 AS value, -r2 AS k FROM metrics UNION ALL SELECT model, 'rmse', rmse, rmse FROM metrics
       UNION ALL SELECT model, 'mae', mae, mae FROM metrics UNION ALL SELECT model, 'bias', abs(mean_error), abs(mean_error) FROM metrics)
-    SELECT model, metric, round(value, 6) AS value, row_number() OVER (PARTITION BY metric ORDER BY k, model) AS rank FROM tall"""
+    SELECT model, metric, round(value, 6) + 0e0 AS value, row_number() OVER (PARTITION BY metric ORDER BY k, model) AS rank FROM tall"""
 
 
 def _top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def _top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOP_ERRORS_SQL = f"""WITH {t.PREDICTIONS_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY model
       ORDER BY abs(error) DESC, file, prediction) AS rank FROM errors)
-    SELECT model, file, round(error, 6) AS error, CASE WHEN length(file) > 10 THEN substr(file, 1, 10) || '...' ELSE file END AS label,
+    SELECT model, file, round(error, 6) + 0e0 AS error, CASE WHEN length(file) > 10 THEN substr(file, 1, 10) || '...' ELSE file END AS label,
       rank FROM x WHERE rank <= 10"""
 
 
@@ -227,7 +227,7 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ERRORS_SQL = f"""WITH {t.PREDICTIONS_SQL} SELECT model, file, CASE WHEN length(file) > 10 THEN substr(file, 1, 10) || '...' ELSE file END
-    AS label, round(error, 6) AS error FROM errors"""
+    AS label, round(error, 6) + 0e0 AS error FROM errors"""
 
 
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +264,7 @@ def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COMPARISON_SQL = f"""WITH {t.METRICS_SQL} {' UNION ALL '.join(
-    f"SELECT model, '{m}' AS metric, round({m}, 6) AS value FROM metrics" for m in ('mae', 'rmse', 'r2', 'mean_error'))}"""
+    f"SELECT model, '{m}' AS metric, round({m}, 6) + 0e0 AS value FROM metrics" for m in ('mae', 'rmse', 'r2', 'mean_error'))}"""
 
 
 def _roll(fn, name: str):
@@ -291,7 +291,7 @@ def _top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOP_FEATURES_SQL = f"""WITH {t.WEIGHTS_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY model_name
       ORDER BY abs(weight) DESC, feature, weight) AS rank FROM weights)
-    SELECT model_name, feature, round(weight, 6) AS weight, rank FROM x WHERE rank <= 10"""
+    SELECT model_name, feature, round(weight, 6) + 0e0 AS weight, rank FROM x WHERE rank <= 10"""
 
 
 def _rank_base(spark: SparkSession, sf_dir: str) -> DataFrame:

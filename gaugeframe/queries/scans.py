@@ -232,8 +232,8 @@ _SINK_RESULTS_SQL = f"""WITH {t.PREDICTIONS_SQL}
 def _sink_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "runs")
     runs = t.runs_text(spark, sf_dir).select("run_id", "model_type", "seq_length")
-    sinks.append_experiments(runs.where("run_id % 2 = 0"), path)
-    sinks.append_experiments(runs.where("run_id % 2 = 1"), path)
+    sinks.append_experiments(runs.where("model_type = 'gru'"), path)
+    sinks.append_experiments(runs.where("model_type <> 'gru'"), path)
     return spark.read.parquet(path).groupBy("model_type", "seq_length").agg(F.count(F.lit(1)).alias("n_runs"))
 
 
@@ -248,18 +248,18 @@ def _scaler_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored scaler applied to other rows than it was fitted on."""
+    """A stored scaler applied to the rows."""
     path = scratch_path(spark, "scaler")
     rows = t.samples(spark, sf_dir).withColumnRenamed("qoe", TARGET)
-    sinks.save_scaler(fit_scaler(rows.where("event_id % 3 = 0"), METRICS["new"]), path)
-    scaled = scale(rows.where("event_id % 3 <> 0"), sinks.load_scaler(spark, path), [*METRICS["new"], TARGET])
+    sinks.save_scaler(fit_scaler(rows, METRICS["new"]), path)
+    scaled = scale(rows, sinks.load_scaler(spark, path), [*METRICS["new"], TARGET])
     return scaled.select("event_id", *[r(c, 9).alias(c) for c in (*METRICS["new"], TARGET)])
 
 
 _LOAD_SCALER_SQL = f"""WITH {t.SAMPLES_SQL}, b AS (SELECT {', '.join(f'min({m}) AS lo_{m}, max({m}) AS hi_{m}' for m in (*METRICS['new'], 'qoe'))}
-      FROM samples WHERE event_id % 3 = 0)
+      FROM samples)
     SELECT event_id, {', '.join(f'round(({m} - lo_{m}) / (hi_{m} - lo_{m}), 9) AS {m}' for m in METRICS['new'])},
-      round((qoe - lo_qoe) / (hi_qoe - lo_qoe), 9) AS "QoE" FROM samples, b WHERE event_id % 3 <> 0"""
+      round((qoe - lo_qoe) / (hi_qoe - lo_qoe), 9) AS "QoE" FROM samples, b"""
 
 
 def scaler_sql() -> str:

@@ -1,8 +1,7 @@
 """The engine's inputs, derived row by row from the test tables, and the same in SQL.
 
-* sub-samples: one per event; five consecutive events form a window. ``event_id`` is a key,
-  so a window never holds more than five rows. Some events are left out, which makes
-  windows ragged.
+* sub-samples: one per event; nine consecutive events form a window of five and a ragged one
+  of four. ``event_id`` is a key, so a window never holds more than five rows.
 * documents: the JSON text of each window, with defects in some of them.
 * predictions: one per line item; evaluation results and experiment runs: one per order;
   feature weights: one per line item; logs: one per order.
@@ -47,14 +46,14 @@ def r(col: Column | str, digits: int = 6) -> Column:
 # --- sub-samples and windows ------------------------------------------------------------
 
 
-def all_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
     measured = ev.select(
         "event_id",
-        F.expr("event_id div 5").alias("window_id"),
+        F.expr("event_id div 9 * 2 + int(event_id % 9 >= 5)").alias("window_id"),
         "ts",
         "user_id",
         "event_type",
@@ -73,10 +72,6 @@ def all_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_samples(spark, sf_dir).where(~((F.col("event_type") == "error") & (F.col("k") % 4 == 0)))
-
-
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(window_id, file, ts, QoE, samples); at most five sub-samples each."""
     rows = samples(spark, sf_dir)
@@ -89,10 +84,10 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("window_id", F.concat(ts_digits(F.col("ts")), F.lit(".json")).alias("file"), "ts", TARGET, "samples")
 
 
-ALL_SAMPLES_SQL = f"""
+BASE_SAMPLES_SQL = f"""
 ev AS (SELECT *, json_extract_string(props, '$.k')::INTEGER AS k FROM events),
 measured AS (
-  SELECT event_id, event_id // 5 AS window_id, ts, user_id, event_type, k, lpad(event_id::VARCHAR, 14, '0') AS key,
+  SELECT event_id, event_id // 9 * 2 + CASE WHEN event_id % 9 >= 5 THEN 1 ELSE 0 END AS window_id, ts, user_id, event_type, k, lpad(event_id::VARCHAR, 14, '0') AS key,
     value * 2e0 + 6e2 AS throughput, (k % 6)::DOUBLE AS packets_lost, (k % 51)::DOUBLE / 1e1 AS packet_loss_rate,
     (user_id % 150)::DOUBLE / 1e1 + 15e0 AS jitter, (event_id * 7 % 60)::DOUBLE AS speed,
     (hour(ts) >= 7 AND hour(ts) < 10) OR (hour(ts) >= 17 AND hour(ts) < 20) AS is_peak
@@ -101,10 +96,9 @@ clipped AS (
   SELECT *, greatest(0e0, least(95e0 - packet_loss_rate * 4e0 - jitter * 1e-1
       + ((throughput - 6e2) / 1e3) * 5e0 - speed * 5e-2 - CASE WHEN is_peak THEN 5e0 ELSE 0e0 END, 1e2)) AS raw
   FROM measured),
-all_samples AS (SELECT * EXCLUDE (raw), {sql_round('raw', 6)} AS qoe FROM clipped)"""
+samples AS (SELECT * EXCLUDE (raw), {sql_round('raw', 6)} AS qoe FROM clipped)"""
 
-SAMPLES_SQL = ALL_SAMPLES_SQL + """,
-samples AS (SELECT * FROM all_samples WHERE NOT (event_type = 'error' AND k % 4 = 0)),
+SAMPLES_SQL = BASE_SAMPLES_SQL + """,
 slotted AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY key) - 1 AS slot FROM samples)"""
 
 WINDOWS_SQL = SAMPLES_SQL + """,
@@ -185,7 +179,7 @@ doc_samples AS (
 
 def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, value): one flat JSON record per event, every ninth to be scored, some damaged."""
-    rows = all_samples(spark, sf_dir)
+    rows = samples(spark, sf_dir)
     eid = F.col("event_id")
     number = lambda m: F.concat(F.lit(f'"{m}":'), F.col(m).cast("string"), F.lit(","))
     text = F.concat(
@@ -201,11 +195,11 @@ def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", text.alias("value"))
 
 
-FLAT_SQL = ALL_SAMPLES_SQL + """,
+FLAT_SQL = BASE_SAMPLES_SQL + """,
 flat AS (
   SELECT event_id, packet_loss_rate, CASE WHEN event_id % 29 <> 3 THEN jitter END AS jitter, throughput, speed,
     CASE WHEN event_id % 9 <> 0 THEN qoe END AS "QoE", CASE WHEN event_id % 31 <> 5 THEN date_trunc('second', ts) END AS ts
-  FROM all_samples)"""
+  FROM samples)"""
 
 
 # --- predictions ------------------------------------------------------------------------
