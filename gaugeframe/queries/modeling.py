@@ -252,10 +252,10 @@ def _prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = flows.prepare_validation(t.documents(spark, sf_dir), path, 0.6, seed=3)
     truth, masked, metadata = sinks.load_validation_pair(spark, path)
     summary = truth.join(metadata, "file").agg(
-        F.struct(F.count(F.lit(1)).alias("n"), r(F.sum("ground_truth_qoe"), 5).alias("total")).alias("s")
+        F.struct(F.count(F.lit(1)).alias("n"), r(F.avg("ground_truth_qoe"), 7).alias("mean")).alias("s")
     ).scalar()
     return counts.withColumn("_s", summary).withColumn("n_masked", masked.where(F.col(TARGET).isNull()).agg(F.count(F.lit(1))).scalar()).select(
-        "n_valid", "n_invalid", "n_masked", F.col("_s")["n"].alias("n_truth"), F.col("_s")["total"].alias("sum_truth")
+        "n_valid", "n_invalid", "n_masked", F.col("_s")["n"].alias("n_truth"), F.col("_s")["mean"].alias("mean_truth")
     )
 
 
@@ -263,7 +263,7 @@ _PREPARE_SQL = f"""WITH {t.DOCS_SQL}, ranked AS (SELECT d.*, w."QoE" AS q, row_n
       count(*) OVER () AS n FROM docs d JOIN windows w ON d.window_id = w.window_id),
     chosen AS (SELECT *, window_id % 17 <> 3 AND window_id % 13 <> 5 AND window_id % 11 <> 7 AND window_id % 23 <> 6 AS ok FROM ranked WHERE rn <= floor(n * 6e-1))
     SELECT count_if(ok)::BIGINT AS n_valid, count_if(NOT ok)::BIGINT AS n_invalid, count_if(ok)::BIGINT AS n_masked,
-      count_if(ok)::BIGINT AS n_truth, round(sum(q) FILTER (ok), 5) AS sum_truth FROM chosen"""
+      count_if(ok)::BIGINT AS n_truth, round(avg(q) FILTER (ok), 7) AS mean_truth FROM chosen"""
 
 
 def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
