@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import zlib
-from bisect import bisect_right, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +31,8 @@ from gaugeframe.session import materialize
 
 CAPACITY = 2048
 END_ID = 1
-# Rows of one length that are ranked by one task, about.
-RANKED_ROWS = 200_000
+# Rows of one length that are ranked together, about; a frequent length is dealt to many groups.
+RANKED_ROWS = 1_000
 BATCH_CHARS = 1 << 20
 
 
@@ -184,8 +184,8 @@ def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity:
     if histogram and not (1 <= min(histogram) and max(histogram) <= capacity):
         raise ValueError(f"pieces must have 1 to {capacity} ids")
     slots = Slots(shortest_pack_first(histogram, capacity))
-    buckets = max(1, -(-max(histogram.values(), default=0) // RANKED_ROWS))
-    spread = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    buckets = F.lit([-(-histogram.get(n, 1) // RANKED_ROWS) for n in range(1, capacity + 1)])
+    spread = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.element_at(buckets, F.col(length).cast("int"))).cast("int"))
     counts = spread.groupBy(length, "_bucket").count()
     base = F.sum("count").over(Window.partitionBy(length).orderBy("_bucket")) - F.col("count")
     counts = counts.select(length, "_bucket", base.alias("_base"))

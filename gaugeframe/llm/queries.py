@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import packing, token_count
+from gaugeframe.llm import decontaminate, language, near_dedup, packing, quality, secrets, token_count
 
-MODULES = (packing, token_count)
+MODULES = (packing, token_count, quality, language, decontaminate, near_dedup, secrets)
 QUERIES = {name: pair for module in MODULES for name, pair in module.QUERIES.items()}
