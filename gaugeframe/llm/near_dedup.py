@@ -129,8 +129,8 @@ def with_signature(df: DataFrame, text: str, k: int) -> DataFrame:
             text_of, value = shingles(words(part, NON_SPACE, lower=True), k)
             n = len(part)
             starts = np.searchsorted(text_of, np.arange(n + 1))
-            sums = [np.concatenate([[0], np.cumsum(mix(value ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35)]
-            keys = [pa.array((s[starts[1:]] - s[starts[:-1]]).astype(np.uint64).view(np.int64)) for s in sums]
+            sums = [np.cumsum(np.append(np.uint64(0), mix(value ^ np.uint64(salt))), dtype=np.uint64) for salt in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35)]
+            keys = [pa.array((s[starts[1:]] - s[starts[:-1]]).view(np.int64)) for s in sums]
             registers = binary(signatures(text_of, value, n).ravel(), np.arange(n + 1) * REGISTERS)
             parts.append(pa.StructArray.from_arrays([pa.array(np.diff(starts)), *keys, registers], names=["n", "s1", "s2", "registers"]))
         kind = pa.struct([("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("registers", pa.binary())])

@@ -119,7 +119,7 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         "in_path": F.col("before").rlike(r"[/\\.@]$") | F.col("after").rlike(r"^[/\\.@]\S"),
         "assigned": F.col("before").rlike(rf"{ASSIGNED}$"),
         "credential_near": F.col("before").rlike(CREDENTIAL),
-        "placeholder_near": F.concat_ws(" ", near, c).rlike(PLACEHOLDER),
+        "placeholder_near": F.concat(F.right("before", F.lit(24)), c).rlike(PLACEHOLDER),
         "digest_near": F.col("before").rlike(DIGEST),
         "quoted": F.col("before").rlike("[\"'`]$"),
         "words_near": F.regexp_count(near, F.lit(r"\p{L}{3,}")),
