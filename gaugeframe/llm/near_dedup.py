@@ -25,13 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.arrowtext import NON_SPACE, RangeHash, Words, mix, slices, words
 from gaugeframe.llm.components import components
-from gaugeframe.llm.data import read
-from gaugeframe.session import materialize
+from gaugeframe.llm.data import read, stored
 
 REGISTERS = 256
 MANTISSA = 10
@@ -183,7 +182,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
         return pa.array(found, type=pa.int64())
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(with_set(texts.join(ids, "id", "left_semi"), "text", k), "sets")
+    sets = stored(with_set(texts.join(ids, "id", "left_semi"), "text", k), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("_set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("_set").alias("sb")), "b")
     i = common("sa", "sb")
     union = (F.octet_length("sa") / 8 + F.octet_length("sb") / 8).cast("long") - F.col("i")
@@ -194,24 +193,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """(key, n_shingles, component_id) per row; links have 100 * common >= percent * union shingles of k words."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     signed = with_signature(rows, "text", k).select("id", F.col("_sig.n").alias("n"), F.col("_sig.s1").alias("s1"), F.col("_sig.s2").alias("s2"), F.col("_sig.registers").alias("r"))
-    signed = materialize(signed, "signatures")
+    signed = stored(signed, "signatures")
     usable = signed.where("n > 0 and id is not null")
-    nodes = materialize(usable.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.min("n").alias("n")), "nodes")
+    nodes = stored(usable.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.min("n").alias("n")), "nodes")
     # The rows of the nodes themselves; equal rows would repeat a node.
-    registers = materialize(
+    registers = stored(
         usable.join(nodes.select("s1", "s2", F.col("node").alias("id")), ["s1", "s2", "id"], "left_semi")
         .groupBy("id", "s1", "s2", "n").agg(F.first("r").alias("r")), "registers",
     )
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("r"), i * 2 * BAND + 1, F.lit(2 * BAND)))))
     banded = registers.select(band.alias("key"), F.col("id").alias("node"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    met = materialize(banded.join(leaders, "key"), "buckets")
+    met = stored(banded.join(leaders, "key"), "buckets")
     links = _links(met.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), registers, rows, percent, k)
     root = components(links)
     # Buckets that still hold several components: their pairs across components.
     labelled = met.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = materialize(labelled.join(mixed, "key"), "rest")
+    rest = stored(labelled.join(mixed, "key"), "rest")
     left, right = (rest.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
     across = left.join(right, "key").where("root_a < root_b").select("a", "b").distinct()
     more = _links(across.join(links, ["a", "b"], "left_anti"), registers, rows, percent, k)
@@ -223,18 +222,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def _links(pairs: DataFrame, registers: DataFrame, rows: DataFrame, percent: int, k: int) -> DataFrame:
-    pairs = materialize(pairs, "pairs")
+    pairs = stored(pairs, "pairs")
     for side in "ab":
         own = registers.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("r").alias(f"r{side}"))
         pairs_with = pairs.join(own, side) if side == "a" else pairs_with.join(own, side)
-    likely = materialize(_likely(pairs_with, percent), "likely")
-    return materialize(_confirmed(likely, rows, percent, k).distinct(), "links")
+    likely = stored(_likely(pairs_with, percent), "likely")
+    return stored(_confirmed(likely, rows, percent, k).distinct(), "links")
 
 
 def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest key, with all columns."""
-    found = near_duplicates(docs, key, text, k, percent).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(found, docs[key] == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates, that of the smallest key, with all columns.
+
+    Of rows that repeat the key one stays. Rows without a key stay.
+    """
+    found = near_duplicates(docs, key, text, k, percent).where(F.col("component_id") != F.col(key))
+    gone = stored(found.select(F.col(key).alias("_gone")).distinct(), "gone")
+    left = docs.where(F.col(key).isNotNull()).join(gone, docs[key] == F.col("_gone"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text)))
+    one = left.withColumn("_nth", nth).where(F.col("_nth") == 1).drop("_nth")
+    return one.unionByName(docs.where(F.col(key).isNull()))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import decontaminate, language, near_dedup, packing, quality, secrets, seed_extend, suffix_dedup, token_count
+from gaugeframe.llm import decontaminate, language, near_dedup, neighbours, packing, quality, secrets, seed_extend, suffix_dedup, token_count
 
-MODULES = (packing, token_count, quality, language, decontaminate, near_dedup, secrets, seed_extend, suffix_dedup)
+MODULES = (packing, token_count, quality, language, decontaminate, near_dedup, secrets, seed_extend, suffix_dedup, neighbours)
 QUERIES = {name: pair for module in MODULES for name, pair in module.QUERIES.items()}
