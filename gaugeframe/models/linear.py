@@ -8,36 +8,39 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.models.frames import fit_rows
 from gaugeframe.operators.sequences import feature_step_names
 
-# The one-pass solver keeps a matrix of features x features; beyond this it would not fit.
-_ONE_PASS_FEATURES = 4096
-
 
 def fit_linear(
-    frame: DataFrame, n_features: int, l1: float = 0.0, l2: float = 0.0, max_iter: int = 100
+    frame: DataFrame, n_features: int, l1: float = 0.0, l2: float = 0.0, max_iter: int = 100, solver: str = "normal"
 ) -> LinearRegressionModel:
-    """Minimise mean(e^2) + l1*sum|w| + l2*sum(w^2).
+    """Minimise mean(e^2) + l1*sum|w| + l2*sum(w^2) over the complete rows of ``frame``.
 
-    Uses the normal equations: one pass over the rows whatever the penalty. Spark divides
-    the quadratic penalty by the deviation of the target, which is undone here; the
-    iterative solver uses the sample deviation, the one-pass solver the population one.
+    ``solver="normal"`` needs one pass over the rows whatever the penalty and keeps a matrix
+    of features x features; Spark refuses more than 4096 features there. ``"l-bfgs"`` takes any
+    number and fails if it has not converged after ``max_iter`` steps. Spark divides the
+    quadratic penalty by the deviation of the target, which is undone here; the iterative
+    solver uses the sample deviation, the one-pass solver the population one.
     """
-    one_pass = n_features <= _ONE_PASS_FEATURES
-    reg = l1 / 2.0
+    one_pass, reg = solver == "normal", l1 / 2.0
+    frame = fit_rows(frame)
     if l2:
         spread = frame.agg(F.stddev_pop("y") if one_pass else F.stddev_samp("y")).first()[0]
         reg += l2 * float(spread or 0.0)
-    return LinearRegression(
+    model = LinearRegression(
         featuresCol="features",
         labelCol="y",
         standardization=False,
-        solver="normal" if one_pass else "l-bfgs",
+        solver=solver,
         regParam=reg,
         elasticNetParam=(l1 / 2.0) / reg if reg else 0.0,
         maxIter=max_iter,
         tol=1e-9,
     ).fit(frame)
+    if not one_pass and model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"not converged after {max_iter} iterations; raise max_iter")
+    return model
 
 
 def linear_importance(

@@ -6,6 +6,8 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.models.frames import fit_rows
+
 
 def fit_nonlinear(
     frame: DataFrame,
@@ -21,4 +23,4 @@ def fit_nonlinear(
     if validation:
         settings |= {"validationIndicatorCol": validation, "validationTol": tolerance}
         frame = frame.withColumn(validation, F.coalesce(validation, F.lit(False)))
-    return GBTRegressor(**settings).fit(frame)
+    return GBTRegressor(**settings).fit(fit_rows(frame))

@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.util import DefaultParamsReader, JavaMLWritable
 from pyspark.ml.wrapper import JavaModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.text import classify_model
+from gaugeframe.models.frames import MISSING_VALUE, complete, predict
 from gaugeframe.operators.metrics import eval_losses
 
 
@@ -23,15 +24,19 @@ def guard_width(sequences: DataFrame, n_features: int, x: str = "X") -> DataFram
 
 
 def score_sequences(models: dict[str, JavaModel], frame: DataFrame) -> DataFrame:
-    """Predictions of every model for every sequence: one narrow pass, all models side by side."""
+    """Predictions of every model for every sequence: one narrow pass, all models side by side.
+
+    ``reason`` says why a prediction is NULL.
+    """
     scored = frame
     for i, model in enumerate(models.values()):
-        scored = model.setPredictionCol(f"_p{i}").transform(scored)
+        scored = predict(model, scored, f"_p{i}")
+    scored = scored.withColumn("reason", F.when(~complete(), MISSING_VALUE))
     pairs = F.array(
         *[F.struct(F.lit(name).alias("model"), F.col(f"_p{i}").alias("prediction")) for i, name in enumerate(models)]
     )
-    keep = [c for c in frame.columns if c not in ("features", "X")]
-    return scored.select(*keep, F.inline(pairs))
+    keep = [c for c in frame.columns if c not in ("features", "X", "complete")]
+    return scored.select(*keep, "reason", F.inline(pairs))
 
 
 def score_external(
@@ -58,26 +63,36 @@ def attention_pool(
 ) -> DataFrame:
     """Softmax over time of tanh(X W + b) u, then the weighted sum of the steps.
 
-    The weights are model-sized and travel with the task; the matrix products run per Arrow batch.
+    Array functions only; the weights are model-sized literals. A missing value makes the
+    result NULL.
     """
-    width = weights.shape[0]
-
-    @F.pandas_udf("array<double>")
-    def run(flat: pd.Series) -> pd.Series:
-        if flat.empty:
-            return pd.Series([], dtype="object")
-        steps = np.stack([np.asarray(row, dtype="float64") for row in flat]).reshape(len(flat), -1, width)
-        logits = np.tanh(steps @ weights + bias) @ context
-        shifted = np.exp(logits - logits.max(axis=1, keepdims=True))
-        share = shifted / shifted.sum(axis=1, keepdims=True)
-        return pd.Series(list((share[:, :, None] * steps).sum(axis=1)))
 
-    return sequences.withColumn(out, run(F.flatten(x)))
+    def logit(row: Column) -> Column:
+        total = F.lit(0.0)
+        for j in range(weights.shape[1]):
+            inner = F.lit(float(bias[j]))
+            for i in range(weights.shape[0]):
+                inner = inner + F.get(row, F.lit(i)) * float(weights[i, j])
+            total = total + F.tanh(inner) * float(context[j])
+        return total
+
+    def weighted(steps: Column, shares: Column, i: int) -> Column:
+        terms = F.zip_with(steps, shares, lambda row, share: F.get(row, F.lit(i)) * share)
+        return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+
+    scored = sequences.withColumn("_logits", F.transform(x, logit))
+    largest = F.array_max("_logits")
+    scored = scored.withColumn("_powers", F.transform("_logits", lambda v: F.exp(v - largest)))
+    total = F.aggregate("_powers", F.lit(0.0), lambda a, b: a + b)
+    scored = scored.withColumn("_shares", F.transform("_powers", lambda v: v / total))
+    pooled = F.array(*[weighted(F.col(x), F.col("_shares"), i) for i in range(weights.shape[0])])
+    known = F.forall(x, lambda row: F.forall(row, lambda v: v.isNotNull()))
+    return scored.withColumn(out, F.when(known, pooled)).drop("_logits", "_powers", "_shares")
 
 
 def evaluate_model(model: JavaModel, frame: DataFrame) -> DataFrame:
     """Both losses, mse, mae and r2 of a model on held-out sequences."""
-    return eval_losses(model.setPredictionCol("prediction").transform(frame).select("y", "prediction"))
+    return eval_losses(predict(model, frame).select("y", "prediction"))
 
 
 def save_model(spark: SparkSession, name: str, model: JavaMLWritable, folder: str) -> None:

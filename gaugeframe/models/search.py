@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.models.frames import predict
 from gaugeframe.models.linear import fit_linear
 from gaugeframe.models.nonlinear import fit_nonlinear
 from gaugeframe.operators.metrics import loss_mse
@@ -72,7 +72,7 @@ def _fit(config: dict, frame: DataFrame, n_features: int, budget: int | None = N
 
 
 def _loss(model, frame: DataFrame) -> float:
-    scored = model.setPredictionCol("prediction").transform(frame)
+    scored = predict(model, frame)
     return float(scored.agg(loss_mse(F.col("y"), F.col("prediction"))).first()[0])
 
 
@@ -82,29 +82,32 @@ def grid_search(
     """Fit every setting, log its loss on the time-ordered validation tail.
 
     A run table with (run_id, model_type, config, test_loss); a failing setting gets a NULL
-    loss. With ``path`` each run is appended as soon as it is done.
+    loss. With ``path`` each run is appended as soon as it is done. ``train`` and
+    ``validation`` are read once or more per setting and should be stored.
     """
     schema = "run_id INT, model_type STRING, config STRING, test_loss DOUBLE"
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
     runs = []
-    try:
-        for run_id, config in enumerate(configs):
-            try:
-                loss = _loss(_fit(config, train, n_features), validation)
-            except Exception as error:  # noqa: BLE001
-                print(f"run {run_id} failed: {error}")
-                loss = None
-            settings = ",".join(f"{k}={v}" for k, v in sorted(config.items()) if k != "model_type")
-            runs.append((run_id, config["model_type"], settings, loss))
-            if path:
-                append_experiments(spark.createDataFrame(runs[-1:], schema), path)
-    finally:
-        train.unpersist()
-        validation.unpersist()
+    for run_id, config in enumerate(configs):
+        try:
+            loss = _loss(_fit(config, train, n_features), validation)
+        except Exception as error:  # noqa: BLE001
+            print(f"run {run_id} failed: {error}")
+            loss = None
+        settings = ",".join(f"{k}={v}" for k, v in sorted(config.items()) if k != "model_type")
+        runs.append((run_id, config["model_type"], settings, loss))
+        if path:
+            append_experiments(spark.createDataFrame(runs[-1:], schema), path)
     return spark.createDataFrame(runs, schema)
 
 
+def _tried(config: dict, train: DataFrame, validation: DataFrame, n_features: int, budget: int) -> float | None:
+    try:
+        return _loss(_fit(config, train, n_features, budget), validation)
+    except Exception as error:  # noqa: BLE001
+        print(f"{config} failed: {error}")
+        return None
+
+
 def successive_halving(
     spark: SparkSession,
     train: DataFrame,
@@ -116,24 +119,22 @@ def successive_halving(
 ) -> DataFrame:
     """Fit all settings with a small budget, keep the best third, raise the budget, repeat.
 
-    (rung, budget, config, loss, kept); the driver holds one row per fit.
+    (rung, budget, config, loss, kept); the driver holds one row per fit. The budget is the
+    number of trees; a setting that fails is placed last with a NULL loss. ``train`` and
+    ``validation`` are read once per fit and should be stored.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
+    if any(c["model_type"] == "linear" for c in configs):
+        raise ValueError("linear fits are solved in one pass whatever the budget; use grid_search")
     rows, alive, rung = [], list(configs), 0
-    try:
-        while alive:
-            losses = [_loss(_fit(c, train, n_features, budget), validation) for c in alive]
-            order = sorted(range(len(alive)), key=lambda i: (losses[i], i))
-            keep = 0 if len(alive) == 1 else -(-len(alive) // factor)
-            for place, i in enumerate(order):
-                settings = ",".join(f"{k}={v}" for k, v in sorted(alive[i].items()))
-                rows.append((rung, budget, settings, losses[i], place < max(keep, 1)))
-            alive = [alive[i] for i in order[:keep]]
-            rung, budget = rung + 1, budget * factor
-    finally:
-        train.unpersist()
-        validation.unpersist()
+    while alive:
+        losses = [_tried(c, train, validation, n_features, budget) for c in alive]
+        order = sorted(range(len(alive)), key=lambda i: (losses[i] is None, losses[i] or 0.0, i))
+        keep = 0 if len(alive) == 1 else -(-len(alive) // factor)
+        for place, i in enumerate(order):
+            settings = ",".join(f"{k}={v}" for k, v in sorted(alive[i].items()))
+            rows.append((rung, budget, settings, losses[i], place < max(keep, 1)))
+        alive = [alive[i] for i in order[:keep]]
+        rung, budget = rung + 1, budget * factor
     return spark.createDataFrame(rows, "rung INT, budget INT, config STRING, loss DOUBLE, kept BOOLEAN")
 
 

@@ -44,6 +44,11 @@ def flatten_samples(
     return windows.withColumns(columns)
 
 
+def widest_window(windows: DataFrame, samples: str = "samples") -> int:
+    """The number of sub-samples of the longest window, by one aggregate."""
+    return windows.agg(F.max(F.size(samples))).first()[0] or 0
+
+
 def _present(samples: str, metric: str) -> Column:
     return F.filter(F.transform(samples, lambda s: s["v"][metric]), lambda x: x.isNotNull())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.text import base_feature, lag_step, stat_suffix
@@ -48,8 +48,9 @@ def top_features(weights: DataFrame, k: int = 10, groups: Sequence[str] = ("mode
 
 
 def rank_base_features(rolled: DataFrame, name: str = "base_feature") -> DataFrame:
-    """A roll-up by average importance, largest first; one row per feature name."""
-    return rolled.orderBy(F.col("avg_importance").desc(), name)
+    """A roll-up with its rank by average importance, largest first; one row per feature name."""
+    place = F.row_number().over(Window.orderBy(F.col("avg_importance").desc_nulls_last(), name))
+    return rolled.withColumn("rank", place)
 
 
 def rank_steps(rolled: DataFrame) -> DataFrame:

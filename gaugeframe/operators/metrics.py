@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions.numeric import log_cosh, r2_score, squared_error
 from gaugeframe.operators.scaling import inverse_scale
+from gaugeframe.plans.joins import match
 from gaugeframe.plans.quantiles import exact_quantiles
 
 TRUTH = "ground_truth"
@@ -60,28 +61,27 @@ def regression_metrics(
     truth: str = TRUTH,
     prediction: str = PREDICTION,
     approximate_median: bool = False,
+    median: bool = True,
 ) -> DataFrame:
     """mse, rmse, mae, medae, r2, explained_variance, mean/max/min error per group.
 
     Everything but the median combines before the shuffle. The exact median goes through
     ``plans.quantiles``; ``approximate_median`` uses a sketch in the same pass instead.
+    Without ``median`` there is no medae column and one pass is all.
     """
     groups = list(groups)
     y, p = F.col(truth).cast("double"), F.col(prediction).cast("double")
     extra = [F.percentile_approx(F.abs(p - y), 0.5).alias("medae")] if approximate_median else []
     table = predictions.groupBy(*groups).agg(*_sums(y, p), *extra).withColumns(_derived())
+    if not median:
+        return table.select(*groups, *[name for name in METRIC_NAMES if name != "medae"])
     if not approximate_median:
         size = predictions.select(*groups, F.abs(p - y).alias("_abs_error"))
-        median = exact_quantiles(size, "_abs_error", {"medae": 0.5}, groups)
+        medians = exact_quantiles(size, "_abs_error", {"medae": 0.5}, groups)
         if groups:
-            renamed = median.select(*[F.col(g).alias(f"_m_{g}") for g in groups], "medae")
-            on = None
-            for g in groups:
-                term = F.col(g).eqNullSafe(F.col(f"_m_{g}"))
-                on = term if on is None else on & term
-            table = table.join(renamed, on)
+            table = match(table, medians, groups, ["medae"], "left")
         else:
-            table = table.withColumn("medae", median.scalar())
+            table = table.withColumn("medae", medians.scalar())
     return table.select(*groups, *METRIC_NAMES)
 
 

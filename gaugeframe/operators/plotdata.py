@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 from gaugeframe.operators.metrics import regression_metrics
 from gaugeframe.operators.ranking import melt_metrics
-from gaugeframe.session import sized
-
-# Beyond this many bandwidths a Gaussian term is exactly zero in double precision.
-_KERNEL_REACH = 39.0
+from gaugeframe.plans.joins import match
+from gaugeframe.session import materialize
 
 
 def error_histogram(errors: DataFrame, bins: int = 30, groups: Sequence[str] = ("model",), error: str = "error") -> DataFrame:
@@ -30,18 +28,16 @@ def error_histogram(errors: DataFrame, bins: int = 30, groups: Sequence[str] = (
         F.when(level, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_to"),
     )
     place = F.floor((F.col(error) - F.col("_from")) / (F.col("_to") - F.col("_from")) * float(bins))
-    ends = sized(ends, "histogram")
+    ends = materialize(ends, "histogram")
     counts = (
-        errors.where(F.col(error).isNotNull())
-        .select(*groups, error)
-        .join(ends, groups)
+        match(errors.where(F.col(error).isNotNull()).select(*groups, error), ends, groups, ["_from", "_to"])
         .withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
         .groupBy(*groups, "bin")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     width = (F.col("_to") - F.col("_from")) / float(bins)
     frame = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return frame.join(counts, [*groups, "bin"], "left").select(
+    return match(frame, counts, [*groups, "bin"], ["_rows"], "left").select(
         *groups,
         "bin",
         (F.col("_from") + F.col("bin") * width).alias("bin_start"),
@@ -55,9 +51,8 @@ def error_density(
 ) -> DataFrame:
     """Gaussian kernel density of the errors on an even grid, Scott bandwidth.
 
-    ``cut`` extends the grid by that many bandwidths. Each error is spread only over the
-    grid points its kernel can reach, and the terms are summed before the shuffle; the more
-    errors there are, the fewer points one reaches.
+    ``cut`` extends the grid by that many bandwidths. One aggregation holds a sum for every
+    grid point, so errors are not multiplied and the sums are combined before the shuffle.
     """
     groups = list(groups)
     shape = errors.groupBy(*groups).agg(
@@ -71,22 +66,15 @@ def error_density(
         (F.col("_lo") - F.col("_h") * cut).alias("_from"),
         ((F.col("_hi") - F.col("_lo") + F.col("_h") * (2.0 * cut)) / float(points - 1)).alias("_step"),
     )
-    shape = sized(shape, "density")
-    reach = F.col("_h") * _KERNEL_REACH
-    first = F.greatest(F.ceil((F.col(error) - reach - F.col("_from")) / F.col("_step")), F.lit(0)).cast("int")
-    last = F.least(F.floor((F.col(error) + reach - F.col("_from")) / F.col("_step")), F.lit(points - 1)).cast("int")
-    u = (F.col("_from") + F.col("point") * F.col("_step") - F.col(error)) / F.col("_h")
-    sums = (
-        errors.where(F.col(error).isNotNull())
-        .select(*groups, error)
-        .join(shape, groups)
-        .where(first <= last)
-        .withColumn("point", F.explode(F.sequence(first, last)))
-        .groupBy(*groups, "point")
-        .agg(F.sum(F.exp(u * u * -0.5)).alias("_sum"))
-    )
-    frame = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    return frame.join(sums, [*groups, "point"], "left").select(
+    shape = materialize(shape, "density")
+    placed = match(errors.where(F.col(error).isNotNull()).select(*groups, error), shape, groups, ["_h", "_from", "_step"])
+    terms = []
+    for point in range(points):
+        u = (F.col("_from") + point * F.col("_step") - F.col(error)) / F.col("_h")
+        terms.append(F.sum(F.exp(u * u * -0.5)).alias(f"_p{point}"))
+    sums = placed.groupBy(*groups).agg(*terms)
+    sums = sums.select(*groups, F.posexplode(F.array(*[f"_p{point}" for point in range(points)])).alias("point", "_sum"))
+    return match(sums, shape, groups, ["_n", "_h", "_from", "_step"]).select(
         *groups,
         "point",
         (F.col("_from") + F.col("point") * F.col("_step")).alias("x"),
@@ -96,5 +84,5 @@ def error_density(
 
 def model_comparison(predictions: DataFrame) -> DataFrame:
     """(model, metric, value) of the compared metrics."""
-    table = regression_metrics(predictions)
+    table = regression_metrics(predictions, median=False)
     return melt_metrics(table, ["model"], ["mae", "rmse", "r2", "mean_error"])

@@ -26,12 +26,12 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], target: str | None = TARGE
 
 
 def _bounds(scaler: DataFrame, names: Sequence[str]) -> Column:
-    """The wanted bounds as one struct from a scalar subquery; no join."""
-    picks = [
-        f(F.when(F.col("col") == name, F.col(k))).alias(f"{k}_{i}")
-        for i, name in enumerate(names)
-        for k, f in (("min", F.max), ("max", F.max))
-    ]
+    """The wanted bounds as one struct from a scalar subquery; no join. A missing column is an error."""
+    picks = []
+    for i, name in enumerate(names):
+        absent = F.count_if(F.col("col") == name) == 0
+        message = F.raise_error(F.lit(f"the scaler has no column {name}")).cast("double")
+        picks += [F.when(absent, message).otherwise(F.max(F.when(F.col("col") == name, F.col(k)))).alias(f"{k}_{i}") for k in ("min", "max")]
     return scaler.agg(F.struct(*picks).alias("bounds")).scalar()
 
 

@@ -100,9 +100,11 @@ def feature_step_names(features: Sequence[str], seq_length: int) -> list[str]:
 
 
 def mean_pool(sequences: DataFrame, width: int, x: str = "X", out: str = "pooled") -> DataFrame:
-    """Average over the time steps, one value per feature."""
+    """Average over the time steps, one value per feature; a step of another width is an error."""
+    fits = F.forall(x, lambda row: F.size(row) == width)
+    checked = F.when(fits, F.col(x)).otherwise(F.raise_error(F.lit(f"the steps do not have {width} features")))
     total = F.aggregate(
-        x,
+        checked,
         F.array(*[F.lit(0.0)] * width),
         lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b),
     )

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.plans.quantiles import select_ranks
-from gaugeframe.session import materialize
-
-_HASH_RANGE = 2**60
 
 
 def total_rows(df: DataFrame) -> Column:
@@ -66,30 +63,9 @@ def sample_hash(key: Column, seed: int) -> Column:
 
 
 def _edge(hashes: DataFrame, n: int, k: int) -> tuple[int, int, int]:
-    """(hash at rank k - 1, rows below it, rows with it).
-
-    Hashes of distinct keys are even, so the rank lies within a few standard deviations of
-    its share of the range: one pass counts what is below that strip and lists the strip.
-    Should the rank lie elsewhere (keys that repeat a lot), it is searched in all rows.
-    """
-    slack = 6.0 * math.sqrt(n) + 16.0
-    low = int(max(0.0, (k - slack) / n) * _HASH_RANGE)
-    high = int(min(1.0, (k + slack) / n) * _HASH_RANGE)
-    h = F.col("_h")
-    strip = materialize(
-        hashes.where(h <= high)
-        .groupBy(F.when(h >= low, h).otherwise(F.lit(-1).cast("long")).alias("_h"))
-        .agg(F.count(F.lit(1)).alias("_rows")),
-        "strip",
-    )
-    # About twelve times the square root of n rows.
-    upto = F.sum("_rows").over(Window.orderBy("_h"))
-    hit = strip.withColumn("_upto", upto).where((h >= 0) & (F.col("_upto") >= k)).orderBy("_h").first()
-    below = strip.where(h < 0).first()
-    if hit is None or (below is not None and below["_rows"] >= k):
-        found = select_ranks(hashes, "_h", {"edge": (k / n, F.lit(k - 1))}).first()
-        return found["value"], found["below"], hashes.where(h == found["value"]).count()
-    return hit["_h"], hit["_upto"] - hit["_rows"], hit["_rows"]
+    """(hash at rank k - 1, rows below it, rows with it)."""
+    found = select_ranks(hashes, "_h", {"edge": (k / n, F.lit(k - 1))}).first()
+    return found["value"], found["below"], hashes.where(F.col("_h") == found["value"]).count()
 
 
 def sample_exact(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:

@@ -11,25 +11,32 @@ from pyspark.sql import functions as F
 from gaugeframe.models.frames import to_frame
 from gaugeframe.models.score import guard_width, score_sequences
 from gaugeframe.operators.clean import is_valid_window, mask_target
-from gaugeframe.operators.features import flatten_samples, window_stats
+from gaugeframe.operators.features import flatten_samples, widest_window, window_stats
 from gaugeframe.operators.lookups import join_truth
 from gaugeframe.operators.metrics import eval_metrics, regression_metrics
 from gaugeframe.operators.scaling import fit_scaler, inverse_scale, scale
 from gaugeframe.operators.sequences import asof_history, make_sequences, make_trailing_sequences, mean_pool
 from gaugeframe.operators.splits import sample_exact, split_point, tail_test
 from gaugeframe.plans.ordered import dense_index, row_total
-from gaugeframe.schemas import TARGET, feature_names
+from gaugeframe.schemas import SAMPLES_PER_WINDOW, TARGET, feature_names
 from gaugeframe.session import materialize
 from gaugeframe.sources.sinks import sink_validation_pair
 from gaugeframe.sources.windows import to_windows, with_document
 
 
-def feature_frame(windows: DataFrame, stats: bool = True, layout: str = "new", keep: Sequence[str] = ("file", "ts")) -> DataFrame:
-    """Windows to flat features, optional statistics and the target."""
-    frame = flatten_samples(windows, layout)
+def feature_frame(
+    windows: DataFrame, stats: bool = True, layout: str = "new", keep: Sequence[str] = ("file", "ts"), n_samples: int | None = SAMPLES_PER_WINDOW
+) -> DataFrame:
+    """Windows to flat features, optional statistics and the target.
+
+    ``n_samples`` sub-samples make the features; None takes the longest window of the data.
+    """
+    if n_samples is None:
+        n_samples = widest_window(windows)
+    frame = flatten_samples(windows, layout, n_samples)
     if stats:
         frame = window_stats(frame, layout)
-    return frame.select(*keep, *feature_names(layout, stats=stats), TARGET)
+    return frame.select(*keep, *feature_names(layout, n_samples, stats), TARGET)
 
 
 def scaled_order(
@@ -59,13 +66,11 @@ def scaled_order(
 
 def evaluate_baseline(windows: DataFrame, order_by: Sequence[str], seq_length: int = 5, test_ratio: float = 0.2) -> DataFrame:
     """Forecast the next target by the mean of the last ones and report metrics on the tail."""
-    features = feature_names(stats=True)
-    indexed, scaler = scaled_order(feature_frame(windows, keep=order_by), features, order_by)
-    inputs = [*features, TARGET]
-    made = make_sequences(indexed, seq_length, inputs)
+    indexed, scaler = scaled_order(windows.select(*order_by, TARGET), [], order_by)
+    made = make_sequences(indexed, seq_length, [TARGET])
     total = F.greatest(row_total(indexed.select("idx")) - seq_length, F.lit(0))
     tail = tail_test(made, test_ratio, total=total)
-    scored = mean_pool(tail, len(inputs)).select("y", F.get("pooled", F.lit(len(inputs) - 1)).alias("prediction"))
+    scored = mean_pool(tail, 1).select("y", F.get("pooled", F.lit(0)).alias("prediction"))
     return eval_metrics(scored, scaler, TARGET)
 
 
@@ -80,13 +85,14 @@ def validate_models(
     """(predictions with truth, metrics per model) on windows whose target is hidden while scoring.
 
     ``windows`` has ``file``, the features and the target. A file is scored on the sequence
-    that ends with its own row.
+    that ends with its own row. A file with a missing feature has a NULL prediction and the
+    reason for it.
     """
     masked = mask_target(windows)
     indexed, _ = scaled_order(masked, features, order_by, scaler)
     made = make_trailing_sequences(indexed, seq_length, features, ["file"])
     frame = to_frame(guard_width(made, len(features)).withColumn("y", F.lit(0.0))).drop("y")
-    scored = score_sequences(models, frame).select("file", "model", "prediction")
+    scored = score_sequences(models, frame).select("file", "model", "prediction", "reason")
     restored = inverse_scale(scored, scaler, ["prediction"])
     truth = windows.where(F.col(TARGET).isNotNull()).select("file", F.col(TARGET).alias("ground_truth"))
     # Stored: the predictions are a result of their own, and the metrics read them more than once.
@@ -120,4 +126,4 @@ def predict_records(
     scaled_history = scale(history.select(key, ts, *features), scaler, features)
     made = asof_history(scaled_new, scaled_history, seq_length, features, key, ts)
     frame = to_frame(guard_width(made, len(features)).withColumn("y", F.lit(0.0))).drop("y", *features)
-    return inverse_scale(score_sequences(models, frame).select(key, "model", "prediction"), scaler, ["prediction"])
+    return inverse_scale(score_sequences(models, frame).select(key, "model", "prediction", "reason"), scaler, ["prediction"])

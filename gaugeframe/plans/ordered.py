@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeframe.plans.joins import match
 from gaugeframe.session import materialize
 
 BLOCK_ROWS = 8192
@@ -104,11 +105,8 @@ def series_position(
     first_block = F.expr(f"_first div {block_rows}")
     last_block = F.expr(f"(_first + `{total}` - 1) div {block_rows}")
     runs = runs.withColumn(BLOCK, F.explode(F.sequence(first_block, last_block)))
-    return (
-        indexed.withColumn(BLOCK, block_of(idx, block_rows))
-        .join(runs, [*keys, BLOCK])
-        .select(*indexed.columns, (F.col(idx) - F.col("_first")).alias(position), total)
-    )
+    placed = match(indexed.withColumn(BLOCK, block_of(idx, block_rows)), runs, [*keys, BLOCK], ["_first", total])
+    return placed.select(*indexed.columns, (F.col(idx) - F.col("_first")).alias(position), total)
 
 
 def running_total(

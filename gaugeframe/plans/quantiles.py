@@ -6,8 +6,8 @@ then ordered. The sketch decides how few values that is, never which value is re
 
 The input is read three times: for the sketch, for the counts, and for the values of the few
 intervals. The first two results have a handful of rows per group and are stored, so that the
-joins back to the input are planned with their size. The size of the chosen intervals is known
-before their values are ordered; large ones are ordered across tasks.
+joins back to the input are planned with their size. The values of the chosen intervals are
+ordered across tasks, however many or few they are.
 """
 
 from __future__ import annotations
@@ -17,24 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeframe.plans.joins import match
 from gaugeframe.plans.ordered import running_total
-from gaugeframe.session import sized
+from gaugeframe.session import materialize
 
 ACCURACY = 10000
-# Up to this many rows the values of one interval are ordered by one task.
-ONE_TASK_ROWS = 2_000_000
-
-
-
-
-def _match(left: DataFrame, right: DataFrame, names: Sequence[str], extra: Sequence[str]) -> DataFrame:
-    """Null-safe inner join keeping the left columns and ``extra`` of the right."""
-    right = right.select(*[F.col(n).alias(f"_r_{n}") for n in names], *extra)
-    condition = None
-    for name in names:
-        term = left[name].eqNullSafe(right[f"_r_{name}"])
-        condition = term if condition is None else condition & term
-    return left.join(right, condition).select(*left.columns, *extra)
 
 
 def select_ranks(
@@ -43,7 +30,6 @@ def select_ranks(
     ranks: dict[str, tuple[float, Column]],
     groups: Sequence[str] = (),
     accuracy: int = ACCURACY,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """For every group and named rank: the value at that 0-based rank and the rows below it.
 
@@ -61,9 +47,9 @@ def select_ranks(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", points, accuracy).alias("_cuts"),
     )
-    sketch = sized(sketch, "sketch")
+    sketch = materialize(sketch, "sketch")
     if groups:
-        placed = _match(base, sketch, groups, ["_cuts"])
+        placed = match(base, sketch, groups, ["_cuts"])
     else:
         placed = base.withColumn("_cuts", sketch.select("_cuts").scalar())
     interval = F.lit(0)
@@ -72,7 +58,7 @@ def select_ranks(
     placed = placed.select(*groups, "_v", interval.alias("_iv"))
 
     # One row per group and interval; at most len(points) + 1 of them per group.
-    counted = sized(placed.groupBy(*groups, "_iv").agg(F.count(F.lit(1)).alias("_rows")), "intervals")
+    counted = materialize(placed.groupBy(*groups, "_iv").agg(F.count(F.lit(1)).alias("_rows")), "intervals")
     in_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     in_order = in_group.orderBy("_iv")
     counted = counted.withColumn("_end", F.sum("_rows").over(in_order)).withColumn(
@@ -89,17 +75,13 @@ def select_ranks(
             F.filter(wanted, lambda t: (t["rank"] >= F.col("_start")) & (t["rank"] < F.col("_end"))),
         )
         .where(F.size("_targets") > 0)
-        .select(*groups, "_iv", "_start", "_targets", "_n", F.col("_rows").alias("_held"))
+        .select(*groups, "_iv", "_start", "_targets", "_n")
     )
 
     keys = [*groups, "_iv"]
-    values = _match(placed, holding, keys, []).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_rows"))
-    largest = holding.agg(F.max("_held")).first()[0] or 0
-    if largest <= one_task_rows:
-        values = values.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_v")))
-    else:
-        values = running_total(values, keys, ["_v"], "_rows", "_upto")
-    found = _match(values, holding, keys, ["_start", "_targets", "_n"])
+    values = match(placed, holding, keys, []).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_rows"))
+    values = running_total(values, keys, ["_v"], "_rows", "_upto")
+    found = match(values, holding, keys, ["_start", "_targets", "_n"])
     below = F.col("_start") + F.col("_upto") - F.col("_rows")
     hits = found.withColumn("_below", below).withColumn(
         "_hit",
@@ -121,7 +103,6 @@ def exact_quantiles(
     probs: dict[str, float],
     groups: Sequence[str] = (),
     accuracy: int = ACCURACY,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """One row per group with a column per quantile, interpolated linearly between ranks."""
     groups = list(groups)
@@ -131,7 +112,7 @@ def exact_quantiles(
         ranks[f"{name}:lo"] = (p, F.floor(at))
         ranks[f"{name}:hi"] = (p, F.ceil(at))
     number = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn(value, F.col(value).cast("double"))
-    picked = select_ranks(number, value, ranks, groups, accuracy, one_task_rows)
+    picked = select_ranks(number, value, ranks, groups, accuracy)
     joined = picked.groupBy(*groups).agg(
         F.max("n").alias("_n"),
         *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks],

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.models import score, search
-from gaugeframe.models.frames import to_frame
+from gaugeframe.models.frames import predict, to_frame
 from gaugeframe.models.linear import fit_linear, linear_importance
 from gaugeframe.models.nonlinear import fit_nonlinear
 from gaugeframe.operators import sequences, splits
@@ -136,10 +136,9 @@ def _halving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fit_nonlinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _frames(spark, sf_dir, 2)
-    inner = splits.validation_tail(train, 0.8, 0.2).withColumn("held_out", F.col("split") != "train")
+    inner = splits.validation_tail(train, 1.0, 0.2).withColumn("held_out", F.col("split") != "train")
     model = fit_nonlinear(inner, max_depth=2, max_iter=5, validation="held_out")
-    scored = model.setPredictionCol("prediction").transform(test)
-    return eval_metrics_scaled(scored)
+    return eval_metrics_scaled(predict(model, test))
 
 
 def _save_load(spark: SparkSession, sf_dir: str) -> DataFrame:

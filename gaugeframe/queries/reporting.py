@@ -12,6 +12,7 @@ from gaugeframe.operators.scaling import fit_scaler, scale
 from gaugeframe.queries import tables as t
 from gaugeframe.queries.features import FEATURE_PARTS_SQL
 from gaugeframe.queries.tables import r
+from gaugeframe.session import materialize
 from gaugeframe.sources.reports import type_results
 
 
@@ -133,7 +134,7 @@ _MEAN_BY_TYPE_SQL = f"""WITH {t.RESULTS_SQL} SELECT model_type, round(avg(mse),
 
 
 def _rank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranking.rank_models(metrics.regression_metrics(t.predictions(spark, sf_dir)))
+    ranked = ranking.rank_models(metrics.regression_metrics(t.predictions(spark, sf_dir), median=False))
     return ranked.select("model", "metric", r("value").alias("value"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -194,7 +195,7 @@ _COMPOSITE_SCORES_SQL = f"""WITH {_COMPOSITE_CTE} SELECT model, {', '.join(f'rou
 
 
 def _best_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = ranking.best_by_validation_r2(metrics.regression_metrics(t.predictions(spark, sf_dir)))
+    best = ranking.best_by_validation_r2(metrics.regression_metrics(t.predictions(spark, sf_dir), median=False))
     return best.select("model", r("r2").alias("r2"))
 
 
@@ -202,23 +203,22 @@ _BEST_R2_SQL = f"WITH {t.METRICS_SQL} SELECT model, round(m.r2, 6) AS r2 FROM me
 
 
 def _combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    preds = t.predictions(spark, sf_dir)
-    parts = [metrics.error_extent(preds.where(F.col("model").startswith(word))) for word in ("linear", "gru", "lstm")]
+    """The tables of all model families, each cut from one stored table, stacked again."""
+    extents = materialize(metrics.error_extent(t.predictions(spark, sf_dir)), "extents")
+    parts = [extents.where(F.col("model").startswith(word)) for word in t.TYPE_WORDS]
     return ranking.combine_models(parts).select("model", r("low").alias("low"), r("high").alias("high"))
 
 
-_COMBINE_SQL = _EXTENT_SQL.replace(
-    "FROM predictions GROUP", "FROM predictions WHERE split_part(model, '_', 1) IN ('linear', 'gru', 'lstm') GROUP"
-)
+_COMBINE_SQL = _EXTENT_SQL
 
 
 def _melt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tall = ranking.melt_metrics(_results(spark, sf_dir), ["model"], ["mse", "mae", "r2"])
+    tall = ranking.melt_metrics(_results(spark, sf_dir), ["model"], ["mse", "mae", "r2", "latency_ms"])
     return tall.select("model", "metric", r("value", 8).alias("value"))
 
 
 _MELT_SQL = f"""WITH {t.RESULTS_SQL} {' UNION ALL '.join(
-    f"SELECT model, '{m}' AS metric, round({m}, 8) AS value FROM results" for m in ('mse', 'mae', 'r2'))}"""
+    f"SELECT model, '{m}' AS metric, round({m}, 8) AS value FROM results" for m in ('mse', 'mae', 'r2', 'latency_ms'))}"""
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,14 +295,13 @@ _TOP_FEATURES_SQL = f"""WITH {t.WEIGHTS_SQL}, x AS (SELECT *, row_number() OVER
 
 
 def _rank_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty most important base features."""
     ranked = importance.rank_base_features(importance.importance_by_base(t.weights(spark, sf_dir)))
-    return ranked.limit(20).select("base_feature", r("avg_importance").alias("avg_importance"))
+    return ranked.select("base_feature", r("avg_importance").alias("avg_importance"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _RANK_BASE_SQL = f"""WITH {t.WEIGHTS_SQL}, parts AS (SELECT *, {FEATURE_PARTS_SQL} FROM weights),
     a AS (SELECT base_feature, avg(abs(weight)) AS v FROM parts GROUP BY base_feature)
-    SELECT base_feature, round(v, 6) AS avg_importance FROM a ORDER BY v DESC, base_feature LIMIT 20"""
+    SELECT base_feature, round(v, 6) AS avg_importance, row_number() OVER (ORDER BY v DESC, base_feature) AS rank FROM a"""
 
 
 QUERIES = {

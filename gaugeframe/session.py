@@ -67,19 +67,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor re-reads files instead of recomputing, and
-    later branches read only the columns they need.
+    later branches read only the columns they need. A summary stored before it is joined
+    to the rows it came from lets the planner know its size.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def sized(df: DataFrame, label: str) -> DataFrame:
-    """Store a summary that is joined to the rows it came from.
-
-    The planner then knows its size: a small one is broadcast and the rows stay where they
-    are, a large one (very many groups) is joined by shuffle. Without this the size of an
-    aggregate is unknown when the join is planned and all rows would be shuffled.
-    """
-    return materialize(df, label)

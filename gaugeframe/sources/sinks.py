@@ -11,13 +11,13 @@ from gaugeframe.schemas import TARGET
 
 
 def window_json(target: Column, ts: Column, samples: Column) -> Column:
-    """The document text of a window."""
+    """The document text of a window; a window without a time has a null one."""
     entries = F.transform(samples, lambda s: F.concat(F.lit('"'), s["key"], F.lit('":'), F.to_json(s["v"])))
     head = F.concat(
         F.lit('{"QoE":'),
         F.coalesce(target.cast("string"), F.lit("null")),
         F.lit(',"timestamp":'),
-        ts_digits(ts),
+        F.coalesce(ts_digits(ts), F.lit("null")),
     )
     return F.concat(head, F.when(F.size(samples) > 0, F.lit(",")).otherwise(F.lit("")), F.array_join(entries, ","), F.lit("}"))
 

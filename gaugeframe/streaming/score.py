@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeframe.operators.sequences import last_in_series, make_trailing_sequences
+from gaugeframe.plans.joins import match
 from gaugeframe.plans.ordered import dense_index
 
+LATE = "not later than the scored rows of its series"
+
 
 def score_batch(
     batch: DataFrame,
@@ -19,26 +22,25 @@ def score_batch(
     order_by: Sequence[str],
     features: Sequence[str],
     seq_length: int,
-) -> tuple[DataFrame, DataFrame]:
-    """(sequences ending in the new rows, new tail) of one batch.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sequences ending in the new rows, new tail, late rows) of one batch.
 
     ``tail`` holds the last ``seq_length`` - 1 rows of every series. New rows that are not
-    later than the tail of their series are late and dropped.
+    later than the tail of their series are late: they are not scored but returned with a reason.
     """
     wanted = list(dict.fromkeys([*keys, *order_by, *features]))
     newest = tail.groupBy(*keys).agg(F.max(F.struct(*order_by)).alias("_newest"))
-    fresh = (
-        batch.select(*wanted)
-        .join(newest, list(keys), "left")
-        .where(F.col("_newest").isNull() | (F.struct(*order_by) > F.col("_newest")))
-        .drop("_newest")
-    )
+    placed = match(batch.select(*wanted), newest, list(keys), ["_newest"], "left")
+    on_time = F.col("_newest").isNull() | (F.struct(*order_by) > F.col("_newest"))
+    fresh = placed.where(on_time).drop("_newest")
+    late = placed.where(~on_time).drop("_newest").withColumn("reason", F.lit(LATE))
     merged = tail.select(*wanted).withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
     indexed = dense_index(merged, [*keys, *order_by])
     sequences = make_trailing_sequences(indexed, seq_length, features, [*order_by, "_new"], keys)
     return (
         sequences.where(F.col("_new")).drop("_new", "idx"),
         last_in_series(indexed.select(*wanted), keys, order_by, seq_length - 1),
+        late,
     )
 
 
@@ -66,8 +68,9 @@ def stream_score(
             tail = spark.createDataFrame([], schema)
         else:
             tail = spark.read.schema(schema).parquet(f"{path}/tail/{batch_id - 1}")
-        sequences, new_tail = score_batch(batch, tail, keys, order_by, features, seq_length)
+        sequences, new_tail, late = score_batch(batch, tail, keys, order_by, features, seq_length)
         score(sequences).write.mode("overwrite").parquet(f"{path}/scores/{batch_id}")
+        late.write.mode("overwrite").parquet(f"{path}/late/{batch_id}")
         new_tail.write.mode("overwrite").parquet(f"{path}/tail/{batch_id}")
 
     return (
@@ -78,5 +81,10 @@ def stream_score(
     )
 
 
+def read_late(spark, path: str) -> DataFrame:
+    """Rows that came too late to be scored, with the reason."""
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{path}/late")
+
+
 def read_scores(spark, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).parquet(f"{path}/scores")

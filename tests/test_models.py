@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gaugeframe.models import score, search
-from gaugeframe.models.frames import to_frame
+from gaugeframe.models.frames import left_out, to_frame
 from gaugeframe.models.linear import fit_linear, linear_importance
 from gaugeframe.models.nonlinear import fit_nonlinear
 from gaugeframe.operators import features, generate, scaling, sequences
@@ -40,6 +40,8 @@ def test_scaler_of_constant_and_missing(spark, tmp_path):
     assert got == [(0.0, 0.0, 0.0), (0.0, None, 1.0)]
     new = spark.createDataFrame([(7.0,)], "f0 double")
     assert scaling.scale(new, loaded, ["f0"]).first().f0 == 2.0
+    with pytest.raises(Exception, match="the scaler has no column f9"):
+        scaling.scale(new.withColumn("f9", F.lit(1.0)), loaded, ["f0", "f9"]).collect()
 
 
 def test_generated_windows(spark):
@@ -102,9 +104,24 @@ def test_linear_importance(spark, regression):
     assert [r.weight for r in table] == pytest.approx(list(model.coefficients.toArray()))
 
 
-def test_frames_leave_out_missing_values(spark):
-    rows = spark.createDataFrame([([[1.0]], 1.0), ([[None]], 1.0), ([[2.0]], None)], "X array<array<double>>, y double")
-    assert to_frame(rows).count() == 1
+def test_missing_values_are_kept_but_not_fitted(spark):
+    rows = [(i, [[float(i)]], 2.0 * i + 1) for i in range(5)] + [(5, [[None]], 1.0), (6, [[6.0]], None), (7, None, 3.0)]
+    frame = to_frame(spark.createDataFrame(rows, "i int, X array<array<double>>, y double"))
+    assert tuple(left_out(frame).first()) == (5, 3)
+    model = fit_linear(frame, 1)
+    scored = {r.i: (r.prediction, r.reason) for r in score.score_sequences({"m": model}, frame).collect()}
+    assert len(scored) == 8 and scored[5] == scored[7] == (None, "missing value")
+    assert scored[6][0] == pytest.approx(13.0) and scored[6][1] is None
+    assert score.evaluate_model(model, frame).first().mae == pytest.approx(0.0, abs=1e-6)
+    assert model.getPredictionCol() == "prediction"
+
+
+def test_iterative_solver_must_converge(spark, regression):
+    frame = to_frame(regression[2])
+    direct, stepwise = fit_linear(frame, 4), fit_linear(frame, 4, solver="l-bfgs")
+    assert stepwise.coefficients.toArray() == pytest.approx(direct.coefficients.toArray(), abs=1e-4)
+    with pytest.raises(RuntimeError, match="not converged"):
+        fit_linear(frame, 4, solver="l-bfgs", max_iter=1)
 
 
 def test_boosted_trees_stop_early(spark, regression):
@@ -168,10 +185,12 @@ def test_grid_search_records_failures(spark, regression, tmp_path):
 
 def test_halving_keeps_the_best_third(spark, regression):
     frame = to_frame(regression[2])
-    configs = [{"model_type": "linear", "l1": 0.0, "l2": float(p)} for p in (4, 0, 2, 1)]
+    with pytest.raises(ValueError, match="grid_search"):
+        search.successive_halving(spark, frame, frame, 4, search.linear_configs([0.0], [1.0]))
+    configs = [{"model_type": "boosted", "max_depth": 3, "step": s} for s in (0.001, 0.5, 0.01, 0.1)]
     rows = search.successive_halving(spark, frame.where("seq < 300"), frame.where("seq >= 300"), 4, configs).collect()
     assert [(r.rung, r.kept) for r in rows] == [(0, True), (0, True), (0, False), (0, False), (1, True), (1, False), (2, True)]
-    assert rows[-1].config == "l1=0.0,l2=0.0,model_type=linear" and [r.budget for r in rows] == [2] * 4 + [6] * 2 + [18]
+    assert rows[-1].config == "max_depth=3,model_type=boosted,step=0.5" and [r.budget for r in rows] == [2] * 4 + [6] * 2 + [18]
 
 
 def test_stream_windows_wait_for_the_watermark(spark, tmp_path):
@@ -213,3 +232,5 @@ def test_stream_score_carries_history(spark, tmp_path):
     # The row at t = 2 is late and changes nothing.
     got = add_and_run(("a", 2, 99.0), ("a", 4, 7.0), ("b", 3, 60.0), ("c", 1, 0.0))
     assert got == {("a", 3): 3.0, ("a", 4): 5.0, ("b", 3): 30.0}
+    late = stream_scoring.read_late(spark, out).collect()
+    assert [(r.key, r.t, r.x, r.reason) for r in late] == [("a", 2, 99.0, stream_scoring.LATE)]

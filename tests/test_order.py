@@ -142,7 +142,7 @@ def test_sample_size_is_exact(spark, ratio):
 
 
 def test_sample_finds_the_edge_elsewhere(spark):
-    # Hashes far from even: the strip around the expected place misses the rank.
+    # Hashes far from even.
     hashes = spark.createDataFrame([(v,) for v in [2**59] * 900 + list(range(100))], "_h long")
     assert splits._edge(hashes, 1000, 50) == (49, 49, 1)
     assert splits._edge(hashes, 1000, 500) == (2**59, 100, 900)
@@ -155,8 +155,7 @@ def test_sample_ties_go_by_key(spark, monkeypatch):
     assert kept == sorted([i for i in range(30) if i % 3 == 0] + [1, 4, 7, 10, 13])
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_exact_quantiles(spark, limit):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(1)
     groups = {
         "wide": rng.lognormal(3, 3, 700), "ties": rng.integers(0, 3, 500).astype(float), "level": np.full(50, 2.5),
@@ -164,7 +163,7 @@ def test_exact_quantiles(spark, limit):
     }
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("wide", None), ("gone", None)]
     frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    got = exact_quantiles(frame, "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}, ["g"], 50, limit)
+    got = exact_quantiles(frame, "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}, ["g"], 50)
     table = {r.g: list(r)[1:] for r in got.collect()}
     assert table.keys() == groups.keys()
     for g, vs in groups.items():
@@ -173,6 +172,12 @@ def test_exact_quantiles(spark, limit):
 
 def test_select_ranks_reports_rows_below(spark):
     frame = spark.createDataFrame([(v,) for v in [5, 1, 1, 3, 3, 3, 9]], "v long")
-    got = select_ranks(frame, "v", {f"r{i}": (i / 6, F.lit(i)) for i in range(8)}, one_task_rows=0)
+    got = select_ranks(frame, "v", {f"r{i}": (i / 6, F.lit(i)) for i in range(8)})
     table = {r.name: (r.value, r.below) for r in got.collect()}
     assert table == {"r0": (1, 0), "r1": (1, 0), "r2": (3, 2), "r3": (3, 2), "r4": (3, 2), "r5": (5, 5), "r6": (9, 6)}
+
+
+def test_series_without_a_key_keep_their_rows(spark):
+    rows = spark.createDataFrame([(None, 1), ("a", 2), (None, 3), ("a", 4)], "k string, t int")
+    got = series_position(dense_index(rows, ["k", "t"]), ["k"]).collect()
+    assert sorted((r.k or "", r.t, r.pos, r.n_rows) for r in got) == [("", 1, 0, 2), ("", 3, 1, 2), ("a", 2, 0, 2), ("a", 4, 1, 2)]

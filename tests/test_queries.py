@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from gaugeframe.queries.registry import all_queries
 from tests.oracle import DATA, compare, connect
 
 SF_DIR = DATA.format(sf="0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {name: fn for name, (fn, _) in all_queries().items()}
+ORACLE = {name: sql for name, (_, sql) in all_queries().items() if sql}
 
 
 @pytest.fixture(scope="module")

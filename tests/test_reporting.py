@@ -252,3 +252,16 @@ def test_span(spark):
     rows = spark.createDataFrame([("2025-04-02 12:19:54",), ("2025-04-02 13:50:38",)], "t string").select(F.col("t").cast("timestamp").alias("ts"))
     row = profile.dataset_span(rows).first()
     assert (row.n_files, row.span_seconds) == (2, 5444) and row.estimated_hours == pytest.approx(10 / 3600)
+
+
+def test_groups_without_a_name_have_their_errors(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 4.0), ("m", 0.0), ("m", 1.0)], "model string, error double")
+    bins = plotdata.error_histogram(rows, bins=3).where("model is null").orderBy("bin").collect()
+    assert [r.n_errors for r in bins] == [1, 1, 1]
+    density = plotdata.error_density(rows, points=5).where("model is null").collect()
+    assert len(density) == 5 and all(r.density > 0 for r in density)
+
+
+def test_no_median_unless_asked(spark):
+    table = metrics.regression_metrics(frame(spark, {"m": ([1, 2, 3], [1, 3, 3])}), median=False)
+    assert "medae" not in table.columns and table.first().mae == pytest.approx(1 / 3)
