@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gaugeframe.llm.arrowtext import BYTE_VALUES, NON_SPACE, RangeHash, mix, slices, words
 from gaugeframe.llm.data import stored
 
-SLICE = 1 << 20
+SLICE = 256 << 10
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -168,11 +168,10 @@ def contexts(docs: DataFrame, rows: DataFrame, unit: int, data_of: Callable[[byt
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [[] for _ in range(7)], 0
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                doc, u = one.column(0)[0].as_py(), one.column(1)[0].as_py()
-                data = data_of(unsqueezed(one.column(2))[0])
-                for key, n, pos, reach in zip(*(one.column(j)[0].as_py() for j in range(3, 7))):
+            lists = zip(*(batch.column(j).to_pylist() for j in (0, 1, 3, 4, 5, 6)))
+            for text, (doc, u, *own) in zip(unsqueezed(batch.column(2)), lists):
+                data = data_of(text)
+                for key, n, pos, reach in zip(*own):
                     left, right = divmod(reach, 65536)
                     for column, value in zip(out, (key, n, doc, u, pos, left, data[(pos - left) * unit : (pos + right) * unit])):
                         column.append(value)
@@ -244,15 +243,16 @@ def squeezed(text) -> F.Column:
     @F.arrow_udf("binary")
     def squeeze(texts: pa.Array) -> pa.Array:
         pack = zstandard.ZstdCompressor(level=1)
-        return pa.array([None if v is None else pack.compress(v.encode()) for v in (x.as_py() for x in texts)], type=pa.binary())
+        cells = (x.as_py() for x in texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()))
+        return pa.array([None if v is None else pack.compress(v) for v in cells], type=pa.binary())
 
     return squeeze(text)
 
 
-def unsqueezed(cells: pa.Array) -> list[bytes]:
-    """The UTF-8 texts of ``squeezed`` cells; a null is empty."""
+def unsqueezed(cells: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 texts of ``squeezed`` cells, one at a time; a null is empty."""
     unpack = zstandard.ZstdDecompressor()
-    return [b"" if cell is None else unpack.decompress(cell) for cell in cells.to_pylist()]
+    return (b"" if cell is None else unpack.decompress(cell) for cell in (x.as_py() for x in cells))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

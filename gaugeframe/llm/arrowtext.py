@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -53,7 +53,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse modulo 2**64."""
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << int(n).bit_length()
         for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

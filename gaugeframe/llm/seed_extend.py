@@ -14,13 +14,15 @@ so that skewed joins are split. Of extra columns only the key is returned.
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.anchors import anchor_rows, compared, contexts, covered, extended, numbered, repeated_anchors, unsqueezed, with_spans, word_sequences
-from gaugeframe.llm.arrowtext import NON_SPACE, Words, slices, words
+from gaugeframe.llm.arrowtext import NON_SPACE, Texts, words
 from gaugeframe.llm.data import read
 
 WINDOW = 13
@@ -28,13 +30,10 @@ GRAM = 5
 ORDER = ("doc",)
 
 
-def words_of(text: bytes) -> Words:
-    part = next(slices(pa.array([text.decode()], type=pa.large_string()), 1 << 62))
-    return words(part, NON_SPACE)
-
-
 def word_values(text: bytes) -> bytes:
-    return words_of(text).hash.tobytes()
+    """The hashes of the words of a text."""
+    part = Texts(0, np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    return words(part, NON_SPACE).hash.tobytes()
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
@@ -49,11 +48,11 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> D
 
 def kept_words(text: bytes, starts: list[int] | None, ends: list[int] | None) -> tuple[int, int, bytes]:
     """Words, words removed, and the kept ones joined by spaces."""
-    w = words_of(text)
-    n = len(w.start)
-    gone = covered(n, np.array(starts or [], dtype=np.int64), np.array(ends or [], dtype=np.int64))
-    kept = np.flatnonzero(~gone)
-    return n, int(gone.sum()), b" ".join(text[a:b] for a, b in zip(w.start[kept].tolist(), w.end[kept].tolist()))
+    found = text.split()  # at the same six bytes as the pattern of words
+    if not starts:
+        return len(found), 0, b" ".join(found)
+    gone = covered(len(found), np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64))
+    return len(found), int(gone.sum()), b" ".join(compress(found, (~gone).tolist()))
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

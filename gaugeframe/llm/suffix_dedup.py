@@ -132,10 +132,11 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> Da
 
 def kept_bytes(text: bytes, starts: list[int] | None, ends: list[int] | None) -> tuple[int, int, int, bytes]:
     """Bytes, bytes removed, maximal removed runs, and the kept bytes."""
-    gone = covered(len(text), np.array(starts or [], dtype=np.int64), np.array(ends or [], dtype=np.int64))
-    runs = int((gone & ~np.append(False, gone[:-1])).sum()) if len(gone) else 0
-    kept = text if not runs else np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-    return len(text), int(gone.sum()), runs, kept
+    if not starts:
+        return len(text), 0, 0, text
+    gone = covered(len(text), np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64))
+    runs = int((gone & ~np.append(False, gone[:-1])).sum())
+    return len(text), int(gone.sum()), runs, np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
