@@ -14,7 +14,7 @@ more than ``BLOCK_BYTES`` is searched block by block, each with tables of bounde
 Nulls, empty texts: no words, not contaminated. Items without words have no phrase. Items that
 repeat an item_id count once, items without one mark words but are not listed. Repeated
 document rows are judged each. Texts of any length are indexed whole. All input columns are
-kept; one that bears the name of an output column is an error.
+kept; one that bears the name of an output column is replaced.
 """
 
 from __future__ import annotations
@@ -221,9 +221,7 @@ def contamination(
     ``store`` names a stored index, which holds all columns but the text; without it the
     postings go from one step to the next.
     """
-    taken = {"n_words", "hit_spans", "hit_items", "_postings", "_found"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are in use")
+    docs = docs.drop("n_words", "hit_spans", "hit_items", "_postings", "_found")
     blocks, result = benchmark_blocks(benchmark, item_text), None
     for block in range(blocks):
         phrases = block_phrases(benchmark, item, item_text, window, block, blocks)
@@ -261,8 +259,8 @@ def n_hit(spans):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, with their own columns."""
-    found = contamination(docs, benchmark)
-    return found.where(F.size("hit_spans") == 0).select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"))
+    return contamination(held, benchmark).where(F.size("hit_spans") == 0).select("doc.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ which makes up for links that do not run over the smallest node.
 
 Nulls, empty texts: an empty set, linked with nothing. Rows that share a doc_id are linked.
 Rows without an id take part in no link and are kept. Ties: equal sets are copies, the
-smallest doc_id stands for them. Extra columns are not carried by ``near_duplicates``.
+smallest doc_id stands for them. An empty table gives an empty result. Extra columns, whatever
+their names, are not read by ``near_duplicates`` and kept by ``kept_documents``.
 """
 
 from __future__ import annotations
@@ -237,10 +238,10 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """
     found = near_duplicates(docs, key, text, k, percent).where(F.col("component_id") != F.col(key))
     gone = stored(found.select(F.col(key).alias("_gone")).distinct(), "gone")
-    left = docs.where(F.col(key).isNotNull()).join(gone, docs[key] == F.col("_gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text)))
-    one = left.withColumn("_nth", nth).where(F.col("_nth") == 1).drop("_nth")
-    return one.unionByName(docs.where(F.col(key).isNull()))
+    held = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_gone"), F.xxhash64(text).alias("h"), F.struct(*docs.columns).alias("doc"))
+    nth = F.row_number().over(Window.partitionBy("_gone").orderBy("h"))
+    one = held.join(gone, "_gone", "left_anti").withColumn("nth", nth).where(F.col("nth") == 1)
+    return one.select("doc.*").unionByName(docs.where(F.col(key).isNull()))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ far, on counts instead of documents. Pieces are then ranked within their length
 and matched to the slots of the patterns by rank.
 
 Nulls and empty texts: the document is its end-of-text id alone. Rows that are repeated are
-packed each. A null id keeps its row. Extra columns with any name are carried by ``pack``,
-except its own output names, which must be free (an error says so).
+packed each. A null id keeps its row. Extra columns are carried by ``pack``; one that bears the
+name of an output column is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -177,9 +177,7 @@ def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity:
     ``pieces`` is read twice and must be stored. ``order`` are columns that tell rows apart;
     rows that agree in all of them are interchangeable.
     """
-    taken = {"sequence_id", "offset", "_bucket", "_row", "_base", "_slot"} & set(pieces.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are in use")
+    pieces = pieces.drop("sequence_id", "offset", "_bucket", "_row", "_base", "_slot")
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy(length).count().collect()}
     if histogram and not (1 <= min(histogram) and max(histogram) <= capacity):
         raise ValueError(f"pieces must have 1 to {capacity} ids")

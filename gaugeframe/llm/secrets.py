@@ -16,7 +16,7 @@ words around the candidates of that sample.
 Nulls and empty texts have no candidates. Candidates that repeat are findings each. If the
 labelled findings hold one class only, no forest can be trained and the candidates' own weak
 label decides. Rows are told apart by an internal number, so ids may be null or repeat. Texts
-are scanned whole. Redaction keeps all columns.
+are scanned whole. An empty table has no findings. Redaction keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -175,14 +175,17 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", labelled:
 
 def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """All documents, secrets in their texts replaced by ``REDACTED`` (and n_chars adapted)."""
-    parts = materialize(marked(docs, text), "marked")
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"))
+    parts = materialize(marked(held, "_text"), "marked")
     gone = scan(parts, []).groupBy("_row").agg(F.collect_set("part").alias("_gone"))
     joined = parts.join(materialize(gone, "gone"), "_row", "left")
     cleaned = F.array_join(F.transform("_parts", lambda s, i: F.when(F.array_contains("_gone", i), F.lit(REDACTED)).otherwise(s)), "")
-    changed = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cleaned))
+    new = {text: cleaned}
     if n_chars in docs.columns:
-        changed = changed.withColumn(n_chars, F.when(F.col("_gone").isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
-    return docs.where(~has_candidate(F.col(text))).unionByName(changed.select(*docs.columns))
+        new[n_chars] = F.length(cleaned).cast(docs.schema[n_chars].dataType)
+    own = {c: F.col("_doc").getField(c) for c in docs.columns}
+    changed = joined.select(*[(F.when(F.col("_gone").isNull(), own[c]).otherwise(new[c]) if c in new else own[c]).alias(c) for c in docs.columns])
+    return docs.where(~has_candidate(F.col(text))).unionByName(changed)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
