@@ -135,8 +135,10 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     n_entries, n_queries = entries.count(), queries.count()
     shards, blocks = max(1, -(-n_entries // SHARD)), max(1, -(-n_queries // BLOCK))
     # A block of queries and a shard of entries meet in one group of bounded size.
-    left = queries.withColumn("block", F.pmod("e", F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = entries.withColumn("shard", F.pmod("e", F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # All four columns are of one type: cogrouped keys are hashed as they are.
+    own_block, own_shard = (F.pmod("e", F.lit(n)).cast("int") for n in (blocks, shards))
+    left = queries.withColumn("block", own_block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = entries.withColumn("shard", own_shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(queries_of: pa.Table, entries_of: pa.Table) -> pa.Table:
         out = {"e": [], "v": [], "ids": [], "scores": []}
