@@ -10,9 +10,10 @@ with all but 10**-14 of certainty.
 Documents with equal sets are one node from the start. In every bucket of equal band keys all
 nodes meet the smallest one (never each other). A pair whose Jaccard estimate, corrected for
 chance collisions of registers, is six deviations below the threshold goes; the others are
-confirmed on their full sets. Components of the confirmed links follow; a bucket that still
-holds several components then has its pairs of different components checked in the same way,
-which makes up for links that do not run over the smallest node.
+confirmed on their full sets. Components of the confirmed links follow. Members of a group that
+are not in the component of its smallest node are then compared with the whole group on full
+sets, in blocks inside tasks, which makes up for links that do not run over the smallest node;
+of these only the links leave a task.
 
 Nulls, empty texts: an empty set, linked with nothing. Rows that share a doc_id are linked.
 Rows without an id take part in no link and are kept. Ties: equal sets are copies, the
@@ -39,6 +40,8 @@ BAND = 4
 BANDS = REGISTERS // BAND
 DEVIATIONS = 6
 ATTEMPTS = 64
+# Nodes of a group that a task compares at once.
+TOGETHER = 512
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +194,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id) per row; links have 100 * common >= percent * union shingles of k words."""
+    """(key, n_shingles, component_id) per row; keys are integers. Links have 100 * common >= percent * union shingles of k words."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     signed = with_signature(rows, "text", k).select("id", F.col("_sig.n").alias("n"), F.col("_sig.s1").alias("s1"), F.col("_sig.s2").alias("s2"), F.col("_sig.registers").alias("r"))
     signed = stored(signed, "signatures")
@@ -207,14 +210,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
     met = stored(banded.join(leaders, "key"), "buckets")
     links = _links(met.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), registers, rows, percent, k)
-    root = components(links)
-    # Buckets that still hold several components: their pairs across components.
-    labelled = met.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = stored(labelled.join(mixed, "key"), "rest")
-    left, right = (rest.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
-    across = left.join(right, "key").where("root_a < root_b").select("a", "b").distinct()
-    more = _links(across.join(links, ["a", "b"], "left_anti"), registers, rows, percent, k)
+    more = _beyond(met.select("leader", "node").distinct(), components(links), rows, percent, k)
     root = components(links.union(more))
     member = nodes.join(root, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component_id"))
     told = signed.join(member, ["s1", "s2"], "left")
@@ -222,6 +218,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return told.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def _beyond(groups: DataFrame, root: DataFrame, rows: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) that do not run over the leader of a group (leader, node).
+
+    Nodes that share a bucket share its leader. Those that are not yet in the leader's component
+    meet all nodes of the group on their full sets, in blocks of bounded size inside tasks.
+    Only links are returned, one for each node and component; pairs are not made.
+    """
+    told = groups.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = told.where("node = leader").select("leader", F.col("root").alias("leader_root"))
+    told = told.join(own, "leader").withColumn("apart", F.col("root") != F.col("leader_root"))
+    sizes = told.groupBy("leader").agg(F.count("*").alias("n"), F.count_if("apart").alias("n_apart")).where("n_apart > 0")
+    told = stored(told.join(sizes, "leader").select("leader", "node", "root", "apart", "n", "n_apart"), "apart")
+    sets = stored(with_set(rows.join(told.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "text", k).select(F.col("id").alias("node"), "_set"), "sets")
+    blocks, apart_blocks = F.ceil(F.col("n") / TOGETHER), F.ceil(F.col("n_apart") / TOGETHER)
+    h = F.xxhash64("node")
+    asked = told.where("apart").select(
+        "leader", "node", "root", F.lit(True).alias("asks"), F.pmod(h, apart_blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
+    met = told.select("leader", "node", "root", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), apart_blocks - 1)).alias("i"), F.pmod(h, blocks).alias("j"))
+    dealt = asked.unionByName(met.select(*asked.columns)).join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy().astype(bool)
+        node, root_of = (table.column(c).to_numpy() for c in ("node", "root"))
+        parts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("_set")]
+        size = np.array([len(x) for x in parts])
+        others = np.flatnonzero(~asks)
+        owner = np.repeat(np.arange(len(others)), size[others])
+        value = np.concatenate([parts[i] for i in others]) if len(others) else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        found = {}
+        for i in np.flatnonzero(asks):
+            low, high = np.searchsorted(value, parts[i], "left"), np.searchsorted(value, parts[i], "right")
+            hits = [owner[x:y] for x, y in zip(low, high) if y > x]
+            common = np.bincount(np.concatenate(hits), minlength=len(others)) if hits else np.zeros(len(others), dtype=np.int64)
+            near = common * 100 >= (size[i] + size[others] - common) * percent
+            for j in others[near & (root_of[others] != root_of[i])]:
+                pair = (int(node[i]), int(root_of[j]))
+                found[pair] = min(found.get(pair, int(node[j])), int(node[j]))
+        pairs = [(a, b) for (a, _), b in found.items()]
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    compared = dealt.groupBy("leader", "i", "j").applyInArrow(compare, "a long, b long")
+    return stored(compared.distinct(), "links")
+
+
 def _links(pairs: DataFrame, registers: DataFrame, rows: DataFrame, percent: int, k: int) -> DataFrame:
     pairs = stored(pairs, "pairs")
     for side in "ab":
