@@ -113,7 +113,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     """(number of packs, lengths) per pattern; every length of the histogram is used up.
 
     Longest first, each length goes to the packs that are shortest so far, if it fits there,
-    else to new packs. A pattern is split when only part of its packs take the length.
+    else to new packs, which take it as often as it fits. A pattern is split when only part of its packs take the length.
     """
     space: dict[int, list[tuple[int, list[int]]]] = {}
     spaces: list[int] = []
@@ -131,7 +131,10 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                     del space[room]
                 pattern = [*pattern, length]
             else:
-                room, used, pattern = capacity, left, [length]
+                # A new pack is the only one with room, so it takes this length until it is full.
+                each = min(capacity // length, left)
+                used, pattern, room = left // each, [length] * each, capacity - length * (each - 1)
+                left -= used * (each - 1)
             if room - length not in space:
                 space[room - length] = []
                 insort(spaces, room - length)
