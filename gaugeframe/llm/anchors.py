@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from gaugeframe.llm.arrowtext import BYTE_VALUES, NON_SPACE, RangeHash, mix, slices, words
 from gaugeframe.llm.data import stored
 
-SLICE = 256 << 10
+# Slices whose arrays stay in the processor's cache.
+BYTE_SLICE, WORD_SLICE = 32 << 10, 128 << 10
+OUT_BYTES = 256 << 10
+ANCHOR_ROWS = 50_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -72,7 +75,8 @@ def anchors(seq: Sequences, k: int, window: int) -> Anchors:
     Its context is the union of the windows that chose it.
     """
     n, w = len(seq.values), window - k + 1
-    if n < window:
+    inside = np.flatnonzero(starts_inside(seq.bounds, window, n))
+    if not len(inside):
         none = np.zeros(0, dtype=np.int64)
         return Anchors(none, none.astype(np.uint64), none.astype(np.uint64), none, none)
     hashes = RangeHash(seq.values)
@@ -82,7 +86,6 @@ def anchors(seq: Sequences, k: int, window: int) -> Anchors:
     lowest = sliding(np.minimum, (gram & ~_PLACE) | (index & _PLACE), w)
     first = index[: len(lowest)]
     chosen = (first + ((lowest - first) & _PLACE)).astype(np.int64)
-    inside = np.flatnonzero(starts_inside(seq.bounds, window, n)[: len(chosen)])
     chosen = chosen[inside]
     head = np.flatnonzero(np.diff(chosen, prepend=-1))
     tail = np.append(head[1:], len(chosen)) - 1
@@ -95,15 +98,22 @@ def anchor_rows(docs: DataFrame, tokens: Callable[[pa.Array], Iterator[tuple[int
     """(h, c, doc, u, pos, reach) of every anchor of ``docs`` (doc, u, t); reach is left * 65536 + right."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "c", "doc", "u", "pos", "reach"]
         for batch in batches:
             doc, u = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            held, size = [], 0
             for first, seq in tokens(batch.column(2)):
                 a = anchors(seq, k, window)
                 text = np.searchsorted(seq.bounds, a.at, side="right") - 1
                 row = first + text
                 columns = [a.hash.view(np.int64), a.context.view(np.int64), doc[row], u[row], (a.at - seq.bounds[text]).astype(np.int32)]
-                columns.append((a.left * 65536 + a.right).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "doc", "u", "pos", "reach"])
+                held.append([*columns, (a.left * 65536 + a.right).astype(np.int32)])
+                size += len(row)
+                if size > ANCHOR_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
 
     return docs.where("doc is not null").select("doc", "u", "t").mapInArrow(find, "h long, c long, doc long, u long, pos int, reach int")
 
@@ -118,11 +128,11 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 def repeated_anchors(rows: DataFrame) -> DataFrame:
     """The anchors whose hash occurs more than once, stored.
 
-    The hashes are counted (with partial counts per task) and joined back, so that a frequent
-    anchor is split like any skewed join key. The anchors themselves are computed twice
-    rather than stored.
+    The hashes are counted (with partial counts per task), stored and joined back, so that a
+    frequent anchor is split like any skewed join key. The anchors themselves are computed
+    twice rather than stored.
     """
-    twice = rows.groupBy("h").count().where("count > 1").select("h")
+    twice = stored(rows.groupBy("h").count().where("count > 1").select("h"), "hashes")
     return stored(rows.join(twice.hint("shuffle_hash"), "h"), "anchors")
 
 
@@ -142,10 +152,11 @@ def compared(found: DataFrame, order: tuple[str, ...]) -> Compared:
     classes = stored(found.groupBy("h", "c").agg(F.min(F.struct(*order)).alias("first")), "contexts")
     several = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     told = found.join(classes.join(several, "h", "left"), ["h", "c"])
-    here = F.struct(*order)
-    whole = told.where(here > F.col("first")).select("doc", "u", (F.col("pos") - left_of()).alias("start"), (F.col("pos") + right_of()).alias("end"))
-    rest = told.where((here == F.col("first")) & F.col("n").isNotNull()).select(F.col("h").alias("key"), "n", "doc", "u", "pos", "reach")
-    return Compared(whole, rest)
+    later = F.struct(*order) > F.col("first")
+    told = told.where(later | F.col("n").isNotNull()).select(F.when(~later, F.col("h")).alias("key"), F.when(~later, F.col("n")).alias("n"), "doc", "u", "pos", "reach")
+    told = stored(told, "compared")
+    whole = told.where("key is null").select("doc", "u", (F.col("pos") - left_of()).alias("start"), (F.col("pos") + right_of()).alias("end"))
+    return Compared(whole, told.where("key is not null"))
 
 
 def left_of():
@@ -176,7 +187,7 @@ def contexts(docs: DataFrame, rows: DataFrame, unit: int, data_of: Callable[[byt
                     for column, value in zip(out, (key, n, doc, u, pos, left, data[(pos - left) * unit : (pos + right) * unit])):
                         column.append(value)
                     size += (left + right) * unit
-                if size > SLICE:
+                if size > OUT_BYTES:
                     yield rows_of(out)
                     out, size = [[] for _ in range(7)], 0
             if out[0]:
@@ -237,12 +248,12 @@ def extended(group: DataFrame, order: tuple[str, ...], unit: int, window: int) -
     return spans, stored(rest.join(several, "key").select("key", "n", "doc", "u", "pos", "left", "data"), "left")
 
 
-def squeezed(text) -> F.Column:
+def squeezed(text, level: int = 1) -> F.Column:
     """Texts as zstandard frames, for shuffles."""
 
     @F.arrow_udf("binary")
     def squeeze(texts: pa.Array) -> pa.Array:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=level)
         cells = (x.as_py() for x in texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()))
         return pa.array([None if v is None else pack.compress(v) for v in cells], type=pa.binary())
 
@@ -278,11 +289,11 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def byte_sequences(column: pa.Array) -> Iterator[tuple[int, Sequences]]:
-    for part in slices(column, SLICE):
+    for part in slices(column, BYTE_SLICE):
         yield part.first, Sequences(BYTE_VALUES[part.bytes], part.offsets)
 
 
 def word_sequences(column: pa.Array) -> Iterator[tuple[int, Sequences]]:
-    for part in slices(column, SLICE):
+    for part in slices(column, WORD_SLICE):
         w = words(part, NON_SPACE)
         yield part.first, Sequences(w.hash, w.bounds)

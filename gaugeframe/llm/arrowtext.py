@@ -88,7 +88,7 @@ class Texts(NamedTuple):
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     """The texts of a column in slices; a null is an empty text."""
     column = pc.fill_null(column, "") if column.null_count else column
-    large = pa.types.is_large_string(column.type)
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if large else np.int32)
     offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]

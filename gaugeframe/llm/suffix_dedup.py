@@ -9,9 +9,9 @@ all but the earliest are removed. Anchors of more than ``TOGETHER`` contexts (a
 great many different surroundings) first meet their earliest context, and only contexts that
 leave it at the same place in the same way remain together, so that no task sorts a hot group.
 
-To keep the sorted sequences short, the part of a context from its anchor on is written in
-blocks of ``BLOCK`` bytes, ranked as bytes; all contexts of an anchor are aligned there, so the
-order of the suffixes that begin before it is the same.
+To keep the sorted sequences short, the part of a context in which no window begins is written
+in blocks of ``BLOCK`` bytes, ranked as bytes; all contexts of an anchor are aligned there, so
+the order of the suffixes that begin before it is the same.
 
 Nulls, empty texts: no bytes, nothing removed. Documents without an id neither lose bytes nor
 take any. Rows that share a doc_id are one document apart from their text: of equal places the
@@ -38,50 +38,87 @@ ORDER = ("doc", "pos", "u")
 TOGETHER = 64
 SORTED_CONTEXTS = 64
 BLOCK = 8
+# Groups up to this size are freed of contexts that share no window before they are sorted.
+PAIRED = 12
 
 
-def repeated_windows(rows: list[tuple[tuple, int, bytes]], window: int) -> list[list[int]]:
-    """Per context (order of its first byte, bytes before the anchor, bytes) the offsets of windows
+def repeated_windows(rows: list[tuple[int, tuple, int, bytes]], window: int) -> list[list[int]]:
+    """Per context (key, place of its first byte, bytes before the anchor, bytes) the offsets of windows
     that an earlier place holds too, by one suffix array over all of them."""
+    tail: dict[int, int] = {}  # bytes before the anchor in which no window of the key starts
+    for key, _, left, data in rows:
+        tail[key] = min(tail.get(key, left), left + window - len(data))
     symbols: list[bytes] = []
     owner: list[int] = []
     offset: list[int] = []
-    for i, (_, left, data) in enumerate(rows):
-        own = [data[j : j + 1] for j in range(left)]
-        own += [data[j : j + BLOCK] for j in range(left, len(data), BLOCK)]
+    for i, (key, _, left, data) in enumerate(rows):
+        single, starts = left - tail[key], len(data) - window
+        own = [data[j : j + 1] for j in range(single)]
+        own += [data[j : j + BLOCK] for j in range(single, len(data), BLOCK)]
         own.append(b"")  # ends a context; smaller than any byte
-        starts = min(len(data) - window, left)
         symbols += own
         owner += [i] * len(own)
-        offset += [j if j <= starts else -1 for j in range(left + 1)] + [-1] * (len(own) - left - 1)
+        offset += [*range(starts + 1), *[-1] * (len(own) - starts - 1)]
     ranks = {symbol: rank for rank, symbol in enumerate(sorted(set(symbols)), start=1)}
     found: list[list[int]] = [[] for _ in rows]
     last, same = None, []
 
     def close() -> None:
-        if len(same) > 1:
-            for place in sorted(same)[1:]:
-                found[place[1]].append(place[2])
-
-    for at in suffix_array([*map(ranks.__getitem__, symbols), 0]):
-        if at == len(offset) or offset[at] < 0:
-            continue
-        i, j = owner[at], offset[at]
-        (doc, start, u), _, data = rows[i]
-        content = data[j : j + window]
-        if content != last:
-            close()
-            last, same = content, []
-        same.append(((doc, start + j, u), i, j))
-    close()
+        places = [((doc, start + j, u), i, j) for i, j in same for doc, start, u in [rows[i][1]]]
+        earliest = min(places)[0]
+        for place, i, j in places:
+            if place != earliest:  # a context may stand here under two keys
+                found[i].append(j)
+
+    for at in suffix_array([*map(ranks.__getitem__, symbols), 0])[1:]:
+        j = offset[at]
+        if j >= 0:
+            i = owner[at]
+            content = rows[i][3][j : j + window]
+            if content == last:
+                same.append((i, j))
+            else:
+                if len(same) > 1:
+                    close()
+                last, same = content, [(i, j)]
+    if len(same) > 1:
+        close()
     return found
 
 
+def agreement(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b)) + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def with_partner(rows: list[tuple], window: int) -> list[tuple]:
+    """The contexts (key, ..., left, data) of one key less those that cannot share a window with any other.
+
+    Only small groups are looked through; larger ones stay whole.
+    """
+    if len(rows) > PAIRED:
+        return rows
+    sides = [(data[:left][::-1], data[left:]) for *_, left, data in rows]
+    kept = set()
+    for i, (left, right) in enumerate(sides):
+        for j in range(i):
+            if agreement(left, sides[j][0]) + agreement(right, sides[j][1]) >= window:
+                kept |= {i, j}
+    return [rows[i] for i in sorted(kept)]
+
+
 def sorted_spans(group: DataFrame, window: int) -> DataFrame:
     """Spans (doc, u, start, end) from suffix arrays over the contexts of each key."""
 
     def run(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-        found = repeated_windows([((doc, pos - left, u), left, data) for _, doc, u, pos, left, data in rows], window)
+        found = repeated_windows([(key, (doc, pos - left, u), left, data) for key, doc, u, pos, left, data in rows], window)
         spans = []
         for (_, doc, u, pos, left, _), offsets in zip(rows, found):
             start = end = None
@@ -97,16 +134,19 @@ def sorted_spans(group: DataFrame, window: int) -> DataFrame:
         return spans
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held, group = [], []
         for batch in batches:
             spans = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if len(held) >= SORTED_CONTEXTS and row[0] != held[-1][0]:
-                    spans += run(held)
-                    held = []
-                held.append(row)
+                if group and row[0] != group[-1][0]:
+                    held += with_partner(group, window)
+                    group = []
+                    if len(held) >= SORTED_CONTEXTS:
+                        spans += run(held)
+                        held = []
+                group.append(row)
             yield table(spans)
-        yield table(run(held))
+        yield table(run(held + with_partner(group, window)))
 
     def table(spans: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*spans)) or [[], [], [], []]
