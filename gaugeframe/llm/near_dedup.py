@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeframe.llm.anchors import squeezed, unsqueezed
 from gaugeframe.llm.arrowtext import NON_SPACE, RangeHash, Words, mix, slices, words
 from gaugeframe.llm.components import components
 from gaugeframe.llm.data import read, stored
@@ -143,12 +144,12 @@ def with_signature(df: DataFrame, text: str, k: int) -> DataFrame:
 
 
 def with_set(df: DataFrame, text: str, k: int) -> DataFrame:
-    """Replaces the text by _set, its sorted distinct shingle hashes."""
+    """Replaces the text (in squeezed form) by _set, its sorted distinct shingle hashes."""
 
     @F.arrow_udf("binary")
-    def as_set(texts: pa.Array) -> pa.Array:
+    def as_set(cells: pa.Array) -> pa.Array:
         parts = []
-        for part in slices(texts):
+        for part in slices(pa.array(list(unsqueezed(cells)), type=pa.large_binary())):
             text_of, value = shingles(words(part, NON_SPACE, lower=True), k)
             parts.append(binary(value, np.searchsorted(text_of, np.arange(len(part) + 1))))
         return pa.concat_arrays(parts) if parts else pa.array([], type=pa.binary())
@@ -156,6 +157,11 @@ def with_set(df: DataFrame, text: str, k: int) -> DataFrame:
     return df.withColumn("_set", as_set(F.col(text))).drop(text)
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """id and text, squeezed for the shuffle."""
+    return texts.select("id", squeezed(F.col("text"), 6).alias("text"))
+
+
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb, ra, rb) that the estimate does not rule out."""
 
@@ -186,7 +192,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
         return pa.array(found, type=pa.int64())
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(with_set(texts.join(ids, "id", "left_semi"), "text", k), "sets")
+    sets = stored(with_set(packed(texts).join(ids, "id", "left_semi"), "text", k), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("_set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("_set").alias("sb")), "b")
     i = common("sa", "sb")
     union = (F.octet_length("sa") / 8 + F.octet_length("sb") / 8).cast("long") - F.col("i")
@@ -230,7 +236,7 @@ def _beyond(groups: DataFrame, root: DataFrame, rows: DataFrame, percent: int, k
     told = told.join(own, "leader").withColumn("apart", F.col("root") != F.col("leader_root"))
     sizes = told.groupBy("leader").agg(F.count("*").alias("n"), F.count_if("apart").alias("n_apart")).where("n_apart > 0")
     told = stored(told.join(sizes, "leader").select("leader", "node", "root", "apart", "n", "n_apart"), "apart")
-    sets = stored(with_set(rows.join(told.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "text", k).select(F.col("id").alias("node"), "_set"), "sets")
+    sets = stored(with_set(packed(rows).join(told.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "text", k).select(F.col("id").alias("node"), "_set"), "sets")
     blocks, apart_blocks = F.ceil(F.col("n") / TOGETHER), F.ceil(F.col("n_apart") / TOGETHER)
     h = F.xxhash64("node")
     asked = told.where("apart").select(
