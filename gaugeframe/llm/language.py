@@ -2,14 +2,16 @@
 
 For every language a suffix automaton is built over a reference of labelled text. A text is
 parsed against it into longest matches: a phrase goes on while the reference holds it as a
-substring. The language that needs the fewest phrases per letter wins; references have the
-same length, so counts compare. The score is the posterior of the winner when a phrase costs
-the logarithm of the reference length.
+substring. The language of lowest cost wins. A phrase costs the logarithm of the length of its
+own reference (where it is copied from) and ``LENGTH`` for its length, so that references of
+different lengths compare. A letter the reference lacks costs a phrase of the longest reference
+and the logarithm of the alphabet, in every language alike. The score is the posterior of the
+winner at these costs.
 
 The reference of a language is a bounded sample: the documents of smallest hash, at most
 ``DOCUMENTS`` with one passage of ``PASSAGE`` characters each, cut to ``REFERENCE`` characters
-(less if there are so many languages that the automata would exceed ``TOTAL``). Texts are
-parsed whole, in pieces of ``PIECE`` letters that go through the automaton side by side.
+(less if there are so many languages that the automata would exceed ``TOTAL``). No reference is
+cut because another one is short. Texts are parsed whole, in pieces of ``PIECE`` letters that go through the automaton side by side.
 
 Null texts and texts without a letter are ``und`` with score 0, and so are all if nothing can
 be learned. Ties go to the first language in order. Repeated rows are judged each. An input
@@ -34,6 +36,7 @@ PASSAGE = 4_000
 REFERENCE = 40_000
 TOTAL = 400_000
 PIECE = 256
+LENGTH = 1.0
 OTHER, SPACE, PAD = 0, 1, 2
 
 
@@ -89,7 +92,7 @@ class Automaton:
 
 
 class Parser:
-    """Phrase counts of texts against the references of all languages."""
+    """Phrase counts and costs of texts against the references of all languages."""
 
     def __init__(self, references: tuple[tuple[str, str], ...]):
         self.names = [name for name, _ in references]
@@ -97,7 +100,10 @@ class Parser:
         self.symbol = np.where(letters(), OTHER, SPACE).astype(np.int32)
         self.symbol[[ord(c) for c in used]] = np.arange(3, 3 + len(used))
         self.alphabet = 3 + len(used)
-        self.tables = [Automaton(self.symbols(text)[0].tolist()).parser(self.alphabet) for _, text in references]
+        taught = [self.symbols(text)[0].tolist() for _, text in references]
+        self.tables = [Automaton(symbols).parser(self.alphabet) for symbols in taught]
+        self.phrase = np.array([math.log(max(2, len(symbols))) + LENGTH for symbols in taught])
+        self.missing = self.phrase.max(initial=0.0) + math.log(self.alphabet)
 
     def symbols(self, text: str) -> tuple[np.ndarray, bool]:
         """Letters in lower case as symbols, all between them as one space; and if there is a letter."""
@@ -107,8 +113,18 @@ class Parser:
         keep[1:] = (symbol[1:] != SPACE) | (symbol[:-1] != SPACE)
         return symbol[keep], bool((symbol != SPACE).any())
 
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x languages) costs, and if the text has a letter."""
+        counts, missing, has = self._parsed(texts)
+        return (counts - missing) * self.phrase + missing * self.missing, has
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) phrase counts, and if the text has a letter."""
+        counts, _, has = self._parsed(texts)
+        return counts, has
+
+    def _parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrase counts, how many of them are a symbol that the reference lacks, and if the text has a letter."""
         found = [self.symbols(text) for text in texts]
         pieces = np.array([-(-len(s) // PIECE) for s, _ in found])
         lanes = np.full((int(pieces.sum()), PIECE), PAD, dtype=np.int32)
@@ -118,17 +134,19 @@ class Parser:
             at += n
         steps = np.ascontiguousarray(lanes.T)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        counts = np.zeros((len(texts), len(self.tables)))
+        counts, missing = np.zeros((2, len(texts), len(self.tables)))
         for i, table in enumerate(self.tables):
-            state, ended = np.zeros(len(owner), dtype=np.int32), np.zeros(len(owner), dtype=np.int32)
+            state, ended, lacked = np.zeros((3, len(owner)), dtype=np.int32)
             for symbol in steps:
                 state *= self.alphabet
                 state += symbol
                 code = table[state]
                 ended += code & 1
+                lacked += code == 1
                 state = code >> 1
             counts[:, i] = np.bincount(owner, weights=ended, minlength=len(texts))
-        return counts, np.array([has for _, has in found], dtype=bool)
+            missing[:, i] = np.bincount(owner, weights=lacked, minlength=len(texts))
+        return counts, missing, np.array([has for _, has in found], dtype=bool)
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,14 +169,12 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
             texts[row.l].append(row.t)
     texts = {name: parts for name, parts in texts.items() if parts}
     joined = {name: " ".join(parts) for name, parts in texts.items()}
-    size = min([REFERENCE, TOTAL // max(len(joined), 1), *map(len, joined.values())])
+    size = min(REFERENCE, TOTAL // max(len(joined), 1))
     return tuple((name, joined[name][:size]) for name in sorted(joined))
 
 
 def with_language(docs: DataFrame, references: tuple[tuple[str, str], ...], text: str = "text") -> DataFrame:
     """Adds lang_pred and score."""
-    cost = math.log(max([2, *(len(t) for _, t in references)]))
-
     @F.arrow_udf("lang_pred string, score double")
     def judged(texts: pa.Array) -> pa.Array:
         names, scores = [], []
@@ -169,9 +185,9 @@ def with_language(docs: DataFrame, references: tuple[tuple[str, str], ...], text
                 scores += [0.0] * len(values)
                 continue
             parser = _parser(references)
-            counts, has = parser.phrases(values)
-            best = counts.argmin(axis=1)
-            gap = (counts - counts.min(axis=1, keepdims=True)) * cost
+            costs, has = parser.costs(values)
+            best = costs.argmin(axis=1)
+            gap = costs - costs.min(axis=1, keepdims=True)
             posterior = 1 / np.exp(-gap).sum(axis=1)
             names += [parser.names[b] if h else "und" for b, h in zip(best, has)]
             scores += np.where(has, posterior, 0.0).tolist()

@@ -177,6 +177,24 @@ def test_languages(docs, empty, spark):
     assert language.fit_languages(empty) == () and {r.lang_pred for r in language.with_language(docs, ()).collect()} == {"und"}
 
 
+def test_languages_with_one_short_document(spark):
+    """A language of one short document takes nothing from the references and texts of the others."""
+    rng = random.Random(11)
+    vowels = {"en": "aeiou", "de": "äöüie"}
+    stock = {name: ["".join(rng.choice("bdfgklmnrst") + rng.choice(v) for _ in range(rng.randint(1, 4))) for _ in range(300)] for name, v in vowels.items()}
+
+    def text(name):
+        return " ".join(rng.choice(stock[name]) for _ in range(60))
+
+    rows = [(i, text(name), name) for i, name in enumerate(["en", "de"] * 30)]
+    rows += [(90, text("en")[:30], "mislabelled"), (91, "ж", "rare")]
+    references = dict(language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert min(len(references[name]) for name in stock) > 5_000 and len(references["mislabelled"]) == 30
+    asked = [(i, text(name), name) for i, name in enumerate(["en", "de"] * 20)] + [(50, "жжж ж", "rare")]
+    got = language.with_language(spark.createDataFrame(asked, "doc_id long, text string, lang string"), tuple(sorted(references.items())))
+    assert all(r.lang_pred == r.lang for r in got.collect())
+
+
 def test_parser_counts_longest_matches():
     references = (("a", "the quick brown fox jumps"), ("b", "pack my box with five dozen"))
     parser = language.Parser(references)
