@@ -1,7 +1,8 @@
 """Secret scan with a random forest against false positives (operator 10), native.
 
-Regular expressions mark candidates: values assigned to a credential word, and runs of token
-characters that hold a digit. Each candidate gets features by SQL functions: length,
+Regular expressions mark candidates: values assigned to a credential word or an authorization
+header, private key blocks, keys of known shape (prefixes of providers, JSON web tokens), and
+runs of token characters that hold a digit. Each candidate gets features by SQL functions: length,
 character classes and their transitions, entropy, the share of its letter triples that occur
 in dictionary words, whether it is part of a path, and the words around it. A Spark ML random
 forest trained from labelled findings tells secrets from false positives. Everything runs in
@@ -9,8 +10,11 @@ the JVM.
 
 Labelled findings are a table of the candidates' features with ``label`` (1 secret, 0 not).
 Where nobody has labelled any, ``weak_labels`` marks a bounded sample of the candidates
-(``FINDINGS`` rows of smallest hash): secret if a credential word assigns it, it is varied and
-nothing around it says it is a placeholder. The dictionary is the ``DICTIONARY`` most frequent
+(``FINDINGS`` rows of smallest hash). Evidence of a secret is an assignment to a credential word,
+a key block or known shape, a credential word told just before, or a random value; digests,
+ids, paths, embedded data and plain numbers are none by themselves. What this evidence calls a
+secret is reported whatever the forest, which has seen the sample only, says of it: the forest
+adds candidates that resemble secrets. With given labels the forest alone decides. The dictionary is the ``DICTIONARY`` most frequent
 words around the candidates of that sample.
 
 Nulls and empty texts have no candidates. Candidates that repeat are findings each. If the
@@ -40,11 +44,29 @@ REDACTED = "[SECRET]"
 BEFORE, AFTER = 80, 40
 
 CREDENTIAL = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
-ASSIGNED = CREDENTIAL + r"""["']?\s{0,3}[:=]\s{0,3}["']?"""
+ASSIGNED = rf"""(?:{CREDENTIAL}|(?i:authorization))["']?\s{{0,3}}[:=]\s{{0,3}}["']?(?:(?i:bearer|basic)\s{{1,3}})?"""
 TOKEN = "A-Za-z0-9+/=_-"
+# A block up to its end mark; without one, the header and the lines of text code after it.
+KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY[A-Z ]{0,9}-----"
+    r"(?:[\s\S]{1,16000}?-----END [A-Z ]{0,20}PRIVATE KEY[A-Z ]{0,9}-----|(?:(?:\s|\\[nr]){0,8}+[A-Za-z0-9+/=]{40,}+){1,200}+)"
+)
+SHAPE = (
+    r"(?:(?:AKIA|ASIA|ABIA|ACCA|AROA|AIDA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{30,}+|github_pat_[A-Za-z0-9_]{22,}+"
+    r"|glpat-[A-Za-z0-9_-]{20,}+|[sr]k[_-](?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+|xox[abeoprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}"
+    r"|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|hf_[A-Za-z0-9]{30,}+|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}+|ya29\.[A-Za-z0-9_-]{20,}+"
+    r"|eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{0,9999}+){2,4}+)"
+)
 CANDIDATE = (
-    rf"""({ASSIGNED})([^\s"']{{8,}}+)|(?<![{TOKEN}])((?=[A-Za-z+/=_-]*+[0-9])[{TOKEN}]{{16,}}+)"""
+    rf"""({ASSIGNED})({KEY_BLOCK}|[^\s"']{{8,}}+)"""
+    rf"""|({KEY_BLOCK}|(?<![A-Za-z0-9]){SHAPE}|(?<![{TOKEN}])(?=[A-Za-z+/=_-]*+[0-9])[{TOKEN}]{{16,}}+)"""
 )
+# Words right before a candidate, at most two others between.
+BETWEEN = r"\W{0,3}(?:\w{1,20}\W{1,3}){0,2}$"
+TOLD = rf"(?i)(?<![a-z])(?:passwords?|passwd|pwd|secrets?|tokens?|(?:api|access|private|secret)[ _-]?keys?|credentials?|bearer){BETWEEN}"
+DIGEST_TOLD = rf"(?i)(?<![a-z])(?:sha-?\d{{0,3}}|md5|checksum|digest|commit|revision|uuid|guid|hash|etag|integrity){BETWEEN}"
+UUID = r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"
+WORDLIKE = "[A-Za-z][a-z]{3,}"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fake|redacted|0000000|1234567"
 DIGEST = r"(?i)sha-?\d*|md5|checksum|digest|commit|uuid|guid|hash"
 # A mark no text holds: the first character is doubled with another one wherever a text has it.
@@ -53,6 +75,7 @@ ESCAPE, MARK, ESCAPED = "", "", ""
 FEATURES = (
     "length", "digits", "uppers", "lowers", "others", "transitions", "hex", "entropy", "coverage", "in_path",
     "assigned", "credential_near", "placeholder_near", "digest_near", "quoted", "words_near",
+    "shape", "told", "digest_told", "uuid", "data", "wordlike",
 )
 
 
@@ -123,14 +146,30 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         "digest_near": F.col("before").rlike(DIGEST),
         "quoted": F.col("before").rlike("[\"'`]$"),
         "words_near": F.regexp_count(near, F.lit(r"\p{L}{3,}")),
+        "shape": c.rlike(rf"^{KEY_BLOCK}|(?<![A-Za-z0-9]){SHAPE}"),
+        "told": F.col("before").rlike(TOLD),
+        "digest_told": F.col("before").rlike(DIGEST_TOLD) | c.rlike(r"(?i)^(?:sha-?\d{1,3}|md5)[-_=:]"),
+        "uuid": c.rlike(UUID),
+        "data": F.col("before").rlike(r"base64,\s{0,3}$"),
+        "wordlike": (F.length(c) - F.length(F.regexp_replace(c, WORDLIKE, ""))) / n,
         "length": F.col("length"),
     }
     return found.withColumns({name: F.coalesce(columns[name].cast("double"), F.lit(0.0)) for name in FEATURES})
 
 
 def weak_labels(featured: DataFrame) -> DataFrame:
-    """Adds label by rule: assigned by a credential word, varied, and no placeholder."""
-    secret = (F.col("assigned") == 1) & (F.col("entropy") >= 2.5) & (F.col("placeholder_near") == 0)
+    """Adds label by rule: varied, no placeholder, and assigned, of known shape, told to be a credential, or random.
+
+    A value of hexadecimal digits alone may be a digest, so it needs an assignment or a word before it.
+    """
+    f = {name: F.col(name) for name in FEATURES}
+    free = (f["uuid"] == 0) & (f["in_path"] == 0) & (f["digest_told"] == 0) & (f["data"] == 0) & (f["uppers"] + f["lowers"] > 0)
+    told = free & (f["told"] == 1) & (f["digits"] > 0) & (f["entropy"] >= 3.0) & (f["wordlike"] < 0.7)
+    mixed = (f["uppers"] > 0) & (f["lowers"] > 0) & (f["others"] <= 0.2) & (f["entropy"] >= 3.7) & (f["transitions"] >= 0.4) & (f["wordlike"] < 0.5)
+    one_case = (f["others"] == 0) & (f["entropy"] >= 3.3) & (f["transitions"] >= 0.3)
+    random = free & f["length"].between(20, 512) & (f["hex"] == 0) & (f["digits"] * f["length"] >= 2) & (f["digits"] <= 0.6) & (mixed | one_case)
+    shape = (f["shape"] == 1) & (f["wordlike"] < 0.7)
+    secret = ((f["assigned"] == 1) | shape | told | random) & (f["entropy"] >= 2.5) & (f["placeholder_near"] == 0)
     return featured.withColumn("label", secret.cast("double"))
 
 
@@ -159,10 +198,13 @@ def scan(parts: DataFrame, keep: list[str], labelled: DataFrame | None = None) -
     found = materialize(candidates(parts, keep), "candidates")
     sample = found.withColumn("_h", F.xxhash64("finding", "before", "after")).orderBy("_h", "_row", "part").limit(FINDINGS).drop("_h")
     words = dictionary(sample)
-    if labelled is None:
+    told = labelled is not None
+    if not told:
         labelled = weak_labels(with_features(sample, words)).select("label", *FEATURES)
     model = train(materialize(labelled, "findings"))
     scored = judged(with_features(found, words), model)
+    if model is not None and not told:
+        scored = weak_labels(scored).withColumn("probability", F.greatest("probability", "label")).drop("label")
     return scored.where(F.col("probability") >= ACCEPT)
 
 
