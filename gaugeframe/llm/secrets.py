@@ -12,7 +12,8 @@ Labelled findings are a table of the candidates' features with ``label`` (1 secr
 Where nobody has labelled any, ``weak_labels`` marks a bounded sample of the candidates
 (``FINDINGS`` rows of smallest hash). Evidence of a secret is an assignment to a credential word,
 a key block or known shape, a credential word told just before, or a random value; digests,
-ids, paths, embedded data and plain numbers are none by themselves. What this evidence calls a
+ids, paths, embedded data and plain numbers are none by themselves. A placeholder is told by the
+value itself; words around it (``placeholder_near``) are a feature and decide no label. What this evidence calls a
 secret is reported whatever the forest, which has seen the sample only, says of it: the forest
 adds candidates that resemble secrets. With given labels the forest alone decides. The dictionary is the ``DICTIONARY`` most frequent
 words around the candidates of that sample.
@@ -68,6 +69,13 @@ DIGEST_TOLD = rf"(?i)(?<![a-z])(?:sha-?\d{{0,3}}|md5|checksum|digest|commit|revi
 UUID = r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"
 WORDLIKE = "[A-Za-z][a-z]{3,}"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fake|redacted|0000000|1234567"
+# A value that is a placeholder as a whole or has such a word in it, set off by other signs.
+PLACEHOLDER_VALUE = (
+    r"(?i)(?:^|[^a-z0-9])(?:examples?|samples?|dummy|placeholder|change[_-]?me|your|test|testing|fake|redacted|[x*]{4,})\d{0,4}(?:$|[^a-z0-9])"
+    r"|^(?:\W|_)*(?:(.)\1*|0?1234567(?:89?0?)?)(?:\W|_)*$|(?-i:EXAMPLE(?:KEY)?$)"
+)
+# Its second word is the provider's, not the value's.
+TEST_KEY = "^([sr]k)[_-]test[_-]"
 DIGEST = r"(?i)sha-?\d*|md5|checksum|digest|commit|uuid|guid|hash"
 # A mark no text holds: the first character is doubled with another one wherever a text has it.
 ESCAPE, MARK, ESCAPED = "", "", ""
@@ -75,7 +83,7 @@ ESCAPE, MARK, ESCAPED = "", "", ""
 FEATURES = (
     "length", "digits", "uppers", "lowers", "others", "transitions", "hex", "entropy", "coverage", "in_path",
     "assigned", "credential_near", "placeholder_near", "digest_near", "quoted", "words_near",
-    "shape", "told", "digest_told", "uuid", "data", "wordlike",
+    "shape", "told", "digest_told", "uuid", "data", "wordlike", "placeholder",
 )
 
 
@@ -152,6 +160,7 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         "uuid": c.rlike(UUID),
         "data": F.col("before").rlike(r"base64,\s{0,3}$"),
         "wordlike": (F.length(c) - F.length(F.regexp_replace(c, WORDLIKE, ""))) / n,
+        "placeholder": F.regexp_replace(c, TEST_KEY, "$1_").rlike(PLACEHOLDER_VALUE),
         "length": F.col("length"),
     }
     return found.withColumns({name: F.coalesce(columns[name].cast("double"), F.lit(0.0)) for name in FEATURES})
@@ -169,7 +178,7 @@ def weak_labels(featured: DataFrame) -> DataFrame:
     one_case = (f["others"] == 0) & (f["entropy"] >= 3.3) & (f["transitions"] >= 0.3)
     random = free & f["length"].between(20, 512) & (f["hex"] == 0) & (f["digits"] * f["length"] >= 2) & (f["digits"] <= 0.6) & (mixed | one_case)
     shape = (f["shape"] == 1) & (f["wordlike"] < 0.7)
-    secret = ((f["assigned"] == 1) | shape | told | random) & (f["entropy"] >= 2.5) & (f["placeholder_near"] == 0)
+    secret = ((f["assigned"] == 1) | shape | told | random) & (f["entropy"] >= 2.5) & (f["placeholder"] == 0)
     return featured.withColumn("label", secret.cast("double"))
 
 

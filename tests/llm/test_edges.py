@@ -407,6 +407,22 @@ def test_secrets_that_nothing_assigns(spark):
     assert all(after[i] == text.replace(secret[i], "[SECRET]") for i, text in rows) and all(after[i] == text for i, text in plain_rows)
 
 
+def test_placeholders_are_told_by_the_value(spark):
+    token = "269b1cea7d4e5f60718293a4b5c6d7e8f9012345"
+    real = [
+        (1, f'write to a.l6@mail6.example.com token = "{token}" now'), (2, f'sanstestion it token = "{token}"'), (3, f"the latest token = {token}"),
+        (4, f'token = "{token[:20]}1234567{token[:13]}"'), (5, f'token = "{token[:20]}0000000{token[:13]}"'),
+        (6, "hooks of xo" + "xb-" + "123456789012-dsUwK0QwASbwwbNK9B7nWWSG here"),
+    ]
+    fake = [
+        (20, 'password = "your_password_example1"'), (21, "api_key: AK" + "IAIOSFODNN7EXAMPLE"), (22, "secret=changeme123"), (23, "token = my-test-token-12"),
+        (24, "token: xxxxxxxxxxxxxxxx"), (25, "password: 1234567890"),
+    ]
+    usual = [(100 + i, f'some words token = "{token[i % 7:]}{i:02d}ab" and more') for i in range(30)] + [(200 + i, f"a number 49828195{i:08d} in a text") for i in range(30)]
+    found = {r.doc_id for r in secrets.secrets(frame(spark, real + fake + usual)).collect()}
+    assert found == {i for i, _ in real} | set(range(100, 130))
+
+
 @pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
 def test_stages_on_edges(spark, docs, empty, name):
     stage = dict(corpus_pipeline.STAGES)[name]

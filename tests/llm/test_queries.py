@@ -141,6 +141,19 @@ def test_secrets(spark, docs):
     assert got == want
 
 
+def test_planted_secrets_at_scale(spark):
+    """Every planted token of sf0.1, also those after words like example.com."""
+    import re
+
+    import __spark_entry__
+
+    sf_dir = "/root/testdata/sf0.1"
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text ilike '%token = %'").select("doc_id", "text").collect()
+    want = {(r.doc_id, m.start(1), 40) for r in texts for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    got = {(r.doc_id, r.start, r.length) for r in __spark_entry__.queries()["op10_secrets"](spark, sf_dir).collect()}
+    assert got == want and {1110, 7273} <= {doc for doc, _, _ in got}
+
+
 def test_pipeline(spark, library, docs):
     """Each stage on what the stage before it kept, against the plain version."""
     texts, state = dict(docs), spark.read.parquet(f"{SF_DIR}/documents.parquet")
