@@ -13,7 +13,8 @@ only.
 Nulls and empty texts score as evidence 0. Labels other than 0 and 1 and rows without an id
 teach nothing. Repeated rows are scored each; repeated labels count once, contradicting ones
 both ways. Without labels of both kinds every text gets the share of label 1 (0.5 if there
-is none). An input column that bears the name of an output column is replaced.
+is none), and ``good_documents`` keeps all documents, for nothing was learned that could reject
+one. An input column that bears the name of an output column is replaced.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ class QualityModel(NamedTuple):
     offset: float
     slope: float
 
+    @property
+    def fitted(self) -> bool:
+        """False if labels of one kind are missing from a half of the sample."""
+        return bool(self.good or self.bad)
+
 
 @functools.lru_cache(maxsize=8)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -140,8 +146,10 @@ def held_out(key: str = "doc_id"):
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
+    """The documents that the classifier accepts, with their own columns; all if none could be fitted."""
     model = fit_quality(docs, labels.where(~held_out()))
+    if not model.fitted:
+        return docs
     z = F.lit(model.offset) + F.lit(model.slope) * evidence_column(F.col("text"), model.good, model.bad)
     return docs.where(1 / (1 + F.exp(-z)) >= ACCEPT)
 

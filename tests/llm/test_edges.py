@@ -164,6 +164,12 @@ def test_quality(docs, empty, spark):
     assert quality.fit_quality(taught, labels.where("quality = 1")).slope == 0.0
 
 
+def test_quality_without_labels_keeps_all(docs, spark):
+    for rows in ([], [(999_999, 1, 0), (999_998, 0, 0)], [(1, 1, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        assert sorted(map(str, quality.good_documents(docs, labels).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_languages(docs, empty, spark):
     rows = [(i, "the cat sat on the mat and the dog " * 9 if i % 2 else "der hund lief über die straße und das haus " * 9, "en" if i % 2 else "de") for i in range(20)]
     taught = spark.createDataFrame([*rows, (90, None, "fr"), (91, "x", None), (None, "y", "es"), (92, "!!", "it")], "doc_id long, text string, lang string")
