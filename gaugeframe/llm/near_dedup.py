@@ -15,7 +15,8 @@ are not in the component of its smallest node are then compared with the whole g
 sets, in blocks inside tasks, which makes up for links that do not run over the smallest node;
 of these only the links leave a task.
 
-Nulls, empty texts: an empty set, linked with nothing. Rows that share a doc_id are linked.
+Nulls, empty texts: an empty set, linked with nothing. Rows that share a doc_id are linked by
+``near_duplicates``, which tells components of ids; ``kept_documents`` links rows by their texts.
 Rows without an id take part in no link and are kept. Ties: equal sets are copies, the
 smallest doc_id stands for them. An empty table gives an empty result. Extra columns, whatever
 their names, are not read by ``near_duplicates`` and kept by ``kept_documents``.
@@ -282,14 +283,27 @@ def _links(pairs: DataFrame, registers: DataFrame, rows: DataFrame, percent: int
 def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest key, with all columns.
 
-    Of rows that repeat the key one stays. Rows without a key stay.
+    Of rows that repeat key and text one stays. Rows that share a key but not the text are
+    documents of their own: all but the one of smallest hash count as larger than any key.
+    Rows without a key stay.
     """
-    found = near_duplicates(docs, key, text, k, percent).where(F.col("component_id") != F.col(key))
-    gone = stored(found.select(F.col(key).alias("_gone")).distinct(), "gone")
-    held = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_gone"), F.xxhash64(text).alias("h"), F.struct(*docs.columns).alias("doc"))
-    nth = F.row_number().over(Window.partitionBy("_gone").orderBy("h"))
-    one = held.join(gone, "_gone", "left_anti").withColumn("nth", nth).where(F.col("nth") == 1)
-    return one.select("doc.*").unionByName(docs.where(F.col(key).isNull()))
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_hash"), F.struct(*docs.columns).alias("_doc"))
+    shared = stored(own.groupBy("_key").agg(F.min("_hash").alias("_first"), F.max("_hash").alias("_last")).where("_first < _last"), "shared")
+    more = own.select("_key", "_hash").join(shared, "_key").where(F.col("_hash") != F.col("_first")).select("_key", "_hash").distinct()
+    more = stored(more, "more")
+    ends = own.agg(F.min("_key").alias("low"), F.max("_key").alias("high")).first() if more.head(1) else None
+    nth = F.monotonically_increasing_id()
+    if ends is not None:
+        number = F.lit(ends.high) + 1 + nth if ends.high < 2**62 else F.lit(ends.low) - 1 - nth
+        more = stored(more.withColumn("_number", number), "numbered")
+        own = own.join(more, ["_key", "_hash"], "left").withColumn("_id", F.coalesce("_number", "_key"))
+    else:
+        own = own.withColumn("_id", F.col("_key"))
+    texts = own.select("_id", F.col("_doc").getField(text).alias("_text"))
+    gone = stored(near_duplicates(texts, "_id", "_text", k, percent).where("component_id <> _id").select("_id").distinct(), "gone")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
+    one = own.join(gone, "_id", "left_anti").withColumn("_nth", first).where("_nth = 1")
+    return one.select("_doc.*").unionByName(docs.where(F.col(key).isNull()))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,6 +333,18 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.kept_documents(empty).count() == 0
 
 
+def test_unrelated_texts_of_one_id_stay(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(40)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (3, texts[1] + " end"), (3, texts[3]), (4, None), (4, texts[4]), (5, texts[4])]
+    kept = near_dedup.kept_documents(frame(spark, rows))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    # Of the two copies of texts[4] and the three of texts[1], one each.
+    assert kept.columns == SCHEMA_NAMES and len(got) == len(set(got)) == 6
+    assert {t for _, t in got if t and not t.endswith(" end")} | {t[:-4] for _, t in got if t and t.endswith(" end")} == set(texts)
+    assert (4, None) in got and (2, texts[2]) in got
+
+
 def test_links_beyond_the_smallest_member(spark):
     """Chains: each text is near the next one only, so the ends meet over links between others."""
     rng = random.Random(8)
