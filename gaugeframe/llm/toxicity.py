@@ -2,7 +2,7 @@
 
 A text is its lower-cased words (letters, digits and all non-ASCII), of which longer ones are cut into pieces of
 ``PIECE`` bytes. Windows of ``WINDOW`` pieces start every ``STEP`` pieces, the last one ends with the text, and all
-are scored by the network of ``llm/gru.py``: every piece is read by its bytes and, if it was seen
+are scored by the network of ``llm/gru.py`` (a shorter text is read again until it fills a window): every piece is read by its bytes and, if it was seen
 often enough in the sample, by a vector of its own. The evidence of a text is the logit of its
 most toxic window; a logistic curve turns it into a probability.
 
@@ -42,8 +42,10 @@ TAUGHT, CURVE = 1_500, 4_000
 PASSAGE = 6_000
 #: Sample texts that must hold a piece before it gets a vector of its own, and the most such pieces.
 SEEN, KNOWN = 4, 20_000
-ROUNDS, DRAWN, TOP = 8, 2, 2
-RATE = 0.01
+UPDATES, WINDOWS_AN_UPDATE, DRAWN, TOP = 480, 128, 2, 2
+PASSES, RATE = 12, 0.01
+#: Share of the vectors of known pieces that an update leaves out, so that the bytes must carry the label too.
+LEFT_OUT = 0.5
 TOXIC = 0.5
 
 
@@ -102,7 +104,7 @@ def evidence(net: dict, known: np.ndarray, texts: Texts) -> tuple[np.ndarray, np
     text, start, length = windows(found.bounds)
     best, place = np.full(len(texts), np.nan), np.zeros(len(texts), dtype=np.int64)
     if len(text):
-        z = gru.logits(net, gru.projections(net, found.pieces), found.number, start, length)
+        z = gru.logits(net, gru.projections(net, found.pieces), found.number, start, length, WINDOW)
         order = np.lexsort((start, -z, text))
         lead = order[np.append(True, text[order][1:] != text[order][:-1])]
         best[text[lead]] = z[lead]
@@ -135,40 +137,54 @@ def known_pieces(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.sort(found[enough[np.lexsort((found[enough], -count[enough]))[:KNOWN]]])
 
 
-def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> tuple[dict, np.ndarray]:
+def sample_tokens(texts: list[str]) -> tuple[Tokens, np.ndarray]:
+    """The pieces of all sample texts, and the hashes of the known ones."""
+    nothing = np.zeros(0, dtype=np.uint64)
+    parts = [tokens(part, nothing) for part in slices(pa.array(texts, type=pa.large_string()))]
+    bases = np.cumsum([0, *[len(t.pieces.data) for t, _ in parts]])
+    counts = np.cumsum([0, *[t.bounds[-1] for t, _ in parts]])
+    distinct, example = np.unique(np.concatenate([d for _, d in parts]), return_index=True)
+    number = np.concatenate([np.searchsorted(distinct, d)[t.number] for t, d in parts])
+    bounds = np.concatenate([[0], *[t.bounds[1:] + n for (t, _), n in zip(parts, counts)]])
+    start, end = (np.concatenate([at[k] + base for (t, _), base in zip(parts, bases) for at in [(t.pieces.start, t.pieces.end)]])[example] for k in (0, 1))
+    known = known_pieces(bounds, distinct[number])
+    word = np.zeros(len(distinct), dtype=np.int64)
+    word[np.searchsorted(distinct, known)] = np.arange(1, len(known) + 1)
+    data = np.concatenate([t.pieces.data for t, _ in parts])
+    return Tokens(number, bounds, gru.Pieces(data, start, end, word)), known
+
+
+def train(texts: list[str], y: np.ndarray, updates: int = UPDATES, seed: int = 0) -> tuple[dict, np.ndarray]:
     """The network and its known pieces, from texts with labels 0 and 1."""
-    whole = next(slices(pa.array(texts, type=pa.large_string()), limit=1 << 62))
-    found, distinct = tokens(whole, np.zeros(0, dtype=np.uint64))
-    known = known_pieces(found.bounds, distinct[found.number])
-    found, _ = tokens(whole, known)
+    found, known = sample_tokens(texts)
     text, start, length = windows(found.bounds)
     rng = np.random.default_rng(seed)
     net = gru.initial(len(known), seed)
     adam = gru.Adam(net, RATE)
-    y = np.asarray(y, dtype=np.float32)
-    for turn in range(rounds):
-        adam.rate = RATE * (1 - 0.8 * turn / rounds)
-        draw = rng.random(len(text))
-        order = np.lexsort((draw, text))
-        nth = np.arange(len(text)) - np.repeat(np.flatnonzero(np.append(True, np.diff(text[order]) > 0)), np.bincount(text[order])[np.unique(text)])
-        chosen = order[nth < DRAWN + TOP]
-        if turn:
-            z = gru.logits(net, gru.projections(net, found.pieces), found.number, start, length)
+    y = np.asarray(y, dtype=np.float32)[text]
+    # The places of a text's windows in any order by text.
+    nth = np.arange(len(text)) - np.flatnonzero(np.append(True, np.diff(text) > 0))[np.cumsum(np.append(False, np.diff(text) > 0))]
+    updates = min(updates, PASSES * -(-int((nth < DRAWN + TOP).sum()) // WINDOWS_AN_UPDATE))
+    done = 0
+    while done < updates:
+        chosen = np.lexsort((rng.random(len(text)), text))[nth < DRAWN + TOP]
+        if done:
+            z = gru.logits(net, gru.projections(net, found.pieces), found.number, start, length, WINDOW)
             order = np.lexsort((-z, text))
-            highest = order[nth < TOP]
             # Of a toxic text the highest windows carry the label; of another one all do.
-            drawn = chosen[y[text[chosen]] == 0]
-            top = highest[(y[text[highest]] == 0) | (nth[np.flatnonzero(nth < TOP)] == 0) | (z[highest] > 0)]
-            chosen = np.union1d(drawn, top)
-        weight = np.where(y[text] == 1, 0.5 / max((y[text[chosen]] == 1).sum(), 1), 0.5 / max((y[text[chosen]] == 0).sum(), 1))
-        batches = [rows for rows in gru.groups(length[chosen], len(chosen))]
-        batches = [part for rows in batches for part in np.array_split(rng.permutation(rows), -(-len(rows) // 128)) if len(part)]
-        for i in rng.permutation(len(batches)):
-            rows = chosen[batches[i]]
-            used, window = np.unique(found.number[start[rows] + np.arange(length[rows[0]])[:, None]], return_inverse=True)
-            here = gru.Pieces(found.pieces.data, found.pieces.start[used], found.pieces.end[used], found.pieces.word[used])
-            _, grad = gru.gradients(net, here, window.reshape(length[rows[0]], len(rows)), y[text[rows]], weight[rows].astype(np.float32))
+            top = order[nth < TOP]
+            top = top[(y[top] == 0) | (nth[nth < TOP] == 0) | (z[top] > 0)]
+            chosen = np.union1d(chosen[y[chosen] == 0], top)
+        toxic = float(y[chosen].sum())
+        weight = np.where(y == 1, 0.5 / max(toxic, 1), 0.5 / max(len(chosen) - toxic, 1)).astype(np.float32)
+        for rows in np.array_split(rng.permutation(chosen), -(-len(chosen) // WINDOWS_AN_UPDATE)):
+            adam.rate = RATE * (1 - 0.8 * min(done / updates, 1))
+            used, window = np.unique(found.number[gru.spread(start[rows], length[rows], WINDOW)], return_inverse=True)
+            word = np.where(rng.random(len(used)) < LEFT_OUT, 0, found.pieces.word[used])
+            here = gru.Pieces(found.pieces.data, found.pieces.start[used], found.pieces.end[used], word)
+            _, grad = gru.gradients(net, here, window.reshape(WINDOW, len(rows)), y[rows], weight[rows])
             adam.step(net, grad)
+            done += 1
     return net, known
 
 
@@ -176,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """Learns from the bounded samples of the given labelled rows."""
     nothing = np.zeros(0, dtype=np.uint64)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).distinct()
-    known = known.withColumn("h", F.xxhash64("k")).withColumn("curve", F.col("h") % 2 == 0)
+    known = known.withColumn("h", F.xxhash64("k")).withColumn("curve", F.col("h") % 4 == 0)
     counted = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = (counted.get(1, 0) + 1) / (counted.get(0, 0) + counted.get(1, 0) + 2)
     unfitted = ToxicityModel(None, nothing, math.log(share / (1 - share)), 0.0, share)
