@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.wrapper import JavaModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from gaugeframe.models.linear import LinearModel
+
 MISSING_VALUE = "missing value"
 
 
@@ -37,8 +42,10 @@ def left_out(frame: DataFrame) -> DataFrame:
     return frame.agg(F.count_if(used).alias("n_used"), F.count_if(~used).alias("n_left_out"))
 
 
-def predict(model: JavaModel, frame: DataFrame, out: str = "prediction") -> DataFrame:
+def predict(model: JavaModel | LinearModel, frame: DataFrame, out: str = "prediction") -> DataFrame:
     """Add the prediction of every row, NULL for incomplete ones. The model itself is not changed."""
+    if hasattr(model, "prediction"):
+        return frame.withColumn(out, F.when(complete(), model.prediction(F.flatten("X"))))
     zeros = array_to_vector(F.array_repeat(F.lit(0.0), model.numFeatures))
     ready = frame.withColumn("features", F.coalesce("features", zeros))
     scored = model.copy({model.predictionCol: out}).transform(ready)

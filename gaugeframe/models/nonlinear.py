@@ -17,9 +17,10 @@ def fit_nonlinear(
     validation: str | None = None,
     tolerance: float = 0.01,
     seed: int = 0,
+    max_bins: int = 32,
 ) -> GBTRegressionModel:
-    """Boosted trees. ``validation`` names a boolean column: rows that decide when to stop early."""
-    settings = {"featuresCol": "features", "labelCol": "y", "maxDepth": max_depth, "maxIter": max_iter, "stepSize": step, "seed": seed}
+    """Boosted trees; inputs of at most ``max_bins`` values are split at any of them. ``validation`` names a boolean column: rows that decide when to stop early."""
+    settings = {"featuresCol": "features", "labelCol": "y", "maxDepth": max_depth, "maxIter": max_iter, "stepSize": step, "seed": seed, "maxBins": max_bins}
     if validation:
         settings |= {"validationIndicatorCol": validation, "validationTol": tolerance}
         frame = frame.withColumn(validation, F.coalesce(validation, F.lit(False)))

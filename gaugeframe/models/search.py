@@ -1,17 +1,23 @@
-"""Hyper-parameter grids, grid search and successive halving."""
+"""Hyper-parameter grids, grid search, successive halving and Hyperband."""
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.models.frames import predict
-from gaugeframe.models.linear import fit_linear
+from gaugeframe.models.frames import fit_rows, predict
+from gaugeframe.models.linear import fitted
+from gaugeframe.models.moments import Moments, moments, squared_loss
 from gaugeframe.models.nonlinear import fit_nonlinear
 from gaugeframe.operators.metrics import loss_mse
+from gaugeframe.session import materialize
 from gaugeframe.sources.sinks import append_experiments
 
 # The searched settings.
@@ -65,10 +71,11 @@ def param_grid(spark: SparkSession) -> DataFrame:
     return parts.withColumn("config_id", config_key())
 
 
-def _fit(config: dict, frame: DataFrame, n_features: int, budget: int | None = None):
-    if config["model_type"] == "linear":
-        return fit_linear(frame, n_features, config.get("l1", 0.0), config.get("l2", 0.0), budget or 100)
-    return fit_nonlinear(frame, config.get("max_depth", 3), budget or config.get("max_iter", 10), config.get("step", 0.1))
+RUNS = "run_id INT, model_type STRING, config STRING, test_loss DOUBLE, reason STRING"
+
+
+def settings_text(config: dict) -> str:
+    return ",".join(f"{k}={v}" for k, v in sorted(config.items()) if k != "model_type")
 
 
 def _loss(model, frame: DataFrame) -> float:
@@ -76,36 +83,165 @@ def _loss(model, frame: DataFrame) -> float:
     return float(scored.agg(loss_mse(F.col("y"), F.col("prediction"))).first()[0])
 
 
+def linear_grid(spark: SparkSession, frame: DataFrame, part: Column, n_features: int, configs: Sequence[dict]) -> DataFrame:
+    """The run table of any number of linear settings, from one pass over ``frame``.
+
+    ``part`` is "train" for the rows to fit on and "test" for those that give the loss.
+    """
+    sums = moments(frame, n_features, part)
+    return spark.createDataFrame([(i, "linear", settings_text(c), *_linear_run(sums, c)) for i, c in enumerate(configs)], RUNS)
+
+
+def _linear_run(sums: dict[str, Moments], config: dict) -> tuple[float | None, str | None]:
+    """(loss, reason why there is none)."""
+    if "train" not in sums or "test" not in sums:
+        return None, "no rows to fit on or to test with"
+    try:
+        model = fitted(sums["train"], config.get("l1", 0.0), config.get("l2", 0.0))
+    except (ValueError, RuntimeError) as error:
+        return None, str(error)
+    loss = squared_loss(sums["test"], np.array(model.weights), model.intercept)
+    return loss, None if loss is not None else "no complete row to test with"
+
+
 def grid_search(
     spark: SparkSession, train: DataFrame, validation: DataFrame, n_features: int, configs: Sequence[dict], path: str | None = None
 ) -> DataFrame:
     """Fit every setting, log its loss on the time-ordered validation tail.
 
-    A run table with (run_id, model_type, config, test_loss); a failing setting gets a NULL
-    loss. With ``path`` each run is appended as soon as it is done. ``train`` and
-    ``validation`` are read once or more per setting and should be stored.
+    A run table with (run_id, model_type, config, test_loss, reason); a failing setting gets a NULL
+    loss and the reason. With ``path`` each run is appended as soon as it is done. All linear settings
+    together read both sides once (:func:`linear_grid` reads a frame that holds both only once);
+    a boosted setting reads them once per tree and level, so they should be stored.
     """
-    schema = "run_id INT, model_type STRING, config STRING, test_loss DOUBLE"
-    runs = []
+    runs, sums = [], None
     for run_id, config in enumerate(configs):
+        if config["model_type"] == "linear":
+            if sums is None:
+                side = train.withColumn("_part", F.lit("train")).unionByName(validation.withColumn("_part", F.lit("test")))
+                sums = moments(side, n_features, F.col("_part"))
+            loss, reason = _linear_run(sums, config)
+        else:
+            try:
+                model = fit_nonlinear(train, config.get("max_depth", 3), config.get("max_iter", 10), config.get("step", 0.1))
+                loss, reason = _loss(model, validation), None
+            except Exception as error:  # noqa: BLE001
+                loss, reason = None, str(error).splitlines()[0]
+        runs.append((run_id, config["model_type"], settings_text(config), loss, reason))
+        if path:
+            append_experiments(spark.createDataFrame(runs[-1:], RUNS), path)
+    return spark.createDataFrame(runs, RUNS)
+
+
+@dataclass(frozen=True)
+class Rung:
+    """``settings`` of ``bracket`` reach ``budget`` trees, and the best ``kept`` go on."""
+
+    bracket: int
+    rung: int
+    budget: int
+    settings: int
+    kept: int
+
+
+def hyperband_rungs(largest: int, factor: int = 3) -> list[Rung]:
+    """The brackets of Hyperband: from many settings with a small budget to few with ``largest`` from the start.
+
+    Bracket s begins with ceil((s_max + 1) / (s + 1) * factor^s) settings at largest / factor^s trees;
+    each rung keeps a ``factor``-th and multiplies the budget.
+    """
+    deepest = 0
+    while factor ** (deepest + 1) <= largest:
+        deepest += 1
+    rungs = []
+    for s in range(deepest, -1, -1):
+        n = -(-(deepest + 1) * factor**s // (s + 1))
+        for i in range(s + 1):
+            here = n // factor**i
+            rungs.append(Rung(deepest - s, i, max(largest * factor**i // factor**s, 1), here, here // factor if i < s else min(here, 1)))
+    return rungs
+
+
+def drawn_settings(space: dict[str, Sequence], n: int, seed: int = 0) -> list[dict]:
+    """``n`` boosted settings; a value is drawn from a list, or from (low, high, step) with its ends."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        config = {"model_type": "boosted"}
+        for name, values in space.items():
+            if isinstance(values, tuple):
+                low, high, step = values
+                config[name] = round(low + step * rng.randint(0, int((high - low) / step + 1e-9)), 10)
+            else:
+                config[name] = rng.choice(list(values))
+        out.append(config)
+    return out
+
+
+HALVING = (
+    "bracket INT, rung INT, budget INT, fitted INT, config STRING, train_loss DOUBLE, loss DOUBLE, kept BOOLEAN, reason STRING"
+)
+
+
+def _boosting_table(train: DataFrame, validation: DataFrame) -> DataFrame:
+    """The complete rows of both sides, stored once, with the part each belongs to."""
+    sides = [fit_rows(side).select("features", "y", F.lit(part).alias("part")) for part, side in (("train", train), ("test", validation))]
+    return materialize(sides[0].unionByName(sides[1]), "boosting")
+
+
+def _rest(i: int) -> str:
+    """The column of what the trees of setting ``i`` leave of the target."""
+    return f"_rest_{i}"
+
+
+def _grown(table: DataFrame, alive: dict[int, dict], trees: int) -> tuple[DataFrame, dict[int, str]]:
+    """The table after ``trees`` more trees for every setting, stored, and the reasons of settings that failed.
+
+    A tree is fitted on what its setting's earlier trees left, so nothing learned is fitted again.
+    """
+    grown, failed = table, {}
+    for i, config in alive.items():
+        step = float(config.get("step", 0.1))
+        learner = DecisionTreeRegressor(
+            featuresCol="features", labelCol=_rest(i), predictionCol="_tree", maxDepth=int(config.get("max_depth", 3)),
+            maxBins=int(config.get("max_bins", 32)), seed=0,
+        )
+        rows, found = table.where("part = 'train'").select("features", _rest(i)), []
         try:
-            loss = _loss(_fit(config, train, n_features), validation)
+            for _ in range(trees):
+                found.append(learner.fit(rows))
+                rows = _left(rows, found[-1], i, step)
         except Exception as error:  # noqa: BLE001
-            print(f"run {run_id} failed: {error}")
-            loss = None
-        settings = ",".join(f"{k}={v}" for k, v in sorted(config.items()) if k != "model_type")
-        runs.append((run_id, config["model_type"], settings, loss))
-        if path:
-            append_experiments(spark.createDataFrame(runs[-1:], schema), path)
-    return spark.createDataFrame(runs, schema)
+            failed[i] = str(error).splitlines()[0]
+        for tree in found:
+            grown = _left(grown, tree, i, step)
+    return materialize(grown, "rung"), failed
 
 
-def _tried(config: dict, train: DataFrame, validation: DataFrame, n_features: int, budget: int) -> float | None:
-    try:
-        return _loss(_fit(config, train, n_features, budget), validation)
-    except Exception as error:  # noqa: BLE001
-        print(f"{config} failed: {error}")
-        return None
+def _left(rows: DataFrame, tree: DecisionTreeRegressionModel, i: int, step: float) -> DataFrame:
+    return tree.transform(rows).withColumn(_rest(i), F.col(_rest(i)) - step * F.col("_tree")).drop("_tree")
+
+
+def _bracket(table: DataFrame, configs: Sequence[dict], rungs: Sequence[Rung]) -> list[tuple]:
+    """One row per setting and rung; the driver holds the trees of a rung and one row per fit."""
+    rest = F.col("y") - table.where("part = 'train'").agg(F.avg("y")).scalar()
+    alive, done, rows = dict(enumerate(configs)), 0, []
+    table = table.withColumns({_rest(i): rest for i in alive})
+    for rung in rungs:
+        table, failed = _grown(table, alive, rung.budget - done)
+        sums = table.groupBy("part").agg(*[F.avg(F.col(_rest(i)) * F.col(_rest(i))).alias(_rest(i)) for i in alive]).collect()
+        losses = {line["part"]: line for line in sums}
+        loss = {i: None if i in failed or "test" not in losses else losses["test"][_rest(i)] for i in alive}
+        order = sorted(alive, key=lambda i: (loss[i] is None, loss[i] or 0.0, i))
+        for place, i in enumerate(order):
+            train_loss = losses["train"][_rest(i)] if "train" in losses and i not in failed else None
+            settings = ",".join(f"{k}={v}" for k, v in sorted(alive[i].items()))
+            rows.append((rung.bracket, rung.rung, rung.budget, rung.budget - done, settings, train_loss, loss[i], place < rung.kept, failed.get(i)))
+        done = rung.budget
+        alive = {i: alive[i] for i in order[: rung.kept] if i not in failed}
+        if not alive:
+            break
+        table = table.select("features", "y", "part", *[_rest(i) for i in alive])
+    return rows
 
 
 def successive_halving(
@@ -117,25 +253,35 @@ def successive_halving(
     budget: int = 2,
     factor: int = 3,
 ) -> DataFrame:
-    """Fit all settings with a small budget, keep the best third, raise the budget, repeat.
+    """Give all settings a small budget, keep the best third, raise the budget, repeat.
 
-    (rung, budget, config, loss, kept); the driver holds one row per fit. The budget is the
-    number of trees; a setting that fails is placed last with a NULL loss. ``train`` and
-    ``validation`` are read once per fit and should be stored.
+    (bracket, rung, budget, fitted, config, train_loss, loss, kept, reason). The budget is the number of boosted
+    trees; a setting that goes on keeps its trees and fits ``fitted`` more on what they leave. A
+    setting that fails is placed last with a NULL loss and the reason.
     """
     if any(c["model_type"] == "linear" for c in configs):
         raise ValueError("linear fits are solved in one pass whatever the budget; use grid_search")
-    rows, alive, rung = [], list(configs), 0
-    while alive:
-        losses = [_tried(c, train, validation, n_features, budget) for c in alive]
-        order = sorted(range(len(alive)), key=lambda i: (losses[i] is None, losses[i] or 0.0, i))
-        keep = 0 if len(alive) == 1 else -(-len(alive) // factor)
-        for place, i in enumerate(order):
-            settings = ",".join(f"{k}={v}" for k, v in sorted(alive[i].items()))
-            rows.append((rung, budget, settings, losses[i], place < max(keep, 1)))
-        alive = [alive[i] for i in order[:keep]]
-        rung, budget = rung + 1, budget * factor
-    return spark.createDataFrame(rows, "rung INT, budget INT, config STRING, loss DOUBLE, kept BOOLEAN")
+    rungs, n = [], len(configs)
+    while n:
+        keep = 0 if n == 1 else -(-n // factor)
+        rungs.append(Rung(0, len(rungs), budget * factor ** len(rungs), n, max(keep, 1)))
+        n = keep
+    rows = _bracket(_boosting_table(train, validation), configs, rungs) if rungs else []
+    return spark.createDataFrame(rows, HALVING)
+
+
+def hyperband(
+    spark: SparkSession, train: DataFrame, validation: DataFrame, space: dict[str, Sequence], largest: int = 27, factor: int = 3, seed: int = 0
+) -> DataFrame:
+    """Every bracket of :func:`hyperband_rungs` with settings of its own, drawn from ``space``; columns as above.
+
+    ``space`` names lists of values or (low, high, step) ranges of ``max_depth``, ``step`` and ``max_bins``.
+    """
+    table, rungs, rows = _boosting_table(train, validation), hyperband_rungs(largest, factor), []
+    for bracket in sorted({rung.bracket for rung in rungs}):
+        own = [rung for rung in rungs if rung.bracket == bracket]
+        rows += _bracket(table, drawn_settings(space, own[0].settings, seed + bracket), own)
+    return spark.createDataFrame(rows, HALVING)
 
 
 def linear_configs(l1: Sequence[float], l2: Sequence[float]) -> list[dict]:

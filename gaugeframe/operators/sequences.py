@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.plans.ordered import BLOCK_ROWS, block_window, dense_index, owned, with_blocks
+from gaugeframe.plans.ordered import BLOCK_ROWS, block_window, latest_before, owned, with_blocks
 from gaugeframe.schemas import TARGET
 
 
@@ -118,29 +118,26 @@ def asof_history(
     features: Sequence[str],
     key: str,
     ts: str = "ts",
-    block_rows: int = BLOCK_ROWS,
     partitions: int | None = None,
+    keep_short: bool = False,
 ) -> DataFrame:
-    """Sequence of every new record: the ``seq_length`` - 1 last rows before it, then itself.
+    """Sequence of every new record: the ``seq_length`` - 1 last history rows before it, then itself.
 
-    ``key`` identifies a record on either side. A record's place in the history is its index
-    among all rows minus its index among the new ones; no range join and no per-series task.
+    ``key`` identifies a record on either side; a history row of the same time is not before. One
+    stored order of both sides together and a prefix scan over it (``plans.ordered.latest_before``); a sequence is
+    made for new records only. Records with too little history give none, or with
+    ``keep_short`` a NULL one.
     """
-    own = F.array(F.array(*[F.col(f).cast("double") for f in features]))
+    own = F.array(*[F.col(f).cast("double") for f in features])
     if seq_length == 1:
-        return new.withColumn("X", own)
-    merged = history.select(ts, F.lit(1).alias("_side"), key).unionByName(new.select(ts, F.lit(0).alias("_side"), key))
-    overall = dense_index(merged, [ts, "_side", key], "_u", partitions).where(F.col("_side") == 0)
-    among_new = dense_index(new, [ts, key], "_v", partitions)
-    placed = among_new.join(overall.select(key, "_u"), key).withColumn("_at", F.col("_u") - F.col("_v") - 1)
-    past = make_trailing_sequences(
-        dense_index(history.select(*dict.fromkeys([ts, key, *features])), [ts, key], "idx", partitions),
-        seq_length - 1,
-        features,
-        block_rows=block_rows,
-    )
-    past = past.select(F.col("idx").alias("_row"), F.col("X").alias("_past"))
-    return placed.join(past, F.col("_at") == F.col("_row")).select(*new.columns, F.concat("_past", own).alias("X"))
+        return new.withColumn("X", F.array(own))
+    sides = history.select(ts, key, own.alias("_own"), F.lit(1).alias("_side"), F.lit(None).cast(new.select(F.struct("*")).schema[0].dataType).alias("_new"))
+    sides = sides.unionByName(new.select(ts, key, own.alias("_own"), F.lit(0).alias("_side"), F.struct("*").alias("_new")))
+    placed = latest_before(sides, [ts, "_side", key], F.when(F.col("_side") == 1, F.col("_own")), seq_length - 1, "_past", partitions)
+    found = placed.where(F.col("_side") == 0)
+    if not keep_short:
+        found = found.where(F.col("_past").isNotNull())
+    return found.select(*[F.col("_new").getField(c).alias(c) for c in new.columns], F.concat("_past", F.array("_own")).alias("X"))
 
 
 def last_in_series(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], rows: int) -> DataFrame:

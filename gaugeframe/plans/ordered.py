@@ -29,6 +29,48 @@ _SLOT = "_slot"
 _PART = "_part_id"
 
 
+def range_ordered(df: DataFrame, order_by: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``df`` in range partitions of the order, stored, with the place of each row in ``_slot``: its
+    partition above the lowest 33 bits, its position inside in them.
+    """
+    cols = [F.col(c) for c in order_by]
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    return materialize(ranged.sortWithinPartitions(*cols).withColumn(_SLOT, F.monotonically_increasing_id()), "order")
+
+
+def latest_before(
+    df: DataFrame, order_by: Sequence[str], value: Column, rows: int, out: str, partitions: int | None = None
+) -> DataFrame:
+    """Add ``out``: the last ``rows`` non-null values of ``value`` before each row in the order, oldest first.
+
+    NULL where there are fewer. A prefix scan over one stored range order: every partition hands its
+    last values to the partitions after it, and rows read them there. Values are looked up by
+    position inside a partition, so any number of rows may share the same last values, and no value is
+    moved that does not end a partition.
+    """
+    if rows < 1:
+        raise ValueError("at least one value")
+    stored = range_ordered(df.withColumn("_value", value), order_by, partitions)
+    stored = stored.withColumn(_PART, F.shiftright(_SLOT, 33))
+
+    def looked_back(window: str) -> Column:
+        """The last values before a row, the nearest first; NULL at those that do not exist."""
+        return F.array(*[F.expr(f"lag(_value, {k}) IGNORE NULLS OVER ({window})") for k in range(1, rows + 1)])
+
+    # The values that end a partition, and a mark per partition that reads those before it.
+    newest = Window.partitionBy(_PART).orderBy(F.desc(_SLOT))
+    ends = stored.where("_value is not null").select(_PART, _SLOT, "_value", F.row_number().over(newest).alias("_nth")).where(F.col("_nth") <= rows)
+    marks = stored.groupBy(_PART).agg(F.lit(-1).cast("long").alias(_SLOT)).withColumn("_value", F.lit(None).cast(stored.schema["_value"].dataType))
+    handed = ends.drop("_nth").unionByName(marks).withColumn("_before", looked_back(f"ORDER BY {_PART}, {_SLOT}")).where(f"{_SLOT} = -1")
+    handed = handed.select(_PART, F.posexplode("_before").alias("_k", "_value")).where("_value is not null")
+    names = [c for c in stored.columns if c not in (_PART, _SLOT, "_value")]
+    carried = handed.select(_PART, (-1 - F.col("_k")).cast("long").alias(_SLOT), "_value", F.lit(None).cast(stored.select(F.struct(*names)).schema[0].dataType).alias("_row"))
+    own = stored.select(_PART, _SLOT, "_value", F.struct(*names).alias("_row"))
+    found = own.unionByName(carried).withColumn("_found", looked_back(f"PARTITION BY {_PART} ORDER BY {_SLOT}")).where(f"{_SLOT} >= 0")
+    known = F.when(F.get("_found", F.lit(rows - 1)).isNotNull(), F.reverse("_found"))
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in names], known.alias(out))
+
+
 def dense_index(
     df: DataFrame, order_by: Sequence[str], idx: str = "idx", partitions: int | None = None
 ) -> DataFrame:
@@ -38,11 +80,7 @@ def dense_index(
     partition sizes and the rows must come from the same partitioning. The sizes are one
     row per partition, which bounds the broadcast.
     """
-    cols = [F.col(c) for c in order_by]
-    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
-    stored = materialize(
-        ranged.sortWithinPartitions(*cols).withColumn(_SLOT, F.monotonically_increasing_id()), "order"
-    )
+    stored = range_ordered(df, order_by, partitions)
     part = F.shiftright(_SLOT, 33)
     sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -165,20 +165,15 @@ _MEAN_POOL_SQL = f"""WITH {ORDERED_SQL}, x AS (SELECT event_id, idx,
 def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases as the new records, everything else as the history."""
     rows = _series(spark, sf_dir)
-    made = sequences.asof_history(
-        rows.where("event_type = 'purchase'"), rows.where("event_type <> 'purchase'"), 4, ["throughput", "jitter"], "event_id"
-    )
-    return made.select(
-        "event_id", *[F.col("X")[i][0].alias(f"throughput_{i}") for i in range(4)], F.col("X")[3][1].alias("own_jitter")
-    )
+    made = sequences.asof_history(rows.where("event_type = 'purchase'"), rows.where("event_type <> 'purchase'"), 4, M, "event_id")
+    return made.select("event_id", *[F.col("X")[i][j].alias(f"{m}_{i}") for i in range(4) for j, m in enumerate(M)])
 
 
 _ASOF_SQL = f"""WITH {t.SAMPLES_SQL},
     u AS (SELECT *, event_type <> 'purchase' AS is_history FROM samples),
     placed AS (SELECT *, sum(CASE WHEN is_history THEN 1 ELSE 0 END) OVER (ORDER BY ts, is_history, event_id) AS seen FROM u),
-    hist AS (SELECT seen AS h, throughput FROM placed WHERE is_history)
-    SELECT p.event_id, a.throughput AS throughput_0, b.throughput AS throughput_1, c.throughput AS throughput_2,
-      p.throughput AS throughput_3, p.jitter AS own_jitter
+    hist AS (SELECT seen AS h, * FROM placed WHERE is_history)
+    SELECT p.event_id, {', '.join(f"{side}.{m} AS {m}_{i}" for i, side in enumerate('abcp') for m in M)}
     FROM placed p JOIN hist a ON a.h = p.seen - 2 JOIN hist b ON b.h = p.seen - 1 JOIN hist c ON c.h = p.seen
     WHERE NOT p.is_history"""
 

@@ -46,12 +46,13 @@ def r(col: Column | str, digits: int = 6) -> Column:
 # --- sub-samples and windows ------------------------------------------------------------
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select(
+def measured(events: DataFrame) -> DataFrame:
+    """Sub-samples of a table or stream of events, without the target."""
+    ev = events.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
-    measured = ev.select(
+    return ev.select(
         "event_id",
         F.expr("event_id div 9 * 2 + int(event_id % 9 >= 5)").alias("window_id"),
         "ts",
@@ -66,7 +67,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") * 7 % 60).cast("double").alias("speed"),
         peak_hour(F.hour("ts")).alias("is_peak"),
     )
-    return measured.withColumn(
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(table(spark, sf_dir, "events")).withColumn(
         "qoe",
         qoe_formula(*[F.col(c) for c in ("packet_loss_rate", "jitter", "throughput", "speed", "is_peak")]),
     )

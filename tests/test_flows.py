@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.models.frames import to_frame
-from gaugeframe.models.linear import fit_linear
+from gaugeframe.models.linear import LinearModel, fit_linear
 from gaugeframe.models.search import grid_search, variant_configs
 from gaugeframe.operators import generate
+from gaugeframe.operators.scaling import fit_scaler
 from gaugeframe.operators.sequences import asof_history, make_sequences
 from gaugeframe.plans import flows
 from gaugeframe.schemas import TARGET, feature_names
@@ -64,10 +65,46 @@ def test_validation_scores_the_row_a_sequence_ends_with(spark):
     frame = to_frame(paired.withColumn("X", F.transform("X", lambda s: F.transform(s, lambda v: v + F.col("idx") % 2 * 0.0))))
     model = fit_linear(frame, 2)
     predictions, metrics = flows.validate_models(rows, {"linear_last": model}, scaler, ["f0"], ["t"], 2)
-    assert predictions.count() == 59
+    by_reason = {r.reason: r["count"] for r in predictions.groupBy("reason").count().collect()}
+    assert by_reason == {None: 59, "not enough history": 1}
     assert metrics.first().max_error == pytest.approx(0.0, abs=1e-6)
 
 
+def test_every_file_of_a_validation_has_a_row(spark):
+    """Files outside the metadata, without a row, with too little history or without truth have a reason."""
+    stamp = lambda i: f"202501300659{i:02d}.json"
+    rows = [(stamp(i), i, float(i), None if i == 7 else 2.0 * i) for i in range(12)]
+    windows = spark.createDataFrame(rows, "file string, n int, f0 double, QoE double")
+    windows = windows.withColumn("ts", F.to_timestamp(F.substring("file", 1, 14), "yyyyMMddHHmmss"))
+    scaler = fit_scaler(windows, ["f0"])
+    # Scaled inputs and targets are the same: the newest step is the target.
+    models = {"last": LinearModel((0.0, 0.0, 1.0), 0.0)}
+    files = spark.createDataFrame([(stamp(i),) for i in (1, 4, 7, 11)] + [("20250130080000.json",), ("other.json",)], "file string")
+    metadata = files.where("file <> 'other.json'")
+    run = lambda f, m, **more: flows.validate_files(f, m, windows, models, scaler, ["f0"], ["ts"], 3, **more)
+    predictions, metrics, skipped = run(files, metadata)
+    got = {r.file: (r.reason, r.prediction) for r in predictions.collect()}
+    assert got == {
+        stamp(1): ("not enough history", None), stamp(4): (None, pytest.approx(8.0)), stamp(7): ("no ground truth", pytest.approx(14.0)),
+        stamp(11): (None, pytest.approx(22.0)), "20250130080000.json": ("no matching timestamp", None), "other.json": ("not in metadata", None),
+    }
+    assert metrics.first().max_error == pytest.approx(0.0, abs=1e-9)
+    assert {r.reason: r.n_files for r in skipped.collect()} == {"not enough history": 1, "no matching timestamp": 1, "not in metadata": 1}
+    unmatched = files.where("file in ('20250130080000.json', 'other.json')")
+    predictions, _, skipped = run(unmatched, metadata, fallback=True)
+    assert {r.file: r.prediction for r in predictions.collect()} == {"20250130080000.json": pytest.approx(22.0), "other.json": None}
+    assert {r.reason for r in skipped.collect()} == {"not in metadata"}
+
+
+def test_records_with_too_little_history_have_a_reason(spark):
+    history = spark.createDataFrame([(i, i, float(i), 2.0 * i) for i in range(5)], "id int, t int, f0 double, QoE double")
+    new = spark.createDataFrame([(10, 1, 9.0), (11, 3, 2.0), (12, 99, None), (13, 99, 4.0)], "id int, t int, f0 double")
+    models = {"last": LinearModel((0.0, 0.0, 1.0), 0.0)}
+    scored = flows.predict_records(new, history, models, fit_scaler(history, ["f0"]), ["f0"], 3, "id", "t")
+    got = {r.id: (r.prediction, r.reason) for r in scored.collect()}
+    assert got == {10: (None, "not enough history"), 11: (pytest.approx(4.0), None), 12: (None, "missing value"), 13: (pytest.approx(8.0), None)}
+
+
 def test_prepared_validation_set(spark, windows, tmp_path):
     docs = windows.select(
         "file", sinks.window_json(F.when(F.col("window_id") % 4 > 0, F.col(TARGET)), F.col("ts"), F.col("samples")).alias("value")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gaugeframe.models import score, search
 from gaugeframe.models.frames import left_out, to_frame
 from gaugeframe.models.linear import fit_linear, linear_importance
+from gaugeframe.models.moments import Moments, moments, solve, squared_loss
 from gaugeframe.models.nonlinear import fit_nonlinear
 from gaugeframe.operators import features, generate, scaling, sequences
 from gaugeframe.schemas import feature_names
@@ -97,6 +98,59 @@ def test_linear_objective(spark, regression, l1, l2):
     assert model.intercept == pytest.approx(b, abs=1e-5)
 
 
+def test_moments_are_merged_in_one_pass(spark, regression):
+    x, y, rows = regression
+    far = rows.withColumn("X", F.transform("X", lambda s: F.transform(s, lambda v: v + 1e7))).withColumn("y", F.col("y") - 1e6)
+    spoiled = spark.createDataFrame([(900, [[1.0, None], [1.0, 1.0]], 1.0), (901, [[1.0, 2.0], [1.0, 1.0]], None), (902, [[1.0, float("nan")], [1.0, 1.0]], 1.0)], rows.schema)
+    frame = to_frame(far.unionByName(spoiled)).repartition(7)
+    parts = moments(frame, 4, F.when(F.col("seq") % 10 < 8, "train").otherwise("test"))
+    table = np.column_stack([x + 1e7, y - 1e6])
+    kept = np.arange(400) % 10 < 8
+    for part, own in (("train", kept), ("test", ~kept)):
+        assert (parts[part].rows, parts[part].left_out) == (own.sum(), {"train": 3, "test": 0}[part])
+        assert parts[part].mean == pytest.approx(table[own].mean(axis=0))
+        assert parts[part].covariance == pytest.approx(np.cov(table[own].T, bias=True), abs=1e-6)
+    w, b = solve(parts["train"], 0.1, 0.05)
+    error = table[~kept][:, :4] @ w + b - table[~kept][:, 4]
+    assert squared_loss(parts["test"], w, b) == pytest.approx((error**2).mean(), rel=1e-6)
+    with pytest.raises(Exception, match="does not have 3 inputs"):
+        moments(frame, 3)
+    assert moments(frame.limit(0), 4) == {}
+
+
+@pytest.mark.parametrize(("l1", "l2"), [(0.0, 0.0), (0.0, 0.2), (0.3, 0.0), (0.05, 0.05)])
+def test_solutions_are_optimal(l1, l2):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 12)) * 10.0 ** rng.integers(-2, 3, 12)
+    x[:, 5], x[:, 7] = 4.0, x[:, 6]
+    y = x @ rng.normal(size=12) + rng.normal(size=300)
+    table = np.column_stack([x, y])
+    w, _ = solve(Moments(300, 0, table.mean(axis=0), np.cov(table.T, bias=True)), l1, l2)
+    assert w[5] == 0.0
+    e = y - y.mean() - (x - x.mean(axis=0)) @ w
+    slope = -2 * (x - x.mean(axis=0)).T @ e / 300 + 2 * l2 * w
+    scale = x.std(axis=0) * y.std() + 1e-12
+    assert np.all(np.abs(np.where(w != 0, slope + l1 * np.sign(w), np.maximum(np.abs(slope) - l1, 0))) <= 1e-7 * scale + 1e-9)
+
+
+def test_linear_grid_reads_its_rows_once(spark, regression):
+    frame = to_frame(regression[2]).withColumn("part", F.when(F.col("seq") < 300, "train").otherwise("test"))
+    configs = [*search.variant_configs(), *search.linear_configs([0.0, 0.5], [0.0, 1.0])]
+    both = search.grid_search(spark, frame.where("part = 'train'").drop("part"), frame.where("part = 'test'").drop("part"), 4, configs)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    once = search.linear_grid(spark, frame.withColumn("y", counted("y")), F.col("part"), 4, configs)
+    assert read.value == 400
+    assert [r.test_loss for r in once.orderBy("run_id").collect()] == pytest.approx([r.test_loss for r in both.orderBy("run_id").collect()])
+    lost = search.linear_grid(spark, frame.where("part = 'train'"), F.col("part"), 4, configs[:1]).first()
+    assert lost.test_loss is None and "no rows" in lost.reason
+
+
 def test_linear_importance(spark, regression):
     model = fit_linear(to_frame(regression[2]), 4)
     table = linear_importance(spark, model, ["a", "b"], 2).collect()
@@ -193,6 +247,25 @@ def test_halving_keeps_the_best_third(spark, regression):
     assert rows[-1].config == "max_depth=3,model_type=boosted,step=0.5" and [r.budget for r in rows] == [2] * 4 + [6] * 2 + [18]
 
 
+def test_halving_goes_on_with_the_trees_it_has(spark, regression):
+    frame = to_frame(regression[2])
+    train, test = frame.where("seq < 300"), frame.where("seq >= 300")
+    configs = [{"model_type": "boosted", "max_depth": 2, "step": 0.3}, {"model_type": "boosted", "max_depth": 99}]
+    rows = search.successive_halving(spark, train, test, 4, configs, budget=1, factor=2).collect()
+    assert [(r.rung, r.budget, r.fitted, r.kept, r.reason is None) for r in rows] == [(0, 1, 1, True, True), (0, 1, 1, False, False), (1, 2, 1, True, True)]
+    # Two rungs of one tree are the two trees of one fit.
+    once = search.successive_halving(spark, train, test, 4, configs[:1], budget=2).first()
+    assert rows[-1].loss == pytest.approx(once.loss) and rows[-1].train_loss < rows[0].train_loss
+
+
+def test_hyperband_brackets():
+    assert [(r.bracket, r.rung, r.budget, r.settings, r.kept) for r in search.hyperband_rungs(9, 3)] == [
+        (0, 0, 1, 9, 3), (0, 1, 3, 3, 1), (0, 2, 9, 1, 1), (1, 0, 3, 5, 1), (1, 1, 9, 1, 1), (2, 0, 9, 3, 1),
+    ]
+    drawn = search.drawn_settings({"max_depth": (1, 3, 1), "step": (0.1, 0.5, 0.2), "max_bins": [8]}, 60, seed=4)
+    assert {c["max_depth"] for c in drawn} == {1, 2, 3} and {c["step"] for c in drawn} == {0.1, 0.3, 0.5} and {c["max_bins"] for c in drawn} == {8}
+
+
 def test_stream_windows_wait_for_the_watermark(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "run")
     schema = "ts timestamp, jitter double"

@@ -93,7 +93,7 @@ def test_asof_history(spark):
     rows = sorted(series(200), key=lambda r: (r[1], r[2]))
     frame = spark.createDataFrame([(r[1], r[2]) for r in rows], "t int, id int")
     new, old = frame.where("id % 4 = 0"), frame.where("id % 4 <> 0")
-    made = sequences.asof_history(new, old, 4, ["id"], "id", "t", block_rows=8, partitions=3)
+    made = sequences.asof_history(new, old, 4, ["id"], "id", "t", partitions=3)
     got = {r.id: [int(s[0]) for s in r.X] for r in made.collect()}
     want = {}
     for t, i in ((r[1], r[2]) for r in rows if r[2] % 4 == 0):
@@ -103,6 +103,22 @@ def test_asof_history(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 60])
+def test_asof_history_over_sparse_partitions(spark, partitions):
+    """Partitions without history hand on what they were handed; many new rows may share one history."""
+    old = [(t, 1000 + t, None if t == 4 else float(t)) for t in (1, 2, 4, 5, 90, 91)]
+    new = [(t, t, -float(t)) for t in range(0, 100)] + [(95, 200 + k, 0.5) for k in range(50)]
+    frame = lambda rows: spark.createDataFrame(rows, "t int, id int, x double")
+    made = sequences.asof_history(frame(new), frame(old), 4, ["x"], "id", "t", partitions, keep_short=True).collect()
+    want = {}
+    for t, i, x in new:
+        past = [[v] for at, _, v in old if at < t][-3:]
+        want[i] = [*past, [x]] if len(past) == 3 else None
+    assert {r.id: r.X for r in made} == want and len(made) == len(new)
+    assert sequences.asof_history(frame(new), frame([]), 4, ["x"], "id", "t", partitions).count() == 0
+    assert sequences.asof_history(frame([]), frame(old), 4, ["x"], "id", "t", partitions).count() == 0
+
+
 def test_fallback_needs_enough_rows(spark):
     files = spark.createDataFrame([("a.json",), ("b.json",)], "file string")
     rows = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "t int, x double")
