@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions.numeric import log_cosh, r2_score, squared_error
 from gaugeframe.operators.scaling import inverse_scale
-from gaugeframe.plans.joins import match
 from gaugeframe.plans.quantiles import exact_quantiles
 
 TRUTH = "ground_truth"
@@ -71,17 +70,14 @@ def regression_metrics(
     """
     groups = list(groups)
     y, p = F.col(truth).cast("double"), F.col(prediction).cast("double")
-    extra = [F.percentile_approx(F.abs(p - y), 0.5).alias("medae")] if approximate_median else []
+    if median and not approximate_median:
+        size = predictions.withColumn("_abs_error", F.abs(p - y))
+        table = exact_quantiles(size, "_abs_error", {"medae": 0.5}, groups, extra=_sums(y, p))
+        return table.withColumns(_derived()).select(*groups, *METRIC_NAMES)
+    extra = [F.percentile_approx(F.abs(p - y), 0.5).alias("medae")] if median else []
     table = predictions.groupBy(*groups).agg(*_sums(y, p), *extra).withColumns(_derived())
     if not median:
         return table.select(*groups, *[name for name in METRIC_NAMES if name != "medae"])
-    if not approximate_median:
-        size = predictions.select(*groups, F.abs(p - y).alias("_abs_error"))
-        medians = exact_quantiles(size, "_abs_error", {"medae": 0.5}, groups)
-        if groups:
-            table = match(table, medians, groups, ["medae"], "left")
-        else:
-            table = table.withColumn("medae", medians.scalar())
     return table.select(*groups, *METRIC_NAMES)
 
 

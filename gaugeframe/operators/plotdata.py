@@ -46,13 +46,19 @@ def error_histogram(errors: DataFrame, bins: int = 30, groups: Sequence[str] = (
     )
 
 
+#: Terms of the expansion, the width of its cells and how far a cell is felt, both in units of sqrt(2) bandwidths.
+TERMS, CELL, FELT = 16, 0.5, 6.5
+
+
 def error_density(
     errors: DataFrame, points: int = 200, cut: float = 0.0, groups: Sequence[str] = ("model",), error: str = "error"
 ) -> DataFrame:
     """Gaussian kernel density of the errors on an even grid, Scott bandwidth.
 
-    ``cut`` extends the grid by that many bandwidths. One aggregation holds a sum for every
-    grid point, so errors are not multiplied and the sums are combined before the shuffle.
+    ``cut`` extends the grid by that many bandwidths. A fast Gauss transform: an error adds its first
+    ``TERMS`` powers to the cell it lies in, whatever the number of points, and points read the cells they feel. Per error,
+    the sum of kernels is off by less than 1e-13 from the cut of the expansion
+    (1.09 * (CELL / 2 * sqrt 2)^16 / sqrt(16!)) and 1e-18 from cells that are not felt.
     """
     groups = list(groups)
     shape = errors.groupBy(*groups).agg(
@@ -63,22 +69,40 @@ def error_density(
         *groups,
         "_n",
         "_h",
+        "_lo",
         (F.col("_lo") - F.col("_h") * cut).alias("_from"),
         ((F.col("_hi") - F.col("_lo") + F.col("_h") * (2.0 * cut)) / float(points - 1)).alias("_step"),
     )
     shape = materialize(shape, "density")
-    placed = match(errors.where(F.col(error).isNotNull()).select(*groups, error), shape, groups, ["_h", "_from", "_step"])
-    terms = []
-    for point in range(points):
-        u = (F.col("_from") + point * F.col("_step") - F.col(error)) / F.col("_h")
-        terms.append(F.sum(F.exp(u * u * -0.5)).alias(f"_p{point}"))
-    sums = placed.groupBy(*groups).agg(*terms)
-    sums = sums.select(*groups, F.posexplode(F.array(*[f"_p{point}" for point in range(points)])).alias("point", "_sum"))
-    return match(sums, shape, groups, ["_n", "_h", "_from", "_step"]).select(
+    unit = F.col("_h") * math.sqrt(2.0)
+    placed = match(errors.where(F.col(error).isNotNull()).select(*groups, error), shape, groups, ["_h", "_lo"])
+    placed = placed.withColumn("_at", (F.col(error) - F.col("_lo")) / unit).withColumn("_cell", F.floor(F.col("_at") / CELL))
+    placed = placed.withColumn("_z", F.col("_at") - (F.col("_cell") + 0.5) * CELL)
+    power, powers = F.lit(1.0), []
+    for k in range(TERMS):
+        powers.append((F.sum(power) / float(math.factorial(k))).alias(f"_m{k}"))
+        power = power * F.col("_z")
+    cells = placed.groupBy(*groups, "_cell").agg(*powers)
+    # The points a cell is felt at, by arithmetic; a cell may lie off every point.
+    cells = match(cells, shape, groups, ["_h", "_lo", "_from", "_step"])
+    centre = F.col("_lo") + (F.col("_cell") + 0.5) * CELL * unit
+    first = F.greatest(F.ceil((centre - unit * FELT - F.col("_from")) / F.col("_step")), F.lit(0))
+    last = F.least(F.floor((centre + unit * FELT - F.col("_from")) / F.col("_step")), F.lit(points - 1))
+    felt = cells.withColumn("point", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    felt = felt.withColumn("_t", (F.col("_from") + F.col("point") * F.col("_step") - centre) / unit)
+    # Hermite functions by their recurrence; each term is a column, read by the next two.
+    felt = felt.withColumns({"_f0": F.exp(-F.col("_t") * F.col("_t")), "_f1": 2 * F.col("_t") * F.exp(-F.col("_t") * F.col("_t"))})
+    value = F.col("_m0") * F.col("_f0") + F.col("_m1") * F.col("_f1")
+    for k in range(2, TERMS):
+        felt = felt.withColumn(f"_f{k}", 2 * F.col("_t") * F.col(f"_f{k - 1}") - 2.0 * (k - 1) * F.col(f"_f{k - 2}"))
+        value = value + F.col(f"_m{k}") * F.col(f"_f{k}")
+    sums = felt.groupBy(*groups, "point").agg(F.sum(value).alias("_sum"))
+    grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    return match(grid, sums, [*groups, "point"], ["_sum"], "left").select(
         *groups,
-        "point",
+        F.col("point").cast("int").alias("point"),
         (F.col("_from") + F.col("point") * F.col("_step")).alias("x"),
-        (F.coalesce("_sum", F.lit(0.0)) / (F.col("_n") * F.col("_h") * math.sqrt(2.0 * math.pi))).alias("density"),
+        (F.greatest(F.coalesce("_sum", F.lit(0.0)), F.lit(0.0)) / (F.col("_n") * F.col("_h") * math.sqrt(2.0 * math.pi))).alias("density"),
     )
 
 

@@ -29,16 +29,11 @@ def dataset_profile(values: DataFrame, approximate: bool = False) -> DataFrame:
     Few metrics hold all the rows, so the exact quantiles never gather a metric in one task.
     """
     quartiles = {"p25": 0.25, "median": 0.5, "p75": 0.75}
-    extra = [F.percentile_approx("value", p).alias(n) for n, p in quartiles.items()] if approximate else []
-    table = values.groupBy("metric").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        *extra,
-    )
-    if not approximate:
-        table = table.join(exact_quantiles(values, "value", quartiles, ["metric"]), "metric")
+    sums = [F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")]
+    if approximate:
+        table = values.groupBy("metric").agg(*sums, *[F.percentile_approx("value", p).alias(n) for n, p in quartiles.items()])
+    else:
+        table = exact_quantiles(values, "value", quartiles, ["metric"], extra=sums)
     return table.select(
         "metric", "min", "max", "mean", "median", "std", "p25", "p75",
         coefficient_of_variation(F.col("std"), F.col("mean")).alias("cv"),

@@ -1,13 +1,12 @@
 """Exact order statistics that never gather a group in one task.
 
-A sketch proposes cut points around each wanted rank. The intervals between the cuts are
-counted exactly, so the interval that holds a rank is certain; only its distinct values are
-then ordered. The sketch decides how few values that is, never which value is returned.
-
-The input is read three times: for the sketch, for the counts, and for the values of the few
-intervals. The first two results have a handful of rows per group and are stored, so that the
-joins back to the input are planned with their size. The values of the chosen intervals are
-ordered across tasks, however many or few they are.
+A sketch with a bound on the rank of what it returns gives two values around each wanted rank. Between them
+the distinct values are kept, everything else is only counted, both in one pass; the wanted
+value is found by its rank among the counts. The sketch decides how few values are kept, never
+which one is returned, and it is an error if the wanted rank is not among them.
+
+The input is read twice, for the sketch and for the counts. Sums of the first pass come along
+with it. The kept values are ordered across tasks, however many or few they are.
 """
 
 from __future__ import annotations
@@ -37,63 +36,54 @@ def select_ranks(
     of values of the group). Returns (groups, name, value, below, n); a rank outside 0.._n-1
     has no row.
     """
-    groups = list(groups)
     base = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
+    return _ranked(base, _sketched(base, [p for p, _ in ranks.values()], groups, accuracy), ranks, groups, accuracy)
+
+
+def _points(fractions: Sequence[float], accuracy: int) -> list[tuple[float, float]]:
+    """Two fractions around each wanted one, twice as far off as the sketch may err."""
     slack = 2.0 / accuracy
-    points = sorted(
-        {min(1.0, max(0.0, p + d)) for p, _ in ranks.values() for d in (-slack, slack)}
-    )
-    sketch = base.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", points, accuracy).alias("_cuts"),
-    )
-    sketch = materialize(sketch, "sketch")
+    clipped = sorted({min(max(p, 0.0), 1.0) for p in fractions})
+    return [(max(0.0, p - slack), min(1.0, p + slack)) for p in clipped]
+
+
+def _sketched(base: DataFrame, fractions: Sequence[float], groups: Sequence[str], accuracy: int, extra: Sequence[Column] = ()) -> DataFrame:
+    """One stored row per group: the count, the values around each fraction, and ``extra`` sums of the same pass."""
+    points = [p for pair in _points(fractions, accuracy) for p in pair]
+    cuts = F.percentile_approx("_v", points, accuracy).alias("_cuts")
+    return materialize(base.groupBy(*groups).agg(F.count("_v").alias("_size"), cuts, *extra), "sketch")
+
+
+def _ranked(base: DataFrame, sketch: DataFrame, ranks: dict[str, tuple[float, Column]], groups: Sequence[str], accuracy: int) -> DataFrame:
+    groups = list(groups)
+    pairs = len(_points([p for p, _ in ranks.values()], accuracy))
     if groups:
         placed = match(base, sketch, groups, ["_cuts"])
     else:
         placed = base.withColumn("_cuts", sketch.select("_cuts").scalar())
-    interval = F.lit(0)
-    for i in range(len(points)):
-        interval = interval + (F.col("_v") > F.col("_cuts")[i]).cast("int")
-    placed = placed.select(*groups, "_v", interval.alias("_iv"))
-
-    # One row per group and interval; at most len(points) + 1 of them per group.
-    counted = materialize(placed.groupBy(*groups, "_iv").agg(F.count(F.lit(1)).alias("_rows")), "intervals")
-    in_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    in_order = in_group.orderBy("_iv")
-    counted = counted.withColumn("_end", F.sum("_rows").over(in_order)).withColumn(
-        "_n", F.sum("_rows").over(in_group)
-    )
+    interval, near = F.lit(0), F.lit(False)
+    for i in range(pairs):
+        low, high = F.col("_cuts")[2 * i], F.col("_cuts")[2 * i + 1]
+        interval = interval + (F.col("_v") > low).cast("int") + (F.col("_v") > high).cast("int")
+        near = near | ((F.col("_v") >= low) & (F.col("_v") <= high))
+    placed = placed.select(*groups, "_v", F.when(near, F.col("_v")).alias("_kept"), F.when(~near, interval).alias("_iv"))
+    # The counted stretches hold no kept value, so the smallest value of each puts all in order.
+    counted = placed.groupBy(*groups, "_kept", "_iv").agg(F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_first"))
+    placed = running_total(counted, groups, ["_first"], "_rows", "_upto")
+    if groups:
+        placed = match(placed, sketch.select(*groups, F.col("_size").alias("_n")), groups, ["_n"])
+    else:
+        placed = placed.withColumn("_n", sketch.select("_size").scalar())
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, (_, rank) in ranks.items()]
     )
-    start = F.col("_end") - F.col("_rows")
-    holding = (
-        counted.withColumn("_start", start)
-        .withColumn(
-            "_targets",
-            F.filter(wanted, lambda t: (t["rank"] >= F.col("_start")) & (t["rank"] < F.col("_end"))),
-        )
-        .where(F.size("_targets") > 0)
-        .select(*groups, "_iv", "_start", "_targets", "_n")
-    )
-
-    keys = [*groups, "_iv"]
-    values = match(placed, holding, keys, []).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_rows"))
-    values = running_total(values, keys, ["_v"], "_rows", "_upto")
-    found = match(values, holding, keys, ["_start", "_targets", "_n"])
-    below = F.col("_start") + F.col("_upto") - F.col("_rows")
-    hits = found.withColumn("_below", below).withColumn(
-        "_hit",
-        F.explode(
-            F.filter(
-                "_targets",
-                lambda t: (t["rank"] >= F.col("_below")) & (t["rank"] < F.col("_below") + F.col("_rows")),
-            )
-        ),
+    below = F.col("_upto") - F.col("_rows")
+    hits = placed.withColumn("_below", below).withColumn(
+        "_hit", F.explode(F.filter(wanted, lambda t: (t["rank"] >= F.col("_below")) & (t["rank"] < F.col("_upto"))))
     )
+    found = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.raise_error(F.lit("the sketch missed a rank; use a smaller accuracy")))
     return hits.select(
-        *groups, F.col("_hit.name").alias("name"), F.col("_v").alias("value"), F.col("_below").alias("below"), F.col("_n").alias("n")
+        *groups, F.col("_hit.name").alias("name"), found.alias("value"), F.col("_below").alias("below"), F.col("_n").alias("n")
     )
 
 
@@ -103,23 +93,38 @@ def exact_quantiles(
     probs: dict[str, float],
     groups: Sequence[str] = (),
     accuracy: int = ACCURACY,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per group with a column per quantile, interpolated linearly between ranks."""
+    """One row per group with a column per quantile, interpolated linearly between ranks.
+
+    With ``extra``, named aggregates of ``df``, their columns follow, from the pass that
+    makes the sketch; a group without a value then has a row too, with NULL quantiles.
+    """
     groups = list(groups)
     ranks: dict[str, tuple[float, Column]] = {}
     for name, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(p))
         ranks[f"{name}:lo"] = (p, F.floor(at))
         ranks[f"{name}:hi"] = (p, F.ceil(at))
-    number = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn(value, F.col(value).cast("double"))
-    picked = select_ranks(number, value, ranks, groups, accuracy)
+    usable = F.col(value).isNotNull() & ~F.isnan(value)
+    number = df.withColumn("_v", F.when(usable, F.col(value).cast("double")))
+    base = number.where("_v is not null").select(*groups, "_v")
+    sketch = _sketched(number if extra else base, list(probs.values()), groups, accuracy, extra)
+    picked = _ranked(base, sketch, ranks, groups, accuracy)
     joined = picked.groupBy(*groups).agg(
-        F.max("n").alias("_n"),
+        F.max("n").alias("_m"),
         *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks],
     )
-    out = list(groups)
+    out = []
     for name, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(float(p))
+        at = (F.col("_m") - 1) * F.lit(float(p))
         low, high = F.col(f"`{name}:lo`"), F.col(f"`{name}:hi`")
         out.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return joined.select(*out)
+    quantiles = joined.select(*groups, *out)
+    if not extra:
+        return quantiles
+    sums = sketch.drop("_size", "_cuts")
+    if groups:
+        return match(sums, quantiles, groups, list(probs), "left")
+    row = quantiles.select(F.struct(*probs).alias("_q")).scalar()
+    return sums.withColumn("_q", row).select(*sums.columns, *[F.col("_q").getField(name).alias(name) for name in probs])

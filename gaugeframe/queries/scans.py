@@ -149,24 +149,25 @@ _IMPORTANCE_SQL = f"""WITH {t.WEIGHTS_SQL}
 
 
 def _log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.extract_log_metrics(t.log_lines(spark, sf_dir)).select(
-        "model", "model_type", *[r(c, 8).alias(c) for c in ("mse", "mae", "r2", "latency_ms")], "status"
+    return reports.log_metrics(t.logs(spark, sf_dir)).select(
+        "model", "model_type", *[r(c, 8).alias(c) for c in ("mse", "mae", "r2", "latency_ms")], "status", F.md5("error").alias("error_md5")
     )
 
 
 _LOG_METRICS_SQL = """WITH logs AS (
-      SELECT 'run_' || o_orderkey::VARCHAR || '.log' AS model, o_orderkey % 13 = 0 AS failed, o_orderkey % 17 = 0 AS cut,
+      SELECT 'run_' || o_orderkey::VARCHAR || '.log' AS model, o_orderkey::VARCHAR AS run, o_orderkey % 13 = 0 AS failed, o_orderkey % 17 = 0 AS cut,
         list_extract(['SimpleDNN', 'LSTM', 'LinearRegressor'], (o_orderkey % 3 + 1)::INTEGER) AS mtype,
         o_totalprice / 3e6 AS mse, (o_custkey % 1000)::DOUBLE / 3e3 AS mae FROM orders)
     SELECT model, CASE WHEN failed THEN 'ERROR' ELSE mtype END AS model_type,
       CASE WHEN NOT failed AND NOT cut THEN round(mse, 8) END AS mse, CASE WHEN NOT failed AND NOT cut THEN round(mae, 8) END AS mae,
       CASE WHEN NOT failed AND NOT cut THEN round(mse - mae, 8) END AS r2,
       CASE WHEN NOT failed AND NOT cut THEN round(mae + 5e1, 8) END AS latency_ms,
-      CASE WHEN failed THEN 'FAILED' WHEN cut THEN 'INCOMPLETE METRICS' ELSE 'OK' END AS status FROM logs"""
+      CASE WHEN failed THEN 'FAILED' WHEN cut THEN 'INCOMPLETE METRICS' ELSE 'OK' END AS status,
+      CASE WHEN failed THEN md5('Traceback (most recent call last):' || chr(10) || 'ValueError: no run ' || run) END AS error_md5 FROM logs"""
 
 
 def _test_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.extract_test_loss(t.log_lines(spark, sf_dir)).select("file", r("test_loss", 8).alias("test_loss"))
+    return reports.log_test_loss(t.logs(spark, sf_dir)).select("file", r("test_loss", 8).alias("test_loss"))
 
 
 _TEST_LOSS_SQL = """SELECT 'run_' || o_orderkey::VARCHAR || '.log' AS file,

@@ -188,7 +188,13 @@ def test_logs(spark, tmp_path):
     (tmp_path / "cut").write_text("\r\n".join(good.split("\n")[:3]) + "\r\nTest Loss: 0.25\r\n")
     (tmp_path / "bad").write_text("Detected model type: LSTM\nValueError: no file\n")
     lines = reports.scan_log_lines(spark, str(tmp_path))
-    got = {r.model: tuple(r)[1:] for r in reports.extract_log_metrics(lines).collect()}
+    got = {r.model: tuple(r)[1:-1] for r in reports.extract_log_metrics(lines).collect()}
+    logs = reports.scan_logs(spark, str(tmp_path))
+    assert {r.model: tuple(r)[1:-1] for r in reports.log_metrics(logs).collect()} == got
+    assert {r.model: r.error for r in reports.log_metrics(logs).collect()} == {"good": None, "cut": None, "bad": "ValueError: no file"}
+    plan = reports.log_metrics(logs)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert {r.file: r.test_loss for r in reports.log_test_loss(logs).collect()} == {"good": None, "cut": 0.25, "bad": None}
     assert got == {
         "good": ("SimpleDNN", 0.0929, 0.2572, -0.0172, 54.65, "OK"),
         "cut": ("SimpleDNN", None, None, None, None, "INCOMPLETE METRICS"),
