@@ -44,6 +44,10 @@ DEVIATIONS = 6
 ATTEMPTS = 64
 # Nodes of a group that a task compares at once.
 TOGETHER = 512
+# Shingles of the nodes of a group that a task compares at once, rows of a slice, and bytes of an Arrow batch.
+SHINGLES, SLICE_ROWS, BATCH_BYTES = 1 << 21, 512, 16 << 20
+# Ids up to which they are sent to every executor.
+SENT_IDS = 1 << 20
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +104,11 @@ def signatures(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         out[rows[full], cols[full]] = register[rows[full], source[full]]
         todo[rows[full], cols[full]] = False
     # Sets of so few shingles that no attempt met one: the next filled register round the ring.
-    for row, col in zip(*np.nonzero(todo)):
-        places = np.flatnonzero(filled[row])
-        out[row, col] = register[row, places[np.searchsorted(places, col) % len(places)]]
+    rows = np.flatnonzero(todo.any(axis=1))
+    if len(rows):
+        ring = np.where(np.tile(filled[rows], 2), np.arange(2 * REGISTERS, dtype=np.int32), 2 * REGISTERS)
+        following = np.minimum.accumulate(ring[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS] % REGISTERS
+        out[rows] = np.where(todo[rows], np.take_along_axis(register[rows], following, axis=1), out[rows])
     return out
 
 
@@ -130,7 +136,7 @@ def with_signature(df: DataFrame, text: str, k: int) -> DataFrame:
     @F.arrow_udf("n long, s1 long, s2 long, registers binary")
     def sign(texts: pa.Array) -> pa.Array:
         parts = []
-        for part in slices(texts):
+        for part in (part for first in range(0, len(texts), SLICE_ROWS) for part in slices(texts.slice(first, SLICE_ROWS))):
             text_of, value = shingles(words(part, NON_SPACE, lower=True), k)
             n = len(part)
             starts = np.searchsorted(text_of, np.arange(n + 1))
@@ -144,18 +150,33 @@ def with_signature(df: DataFrame, text: str, k: int) -> DataFrame:
     return df.withColumn("_sig", sign(F.col(text)))
 
 
-def with_set(df: DataFrame, text: str, k: int) -> DataFrame:
-    """Replaces the text (in squeezed form) by _set, its sorted distinct shingle hashes."""
+def with_set(texts: DataFrame, k: int, squeezed_text: bool) -> DataFrame:
+    """(id, _set): the sorted distinct shingle hashes of each (id, text), a few rows at a time."""
 
-    @F.arrow_udf("binary")
-    def as_set(cells: pa.Array) -> pa.Array:
-        parts = []
-        for part in slices(pa.array(list(unsqueezed(cells)), type=pa.large_binary())):
-            text_of, value = shingles(words(part, NON_SPACE, lower=True), k)
-            parts.append(binary(value, np.searchsorted(text_of, np.arange(len(part) + 1))))
-        return pa.concat_arrays(parts) if parts else pa.array([], type=pa.binary())
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                ids, text = (column.slice(first, SLICE_ROWS) for column in batch.columns)
+                if squeezed_text:
+                    text = pa.array(list(unsqueezed(text)), type=pa.large_binary())
+                for part in slices(text):
+                    text_of, value = shingles(words(part, NON_SPACE, lower=True), k)
+                    sets = binary(value, np.searchsorted(text_of, np.arange(len(part) + 1)))
+                    yield pa.RecordBatch.from_arrays([ids.slice(part.first, len(part)), sets], names=["id", "_set"])
+
+    return texts.mapInArrow(as_sets, "id long, _set binary")
 
-    return df.withColumn("_set", as_set(F.col(text))).drop(text)
+
+def sets_of(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The stored sets of the rows (id, text) with these ids.
+
+    Up to ``SENT_IDS`` ids go to the texts, which then stay where they are; more of them meet
+    the texts in a shuffle, for which the texts are squeezed.
+    """
+    ids = stored(ids.distinct(), "ids")
+    few = ids.count() <= SENT_IDS
+    chosen = rows.select("id", "text").join(F.broadcast(ids), "id", "left_semi") if few else packed(rows).join(ids, "id", "left_semi")
+    return stored(with_set(chosen.select(F.col("id").cast("long").alias("id"), "text"), k, not few), "sets")
 
 
 def packed(texts: DataFrame) -> DataFrame:
@@ -192,8 +213,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
             found.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0)
         return pa.array(found, type=pa.int64())
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(with_set(packed(texts).join(ids, "id", "left_semi"), "text", k), "sets")
+    sets = sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), k)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("_set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("_set").alias("sb")), "b")
     i = common("sa", "sb")
     union = (F.octet_length("sa") / 8 + F.octet_length("sb") / 8).cast("long") - F.col("i")
@@ -202,6 +222,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) per row; keys are integers. Links have 100 * common >= percent * union shingles of k words."""
+    # Arrow batches of this session are bounded by bytes as well as by rows.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     signed = with_signature(rows, "text", k).select("id", F.col("_sig.n").alias("n"), F.col("_sig.s1").alias("s1"), F.col("_sig.s2").alias("s2"), F.col("_sig.registers").alias("r"))
     signed = stored(signed, "signatures")
@@ -213,11 +235,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         .groupBy("id", "s1", "s2", "n").agg(F.first("r").alias("r")), "registers",
     )
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("r"), i * 2 * BAND + 1, F.lit(2 * BAND)))))
-    banded = registers.select(band.alias("key"), F.col("id").alias("node"))
+    banded = registers.select(band.alias("key"), F.col("id").alias("node"), F.col("n").alias("size"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
     met = stored(banded.join(leaders, "key"), "buckets")
     links = _links(met.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), registers, rows, percent, k)
-    more = _beyond(met.select("leader", "node").distinct(), components(links), rows, percent, k)
+    more = _beyond(met.select("leader", "node", "size").distinct(), components(links), rows, percent, k)
     root = components(links.union(more))
     member = nodes.join(root, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component_id"))
     told = signed.join(member, ["s1", "s2"], "left")
@@ -226,7 +248,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def _beyond(groups: DataFrame, root: DataFrame, rows: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links (a, b) that do not run over the leader of a group (leader, node).
+    """Links (a, b) that do not run over the leader of a group (leader, node, size).
 
     Nodes that share a bucket share its leader. Those that are not yet in the leader's component
     meet all nodes of the group on their full sets, in blocks of bounded size inside tasks.
@@ -235,10 +257,12 @@ def _beyond(groups: DataFrame, root: DataFrame, rows: DataFrame, percent: int, k
     told = groups.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = told.where("node = leader").select("leader", F.col("root").alias("leader_root"))
     told = told.join(own, "leader").withColumn("apart", F.col("root") != F.col("leader_root"))
-    sizes = told.groupBy("leader").agg(F.count("*").alias("n"), F.count_if("apart").alias("n_apart")).where("n_apart > 0")
-    told = stored(told.join(sizes, "leader").select("leader", "node", "root", "apart", "n", "n_apart"), "apart")
-    sets = stored(with_set(packed(rows).join(told.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "text", k).select(F.col("id").alias("node"), "_set"), "sets")
-    blocks, apart_blocks = F.ceil(F.col("n") / TOGETHER), F.ceil(F.col("n_apart") / TOGETHER)
+    sizes = told.groupBy("leader").agg(
+        F.count("*").alias("n"), F.count_if("apart").alias("n_apart"), F.sum("size").alias("held"), F.sum(F.when(F.col("apart"), F.col("size"))).alias("held_apart")
+    ).where("n_apart > 0")
+    told = stored(told.join(sizes, "leader").select("leader", "node", "root", "apart", "n", "n_apart", "held", "held_apart"), "apart")
+    sets = sets_of(rows, told.select(F.col("node").alias("id")), k).withColumnRenamed("id", "node")
+    blocks, apart_blocks = (F.ceil(F.greatest(F.col(n) / TOGETHER, F.col(held) / SHINGLES)) for n, held in (("n", "held"), ("n_apart", "held_apart")))
     h = F.xxhash64("node")
     asked = told.where("apart").select(
         "leader", "node", "root", F.lit(True).alias("asks"), F.pmod(h, apart_blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -449,3 +451,38 @@ def test_stages_on_edges(spark, docs, empty, name):
         out = stage(spark, table, sf_dir)
         out.collect()
         assert name == "packing" or out.columns == table.columns
+
+
+def test_signatures_of_tiny_sets():
+    """Empty registers that no attempt filled take the next filled one round the ring, and in reasonable time."""
+    rng = np.random.default_rng(4)
+    text, value = np.repeat(np.arange(300), 2), rng.integers(0, 1 << 63, 600).astype(np.uint64)
+    got = near_dedup.signatures(text, value, 301)
+    mixed = arrowtext.mix(value ^ np.uint64(0xA0761D6478BD642F))
+    bucket = (mixed >> np.uint64(56)).astype(int)
+    order = near_dedup.donors()
+    for row in range(300):
+        places = sorted(set(bucket[2 * row : 2 * row + 2]))
+        for col in range(near_dedup.REGISTERS):
+            source = col if col in places else next((s for s in order[col] if s in places), None)
+            if source is None:
+                source = next(((col + step) % 256 for step in range(256) if (col + step) % 256 in places))
+            assert got[row, col] == got[row, source] != 0
+    assert not got[300].any()
+    column = pa.array([" ".join(f"w{rng.integers(1 << 30)}" for _ in range(6)) for _ in range(10_000)])
+    start = time.process_time()
+    for first in range(0, len(column), near_dedup.SLICE_ROWS):
+        for part in arrowtext.slices(column.slice(first, near_dedup.SLICE_ROWS)):
+            near_dedup.signatures(*near_dedup.shingles(arrowtext.words(part, arrowtext.NON_SPACE, lower=True), 5), len(part))
+    assert time.process_time() - start < 5
+
+
+def test_near_duplicates_with_ids_that_are_not_sent(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join([*base[: 58 + i % 3], f"end{i}"])) for i in range(20)] + [(100, "quite another text " * 3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(map(tuple, near_dedup.near_duplicates(docs, k=2).collect()))
+    monkeypatch.setattr(near_dedup, "SENT_IDS", 0)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 100)
+    assert sorted(map(tuple, near_dedup.near_duplicates(docs, k=2).collect())) == want
+    assert {c for i, _, c in want if i < 20} == {0}
