@@ -156,7 +156,7 @@ def prepare_validation(docs: DataFrame, path: str, ratio: float = 1.0, seed: int
     """
     chosen = with_document(sample_exact(docs, "file", ratio, seed)).withColumn("valid", is_valid_window(F.col("doc"), layout))
     checked = materialize(chosen.drop("doc"), "chosen")
-    sink_validation_pair(to_windows(checked.where("valid").drop("valid"), layout), path)
+    sink_validation_pair(to_windows(checked.where("valid").drop("valid"), layout), path, layout=layout, ratio=ratio, seed=seed)
     return checked.agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"))
 
 

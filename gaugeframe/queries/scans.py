@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.functions.numeric import try_double
 from gaugeframe.functions.timeparse import ts_digits
 from gaugeframe.operators.clean import repair_counts, repair_types
 from gaugeframe.operators.metrics import prediction_errors, regression_metrics
 from gaugeframe.operators.scaling import fit_scaler, scale
 from gaugeframe.queries import tables as t
 from gaugeframe.queries.tables import r
-from gaugeframe.schemas import FLAT_METRICS, METRICS, TARGET
+from gaugeframe.schemas import EXPERIMENT_SCHEMA, FLAT_METRICS, METRICS, TARGET
 from gaugeframe.session import scratch_path
 from gaugeframe.sources import reports, sinks
 from gaugeframe.sources.windows import collapse_documents, flat_from_text, scan_windows, to_flat, to_windows, with_document
@@ -180,34 +181,36 @@ def _sink_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.sink_windows_json(t.windows(spark, sf_dir), path)
     back = scan_windows(spark, path, one_per_line=True)
     return back.select(
-        "ts_raw", r(TARGET, 9).alias(TARGET), F.size("samples").cast("bigint").alias("n_samples"), *_sample_sums("new")
+        "file", "ts_raw", r(TARGET, 9).alias(TARGET), F.size("samples").cast("bigint").alias("n_samples"), *_sample_sums("new")
     )
 
 
 _SINK_WINDOWS_SQL = f"""WITH {t.WINDOWS_SQL}
-    SELECT strftime(max(ts), '%Y%m%d%H%M%S') AS ts_raw, round(avg(qoe), 9) AS "QoE", count(*) AS n_samples,
+    SELECT strftime(max(ts), '%Y%m%d%H%M%S') || '.json' AS file, strftime(max(ts), '%Y%m%d%H%M%S') AS ts_raw, round(avg(qoe), 9) AS "QoE", count(*) AS n_samples,
       {', '.join(f'round(sum({m}), 4) AS sum_{m}' for m in METRICS['new'])}
     FROM samples GROUP BY window_id"""
 
 
 def _sink_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "validation")
-    sinks.sink_validation_pair(t.windows(spark, sf_dir).drop("samples"), path)
+    sinks.sink_validation_pair(t.windows(spark, sf_dir), path, "20240101000000", ratio=1.0, seed=7)
     truth, masked, metadata = sinks.load_validation_pair(spark, path)
+    stated = reports.scan_validation_metadata(spark, f"{path}/validation_metadata").groupBy("file").agg(F.max("format").alias("format"))
     return (
-        truth.join(masked.withColumnRenamed(TARGET, "masked"), ["window_id", "file", "ts"])
-        .join(metadata, "file")
+        truth.join(masked.select("window_id", F.col(TARGET).alias("masked"), F.col("samples").alias("masked_samples")), "window_id")
+        .join(metadata, "file").join(stated, "file")
         .groupBy("file")
         .agg(
-            F.count(F.lit(1)).alias("n_rows"), F.count("masked").alias("n_visible"),
-            r(F.max(TARGET), 9).alias("truth"), r(F.max("ground_truth_qoe"), 9).alias("metadata_truth"),
+            F.count(F.lit(1)).alias("n_rows"), F.count("masked").alias("n_visible"), F.sum(F.size("masked_samples")).alias("n_samples"),
+            F.every(F.col("samples") == F.col("masked_samples")).alias("same_samples"),
+            r(F.max(TARGET), 9).alias("truth"), r(F.max("ground_truth_qoe"), 9).alias("metadata_truth"), F.max("format").alias("format"),
         )
     )
 
 
 _SINK_PAIR_SQL = f"""WITH {t.WINDOWS_SQL},
-    w AS (SELECT file, count(*) AS n, round(max("QoE"), 9) AS q FROM windows GROUP BY file)
-    SELECT file, n * n AS n_rows, 0::BIGINT AS n_visible, q AS truth, q AS metadata_truth FROM w"""
+    w AS (SELECT file, count(*) AS n, sum(n_samples)::BIGINT AS n_samples, round(max("QoE"), 9) AS q FROM windows GROUP BY file)
+    SELECT file, n AS n_rows, 0::BIGINT AS n_visible, n_samples, TRUE AS same_samples, q AS truth, q AS metadata_truth, 'new' AS format FROM w"""
 
 
 def _sink_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,25 +224,29 @@ def _sink_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         details.groupBy("model")
         .agg(F.count(F.lit(1)).alias("n_rows"), r(F.avg(F.abs("error"))).alias("mae_from_details"))
-        .join(summary.select("model", r(F.col("mae").cast("double")).alias("mae")), "model")
+        .join(summary.select("model", "model_type", r(F.col("mae").cast("double")).alias("mae")), "model")
     )
 
 
 _SINK_RESULTS_SQL = f"""WITH {t.PREDICTIONS_SQL}
-    SELECT model, count(*) AS n_rows, round(avg(abs(error)), 6) AS mae_from_details, round(avg(abs(error)), 6) AS mae
+    SELECT model, CASE split_part(model, '_', 1) WHEN 'linear' THEN 'Linear Regressor' WHEN 'dnn' THEN 'Simple DNN'
+      WHEN 'lstm' THEN 'LSTM' WHEN 'gru' THEN 'GRU' WHEN 'transformer' THEN 'Transformer' ELSE 'Unknown' END AS model_type,
+      count(*) AS n_rows, round(avg(abs(error)), 6) AS mae_from_details, round(avg(abs(error)), 6) AS mae
     FROM errors GROUP BY model"""
 
 
 def _sink_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs appended in two parts, with all their columns."""
     path = scratch_path(spark, "runs")
-    runs = t.runs_text(spark, sf_dir).select("run_id", "model_type", "seq_length")
+    runs = t.runs_text(spark, sf_dir).select(*_RUN_COLUMNS, F.concat(F.lit("run "), F.col("run_id").cast("string")).alias("run_output"))
     sinks.append_experiments(runs.where("model_type = 'gru'"), path)
     sinks.append_experiments(runs.where("model_type <> 'gru'"), path)
-    return spark.read.parquet(path).groupBy("model_type", "seq_length").agg(F.count(F.lit(1)).alias("n_runs"))
+    back = spark.read.schema(EXPERIMENT_SCHEMA).parquet(path)
+    return back.withColumn("test_loss", try_double(F.col("test_loss")))
 
 
 _SINK_EXPERIMENTS_SQL = f"""WITH {t.RUNS_SQL}
-    SELECT model_type, seq_length, count(*) AS n_runs FROM runs GROUP BY model_type, seq_length"""
+    SELECT {', '.join(_RUN_COLUMNS)}, 'run ' || run_id::VARCHAR AS run_output FROM runs"""
 
 
 def _scaler_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.functions.text import classify_model
 from gaugeframe.functions.timeparse import ts_digits
 from gaugeframe.operators.clean import mask_target
 from gaugeframe.schemas import TARGET
+from gaugeframe.sources.reports import scan_validation_metadata
 
 
 def window_json(target: Column, ts: Column, samples: Column) -> Column:
@@ -37,24 +39,45 @@ def sink_windows_json(windows: DataFrame, path: str, per_window: bool = False) -
         text.select("value").write.text(path)
 
 
-def sink_validation_pair(windows: DataFrame, path: str) -> None:
-    """Write the windows with the target, without it, and the table of held-out targets."""
+#: Files per document of the validation metadata.
+MANIFEST_FILES = 10_000
+
+
+def sink_validation_pair(
+    windows: DataFrame, path: str, created: str | None = None, layout: str = "new", ratio: float | None = None, seed: int | None = None
+) -> None:
+    """Write the windows with the target, without it, and the metadata documents.
+
+    A metadata document states creation time, format, sample ratio and seed, and maps files to held-out
+    targets; there is one per ``MANIFEST_FILES`` files, each in a file of its own, which
+    ``scan_validation_metadata`` reads. Of windows with one file name the largest target is stated.
+    """
     windows.write.parquet(f"{path}/ground_truth")
     mask_target(windows).drop(f"{TARGET}_truth").write.parquet(f"{path}/inference")
-    windows.where(F.col(TARGET).isNotNull()).select("file", F.col(TARGET).alias("ground_truth_qoe")).write.json(
-        f"{path}/validation_metadata"
+    known = windows.where(F.col(TARGET).isNotNull() & F.col("file").isNotNull()).groupBy("file").agg(F.max(TARGET).alias("ground_truth_qoe"))
+    shards = max(-(-windows.count() // MANIFEST_FILES), 1)
+    head = {
+        "creation_timestamp": ts_digits(F.current_timestamp()) if created is None else F.lit(created), "format": F.lit(layout),
+        "sample_ratio": F.lit(ratio).cast("double"), "random_seed": F.lit(seed).cast("long"),
+    }
+    listed = known.groupBy(F.pmod(F.xxhash64("file"), F.lit(shards)).alias("shard")).agg(
+        F.map_from_entries(F.collect_list(F.struct("file", F.struct("ground_truth_qoe")))).alias("files")
     )
+    document = F.to_json(F.struct(*[value.alias(name) for name, value in head.items()], "files"), {"ignoreNullFields": "false"})
+    listed.select("shard", document.alias("value")).write.partitionBy("shard").text(f"{path}/validation_metadata")
 
 
 def load_validation_pair(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ground truth windows, masked windows, metadata)."""
-    metadata = spark.read.schema("file STRING, ground_truth_qoe DOUBLE").json(f"{path}/validation_metadata")
+    metadata = scan_validation_metadata(spark, f"{path}/validation_metadata").select("file", "ground_truth_qoe")
     return spark.read.parquet(f"{path}/ground_truth"), spark.read.parquet(f"{path}/inference"), metadata
 
 
 def sink_results_csv(summary: DataFrame, details: DataFrame, path: str) -> None:
-    """Summary of all models, and the predictions in one folder per model."""
-    summary.write.option("header", True).csv(f"{path}/validation_summary")
+    """Summary of all models with their types, and the predictions in one folder per model."""
+    typed = summary.withColumn("model_type", classify_model(F.col("model")))
+    first = ["model", "model_type"]
+    typed.select(*first, *[c for c in summary.columns if c not in first]).write.option("header", True).csv(f"{path}/validation_summary")
     details.write.option("header", True).partitionBy("model").csv(f"{path}/detailed_results")
 
 

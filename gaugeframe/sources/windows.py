@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.numeric import exact_round, try_double
-from gaugeframe.functions.timeparse import parse_ts
+from gaugeframe.functions.timeparse import parse_ts, ts_digits
 from gaugeframe.schemas import FLAT_METRICS, FLAT_SCHEMA, META_KEYS, METRICS, TARGET, TIMESTAMP
 
 
@@ -95,8 +95,14 @@ def to_windows(docs: DataFrame, layout: str = "new", value: str = "value") -> Da
 def scan_windows(
     spark: SparkSession, path: str, layout: str = "new", one_per_line: bool = False
 ) -> DataFrame:
-    """Typed windows of a folder (file, ts_raw, ts, QoE, samples)."""
-    return to_windows(scan_documents(spark, path, one_per_line), layout)
+    """Typed windows of a folder (file, ts_raw, ts, QoE, samples).
+
+    A document that shares its file with others is named by its own time, as its file would be.
+    """
+    found = to_windows(scan_documents(spark, path, one_per_line), layout)
+    if not one_per_line:
+        return found
+    return found.withColumn("file", F.coalesce(F.concat(ts_digits(F.col("ts")), F.lit(".json")), "file"))
 
 
 def scan_windows_legacy(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.operators import clean, features
-from gaugeframe.sources import sinks
+from gaugeframe.sources import reports, sinks
 from gaugeframe.sources import windows as w
 
 METRICS = ("throughput", "packets_lost", "packet_loss_rate", "jitter", "speed")
@@ -156,6 +156,8 @@ def test_written_windows_read_back(spark, folder, tmp_path):
     back = w.scan_windows(spark, str(tmp_path / "lines"), one_per_line=True)
     plain = lambda df: sorted((r.ts_raw, r.QoE, str(r.samples)) for r in df.collect())
     assert plain(back) == plain(rows)
+    # A window keeps the file name its time gives, so that it matches its row again.
+    assert all(r.file == (f"{ts}.json" if (ts := r.ts and r.ts.strftime("%Y%m%d%H%M%S")) else r.file) for r in back.collect())
     assert len(list((tmp_path / "files").glob("window=*"))) == 5
 
 
@@ -165,6 +167,20 @@ def test_validation_pair(spark, folder, tmp_path):
     truth, masked, metadata = sinks.load_validation_pair(spark, str(tmp_path / "v"))
     assert masked.where("QoE IS NOT NULL").count() == 0 and masked.count() == truth.count() == 5
     assert by_file(metadata)["20250402121954.json"]["ground_truth_qoe"] == 71.5328
+    stated = reports.scan_validation_metadata(spark, str(tmp_path / "v" / "validation_metadata"))
+    assert stated.count() == metadata.count() and {r.format for r in stated.collect()} == {"new"}
+
+
+def test_validation_metadata_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MANIFEST_FILES", 4)
+    rows = spark.createDataFrame([(f"{i}.json", float(i)) for i in range(11)] + [("3.json", 30.0), ("none.json", None)], "file string, QoE double")
+    sinks.sink_validation_pair(rows, str(tmp_path / "v"), "20250101000000", "legacy", 0.5, 9)
+    _, _, metadata = sinks.load_validation_pair(spark, str(tmp_path / "v"))
+    assert {r.file: r.ground_truth_qoe for r in metadata.collect()} == {f"{i}.json": 30.0 if i == 3 else float(i) for i in range(11)}
+    documents = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "v" / "validation_metadata")).collect()]
+    assert 1 < len(documents) <= 4
+    for d in documents:
+        assert (d["creation_timestamp"], d["format"], d["sample_ratio"], d["random_seed"]) == ("20250101000000", "legacy", 0.5, 9)
 
 
 def test_disk_usage(spark, folder):
