@@ -406,20 +406,40 @@ _STREAM_WINDOWS_SQL = f"""WITH {t.SAMPLES_SQL}, s AS (SELECT *, time_bucket(INTE
     FROM s GROUP BY w HAVING w + INTERVAL '10 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '30 minutes'"""
 
 
+#: Files the events arrive in, and how many of each hundred come one file later.
+_ARRIVALS, _DELAYED = 3, 2
+
+
 def _stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _event_stream(spark, sf_dir).select("user_id", "ts", "event_id", "value")
-    path = scratch_path(spark, "stream-score")
+    """Events that arrive in three files, some of them one file later; late rows and scores of the others."""
+    events = t.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    ends = events.agg(F.struct(F.min("event_id").alias("low"), F.max("event_id").alias("high")).alias("e")).scalar()
+    source, path = scratch_path(spark, "arrivals"), scratch_path(spark, "stream-score")
+    stored = materialize(events.withColumn("_e", ends), "events")
+    third = F.floor((F.col("event_id") - F.col("_e.low")) * _ARRIVALS / (F.col("_e.high") - F.col("_e.low") + 1))
+    delay = (F.col("event_id") % 100 < _DELAYED).cast("int")
+    dealt = stored.withColumn("arrival", F.least(third + delay, F.lit(_ARRIVALS - 1)))
 
     def mean_score(rows: DataFrame) -> DataFrame:
         return sequences.mean_pool(rows, 1).select("event_id", F.get("pooled", F.lit(0)).alias("prediction"))
 
-    stream_scoring.stream_score(stream, path, ["user_id"], ["ts", "event_id"], ["value"], 4, mean_score).awaitTermination()
-    return stream_scoring.read_scores(spark, path).select("event_id", r("prediction").alias("prediction"))
-
-
-_STREAM_SCORE_SQL = """WITH x AS (SELECT event_id, avg(value) OVER w AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
-    SELECT event_id, round(p, 6) AS prediction FROM x WHERE rn >= 4"""
+    for arrival in range(_ARRIVALS):
+        dealt.where(F.col("arrival") == arrival).drop("_e", "arrival").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        stream_scoring.stream_score(stream, path, ["user_id"], ["ts", "event_id"], ["value"], 4, mean_score).awaitTermination()
+    scores = stream_scoring.read_scores(spark, path).select("event_id", r("prediction").alias("prediction"), F.lit(None).cast("string").alias("reason"))
+    late = stream_scoring.read_late(spark, path).select("event_id", F.lit(None).cast("double").alias("prediction"), "reason")
+    return scores.unionByName(late)
+
+
+_STREAM_SCORE_SQL = f"""WITH ends AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events),
+    dealt AS (SELECT events.*, least(floor((event_id - low) * {_ARRIVALS} / (high - low + 1)) + CASE WHEN event_id % 100 < {_DELAYED} THEN 1 ELSE 0 END, {_ARRIVALS - 1}) AS arrival FROM events, ends),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM dealt),
+    seen AS (SELECT *, max(place) OVER (PARTITION BY user_id ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM placed),
+    x AS (SELECT event_id, avg(value) OVER w AS p, count(*) OVER w AS n FROM seen WHERE newest IS NULL OR place > newest
+      WINDOW w AS (PARTITION BY user_id ORDER BY place ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+    SELECT event_id, round(p, 6) + 0e0 AS prediction, NULL::VARCHAR AS reason FROM x WHERE n = 4
+    UNION ALL SELECT event_id, NULL::DOUBLE, '{stream_scoring.LATE}' FROM seen WHERE place <= newest"""
 
 
 QUERIES = {

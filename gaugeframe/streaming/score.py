@@ -1,46 +1,81 @@
-"""Scoring of arriving rows against the recent history of their series."""
+"""Scoring of arriving rows against the recent history of their series, kept as keyed state."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from gaugeframe.operators.sequences import last_in_series, make_trailing_sequences
-from gaugeframe.plans.joins import match
-from gaugeframe.plans.ordered import dense_index
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 LATE = "not later than the scored rows of its series"
-
-
-def score_batch(
-    batch: DataFrame,
-    tail: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    features: Sequence[str],
-    seq_length: int,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sequences ending in the new rows, new tail, late rows) of one batch.
-
-    ``tail`` holds the last ``seq_length`` - 1 rows of every series. New rows that are not
-    later than the tail of their series are late: they are not scored but returned with a reason.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _plain(value):
+    """A pandas cell as the value Spark holds; what is missing is None."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if hasattr(value, "item") else value
+
+
+class LastRows(StatefulProcessor):
+    """The last rows of a series; gives every later row the sequence that ends with it."""
+
+    def __init__(self, keys: Sequence[str], order_by: Sequence[str], features: Sequence[str], seq_length: int, state: T.StructType, keep_ms: int | None):
+        self.keys, self.order_by, self.features = list(keys), list(order_by), list(features)
+        self.seq_length, self.state, self.keep_ms = seq_length, state, keep_ms
+        self.names = [f.name for f in state.fields]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("last_rows", self.state, self.keep_ms) if self.keep_ms else handle.getListState("last_rows", self.state)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        arrived = pd.concat(list(rows), ignore_index=True)
+        fresh = [dict(zip(self.names, map(_plain, row))) for row in arrived[self.names].itertuples(index=False, name=None)]
+        place = lambda row: tuple((row[c] is not None, row[c]) for c in self.order_by)
+        fresh.sort(key=place)
+        last = [dict(zip(self.names, row)) for row in self.held.get()]
+        newest = place(last[-1]) if last else None
+        out = []
+        for row in fresh:
+            late = newest is not None and place(row) <= newest
+            sequence = None
+            if not late:
+                last.append(row)
+                last = last[-self.seq_length :]
+                if len(last) == self.seq_length:
+                    sequence = [[None if r[f] is None else float(r[f]) for f in self.features] for r in last]
+            out.append([*[row[c] for c in self.names], sequence, LATE if late else None])
+        # One row at least, so that later rows can be told from late ones.
+        self.held.put([tuple(row[c] for c in self.names) for row in last[-max(self.seq_length - 1, 1) :]])
+        yield pd.DataFrame(out, columns=[*self.names, "_X", "reason"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def sequences_of_stream(
+    stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], features: Sequence[str], seq_length: int, keep_ms: int | None = None
+) -> DataFrame:
+    """Every arriving row with ``_X``, the sequence that ends with it, or with the ``reason`` why it is late.
+
+    The state of a series is its last rows, and only series with new rows touch theirs. Rows of a batch are
+    put in order; a row that is not later than those before it in earlier batches is late. ``_X`` is
+    NULL for late rows and for those with too little history. With ``keep_ms`` the state of a
+    series expires that long after its last row.
     """
     wanted = list(dict.fromkeys([*keys, *order_by, *features]))
-    newest = tail.groupBy(*keys).agg(F.max(F.struct(*order_by)).alias("_newest"))
-    placed = match(batch.select(*wanted), newest, list(keys), ["_newest"], "left")
-    on_time = F.col("_newest").isNull() | (F.struct(*order_by) > F.col("_newest"))
-    fresh = placed.where(on_time).drop("_newest")
-    late = placed.where(~on_time).drop("_newest").withColumn("reason", F.lit(LATE))
-    merged = tail.select(*wanted).withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
-    indexed = dense_index(merged, [*keys, *order_by])
-    sequences = make_trailing_sequences(indexed, seq_length, features, [*order_by, "_new"], keys)
-    return (
-        sequences.where(F.col("_new")).drop("_new", "idx"),
-        last_in_series(indexed.select(*wanted), keys, order_by, seq_length - 1),
-        late,
+    rows = stream.select(*wanted)
+    out = T.StructType([*rows.schema.fields, T.StructField("_X", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("reason", T.StringType())])
+    processor = LastRows(keys, order_by, features, seq_length, rows.schema, keep_ms)
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        processor, outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if keep_ms else "None"
     )
 
 
@@ -52,29 +87,28 @@ def stream_score(
     features: Sequence[str],
     seq_length: int,
     score: Callable[[DataFrame], DataFrame],
+    keep_ms: int | None = None,
 ) -> StreamingQuery:
-    """Score every arriving row that has enough history.
+    """Score every arriving row that has enough history; late rows are stored beside the scores.
 
-    Each micro-batch is a batch job over the stored tail and the new rows, so a hot series
-    is spread like any other data. Output and tail are written per batch number; a batch
-    that is run again overwrites its own folders, which keeps each row scored once.
+    The sequences of a micro-batch are written once and then scored as a table. Output is written
+    per batch number; a batch that is run again overwrites its own folders, which keeps
+    each row scored once.
     """
     spark = stream.sparkSession
-    wanted = list(dict.fromkeys([*keys, *order_by, *features]))
-    schema = stream.select(*wanted).schema
+    spark.conf.set(_PROVIDER, _KEYED_STORE)
+    made = sequences_of_stream(stream, keys, order_by, features, seq_length, keep_ms)
+    schema = made.schema
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            tail = spark.createDataFrame([], schema)
-        else:
-            tail = spark.read.schema(schema).parquet(f"{path}/tail/{batch_id - 1}")
-        sequences, new_tail, late = score_batch(batch, tail, keys, order_by, features, seq_length)
-        score(sequences).write.mode("overwrite").parquet(f"{path}/scores/{batch_id}")
-        late.write.mode("overwrite").parquet(f"{path}/late/{batch_id}")
-        new_tail.write.mode("overwrite").parquet(f"{path}/tail/{batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/sequences/{batch_id}")
+        rows = spark.read.schema(schema).parquet(f"{path}/sequences/{batch_id}")
+        kept = list(dict.fromkeys([*keys, *order_by]))
+        score(rows.where("_X is not null").select(*kept, F.col("_X").alias("X"))).write.mode("overwrite").parquet(f"{path}/scores/{batch_id}")
+        rows.where("reason is not null").drop("_X").write.mode("overwrite").parquet(f"{path}/late/{batch_id}")
 
     return (
-        stream.writeStream.foreachBatch(run)
+        made.writeStream.foreachBatch(run)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
         .start()
