@@ -37,26 +37,36 @@ def select_ranks(
     has no row.
     """
     base = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
-    return _ranked(base, _sketched(base, [p for p, _ in ranks.values()], groups, accuracy), ranks, groups, accuracy)
+    return _ranked(base, _sketched(base, [p for p, _ in ranks.values()], groups, accuracy), ranks, groups)
 
 
-def _points(fractions: Sequence[float], accuracy: int) -> list[tuple[float, float]]:
-    """Two fractions around each wanted one, twice as far off as the sketch may err."""
-    slack = 2.0 / accuracy
-    clipped = sorted({min(max(p, 0.0), 1.0) for p in fractions})
-    return [(max(0.0, p - slack), min(1.0, p + slack)) for p in clipped]
+#: Groups of fewer values are kept whole.
+FEW = 200
+
+
+def _fractions(wanted: Sequence[float]) -> list[float]:
+    return sorted({min(max(p, 0.0), 1.0) for p in wanted})
 
 
 def _sketched(base: DataFrame, fractions: Sequence[float], groups: Sequence[str], accuracy: int, extra: Sequence[Column] = ()) -> DataFrame:
-    """One stored row per group: the count, the values around each fraction, and ``extra`` sums of the same pass."""
-    points = [p for pair in _points(fractions, accuracy) for p in pair]
-    cuts = F.percentile_approx("_v", points, accuracy).alias("_cuts")
-    return materialize(base.groupBy(*groups).agg(F.count("_v").alias("_size"), cuts, *extra), "sketch")
+    """One stored row per group: the count, two values around each fraction, and ``extra`` sums of the same pass.
+
+    The values lie at least two ranks further off than the sketch may err: twice its error for large
+    groups, more for those in which that is less than two ranks, and the ends for the smallest.
+    """
+    around = lambda slack: [min(max(p + d, 0.0), 1.0) for p in _fractions(fractions) for d in (-slack, slack)]
+    near, wide = around(2.0 / accuracy), around(0.02 + 2.0 / accuracy)
+    cuts = F.percentile_approx("_v", [*near, *wide, 0.0, 1.0], accuracy).alias("_all")
+    sketch = base.groupBy(*groups).agg(F.count("_v").alias("_size"), cuts, *extra)
+    n = len(near)
+    ends = F.flatten(F.array_repeat(F.slice("_all", 2 * n + 1, 2), n // 2))
+    chosen = F.when(F.col("_size") < FEW, ends).when(F.col("_size") < 2 * accuracy, F.slice("_all", n + 1, n)).otherwise(F.slice("_all", 1, n))
+    return materialize(sketch.withColumn("_cuts", chosen).drop("_all"), "sketch")
 
 
-def _ranked(base: DataFrame, sketch: DataFrame, ranks: dict[str, tuple[float, Column]], groups: Sequence[str], accuracy: int) -> DataFrame:
+def _ranked(base: DataFrame, sketch: DataFrame, ranks: dict[str, tuple[float, Column]], groups: Sequence[str]) -> DataFrame:
     groups = list(groups)
-    pairs = len(_points([p for p, _ in ranks.values()], accuracy))
+    pairs = len(_fractions([p for p, _ in ranks.values()]))
     if groups:
         placed = match(base, sketch, groups, ["_cuts"])
     else:
@@ -110,7 +120,7 @@ def exact_quantiles(
     number = df.withColumn("_v", F.when(usable, F.col(value).cast("double")))
     base = number.where("_v is not null").select(*groups, "_v")
     sketch = _sketched(number if extra else base, list(probs.values()), groups, accuracy, extra)
-    picked = _ranked(base, sketch, ranks, groups, accuracy)
+    picked = _ranked(base, sketch, ranks, groups)
     joined = picked.groupBy(*groups).agg(
         F.max("n").alias("_m"),
         *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks],

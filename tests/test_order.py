@@ -197,3 +197,17 @@ def test_series_without_a_key_keep_their_rows(spark):
     rows = spark.createDataFrame([(None, 1), ("a", 2), (None, 3), ("a", 4)], "k string, t int")
     got = series_position(dense_index(rows, ["k", "t"]), ["k"]).collect()
     assert sorted((r.k or "", r.t, r.pos, r.n_rows) for r in got) == [("", 1, 0, 2), ("", 3, 1, 2), ("a", 2, 0, 2), ("a", 4, 1, 2)]
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    """The sketch's cuts must hold both ranks of a quantile, from one value to more than its accuracy."""
+    rng = np.random.default_rng(11)
+    sizes = [1, 2, 3, 7, 50, 199, 200, 201, 222, 333, 999, 1000, 2500, 25_000]
+    rows = [(n, float(v)) for n in sizes for v in (rng.normal(size=n) if n % 2 else rng.integers(0, max(n // 3, 2), n))]
+    frame = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    for accuracy in (10_000, 100):
+        probs = {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.75, "e": 0.99}
+        for r in exact_quantiles(frame, "v", probs, ["g"], accuracy, extra=[F.count("v").alias("n")]).collect():
+            assert r.n == r.g
+            want = np.quantile([v for g, v in rows if g == r.g], list(probs.values()))
+            assert [r[name] for name in probs] == pytest.approx(list(want))
