@@ -16,8 +16,6 @@ from gaugeframe.models.frames import fit_rows
 from gaugeframe.models.moments import Moments, moments, solve
 from gaugeframe.operators.sequences import feature_step_names
 
-#: Inputs up to which a prediction is written out term by term.
-WRITTEN_OUT = 100
 MODEL_SCHEMA = "position INT, weight DOUBLE, bias DOUBLE"
 
 
@@ -44,15 +42,16 @@ class LinearModel:
         return replace(self, prediction_col=name)
 
     def prediction(self, values: Column) -> Column:
-        """The prediction from an array of inputs."""
-        if len(self.weights) <= WRITTEN_OUT:
-            total = F.lit(0.0)
-            for i, weight in enumerate(self.weights):
-                total = total + F.get(values, F.lit(i)) * F.lit(weight)
-        else:
-            terms = F.zip_with(values, F.array(*map(F.lit, self.weights)), lambda a, b: a * b)
-            total = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
-        return total + F.lit(self.intercept)
+        """The prediction from an array of inputs, NULL if it has fewer than the model.
+
+        ``values`` is named once: written out term by term, the array would be made again for every input,
+        in code too long to be compiled.
+        """
+        if not self.weights:
+            return F.lit(self.intercept)
+        own = F.slice(values, 1, len(self.weights))
+        terms = F.zip_with(own, F.array(*map(F.lit, self.weights)), lambda a, b: a * b)
+        return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) + F.lit(self.intercept)
 
     def transform(self, frame: DataFrame) -> DataFrame:
         return frame.withColumn(self.prediction_col, self.prediction(vector_to_array("features")))

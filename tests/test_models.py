@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.models import score, search
 from gaugeframe.models.frames import left_out, to_frame
-from gaugeframe.models.linear import fit_linear, linear_importance
+from gaugeframe.models.linear import LinearModel, fit_linear, linear_importance
 from gaugeframe.models.moments import Moments, moments, solve, squared_loss
 from gaugeframe.models.nonlinear import fit_nonlinear
 from gaugeframe.operators import features, generate, scaling, sequences
@@ -307,3 +307,12 @@ def test_stream_score_carries_history(spark, tmp_path):
     assert got == {("a", 3): 3.0, ("a", 4): 5.0, ("b", 3): 30.0}
     late = stream_scoring.read_late(spark, out).collect()
     assert [(r.key, r.t, r.x, r.reason) for r in late] == [("a", 2, 99.0, stream_scoring.LATE)]
+
+
+def test_linear_prediction_makes_its_inputs_once(spark):
+    model = LinearModel(tuple(float(i) for i in range(1, 26)), 0.5)
+    assert str(model.prediction(F.flatten("X"))).count("flatten") == 1
+    rows = spark.createDataFrame([(0, [1.0] * 25), (1, [1.0] * 26), (2, [1.0] * 24), (3, None)], "i int, v array<double>")
+    got = {r.i: r.p for r in rows.select("i", model.prediction(F.col("v")).alias("p")).collect()}
+    assert got == {0: 325.5, 1: 325.5, 2: None, 3: None}
+    assert spark.range(1).select(LinearModel((), 0.5).prediction(F.array(F.lit(1.0)))).first()[0] == 0.5
