@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeframe.models import score, search
 from gaugeframe.models.frames import left_out, to_frame
@@ -316,3 +318,41 @@ def test_linear_prediction_makes_its_inputs_once(spark):
     got = {r.i: r.p for r in rows.select("i", model.prediction(F.col("v")).alias("p")).collect()}
     assert got == {0: 325.5, 1: 325.5, 2: None, 3: None}
     assert spark.range(1).select(LinearModel((), 0.5).prediction(F.array(F.lit(1.0)))).first()[0] == 0.5
+
+
+class _Held(dict):
+    def getValue(self, key):  # noqa: N802
+        return self.get(key)
+
+    updateValue = dict.__setitem__  # noqa: N815
+
+
+def test_stream_state_serves_all_series_of_a_group():
+    state = T.StructType().add("key", "string").add("t", "long").add("x", "double")
+    processor = stream_scoring.LastRows(["key"], ["t"], ["x"], 2, state, None)
+    processor.held = _Held()
+
+    def call(*rows):
+        names = [*state.names, stream_scoring._NULLS]
+        (out,) = processor.handleInputRows((0,), iter([pd.DataFrame([row], columns=names) for row in rows]), None)
+        return [tuple(row) for row in out.itertuples(index=False)]
+
+    assert call(("a", 2, 5.0, 0), ("b", 1, 7.0, 0), ("a", 1, 3.0, 0)) == [
+        ("a", 1, 3.0, None, None), ("a", 2, 5.0, [[3.0], [5.0]], None), ("b", 1, 7.0, None, None)
+    ]
+    assert processor.held == {("a",): ([("a", 2, 5.0)],), ("b",): ([("b", 1, 7.0)],)}
+    assert call(("b", 2, 0.0, 4), ("a", 1, 9.0, 0)) == [
+        ("b", 2, None, [[7.0], [None]], None), ("a", 1, 9.0, None, stream_scoring.LATE)
+    ]
+
+
+def test_stream_score_keeps_keys_beside_null_ones(spark, tmp_path):
+    source, out, schema = str(tmp_path / "in"), str(tmp_path / "run"), "key long, t int, x double"
+    mean = lambda df: sequences.mean_pool(df, 1).select("key", "t", F.get("pooled", F.lit(0)).alias("p"))
+    far = 2**53 + 1
+    for rows in ([(far, 1, 1.0), (None, 1, 10.0), (0, 1, 5.0)], [(far, 2, 2.0), (None, 2, 20.0), (far - 1, 2, 0.0), (0, None, 6.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        stream_scoring.stream_score(stream, out, ["key"], ["t"], ["x"], 2, mean).awaitTermination()
+    assert {(r.key, r.t): r.p for r in stream_scoring.read_scores(spark, out).collect()} == {(far, 2): 1.5, (None, 2): 15.0}
+    assert [(r.key, r.t, r.x) for r in stream_scoring.read_late(spark, out).collect()] == [(0, None, 6.0)]
