@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from gaugeframe.models.frames import fit_rows, predict
 from gaugeframe.models.linear import fitted
 from gaugeframe.models.moments import Moments, moments, squared_loss
 from gaugeframe.models.nonlinear import fit_nonlinear
+from gaugeframe.models.trees import Boosting, Fit
 from gaugeframe.operators.metrics import loss_mse
 from gaugeframe.session import materialize
 from gaugeframe.sources.sinks import append_experiments
@@ -182,66 +183,45 @@ HALVING = (
 )
 
 
-def _boosting_table(train: DataFrame, validation: DataFrame) -> DataFrame:
-    """The complete rows of both sides, stored once, with the part each belongs to."""
-    sides = [fit_rows(side).select("features", "y", F.lit(part).alias("part")) for part, side in (("train", train), ("test", validation))]
-    return materialize(sides[0].unionByName(sides[1]), "boosting")
-
-
-def _rest(i: int) -> str:
-    """The column of what the trees of setting ``i`` leave of the target."""
-    return f"_rest_{i}"
-
-
-def _grown(table: DataFrame, alive: dict[int, dict], trees: int) -> tuple[DataFrame, dict[int, str]]:
-    """The table after ``trees`` more trees for every setting, stored, and the reasons of settings that failed.
-
-    A tree is fitted on what its setting's earlier trees left, so nothing learned is fitted again.
-    """
-    grown, failed = table, {}
-    for i, config in alive.items():
-        step = float(config.get("step", 0.1))
-        learner = DecisionTreeRegressor(
-            featuresCol="features", labelCol=_rest(i), predictionCol="_tree", maxDepth=int(config.get("max_depth", 3)),
-            maxBins=int(config.get("max_bins", 32)), seed=0,
-        )
-        rows, found = table.where("part = 'train'").select("features", _rest(i)), []
-        try:
-            for _ in range(trees):
-                found.append(learner.fit(rows))
-                rows = _left(rows, found[-1], i, step)
-        except Exception as error:  # noqa: BLE001
-            failed[i] = str(error).splitlines()[0]
-        for tree in found:
-            grown = _left(grown, tree, i, step)
-    return materialize(grown, "rung"), failed
-
-
-def _left(rows: DataFrame, tree: DecisionTreeRegressionModel, i: int, step: float) -> DataFrame:
-    return tree.transform(rows).withColumn(_rest(i), F.col(_rest(i)) - step * F.col("_tree")).drop("_tree")
-
-
-def _bracket(table: DataFrame, configs: Sequence[dict], rungs: Sequence[Rung]) -> list[tuple]:
-    """One row per setting and rung; the driver holds the trees of a rung and one row per fit."""
-    rest = F.col("y") - table.where("part = 'train'").agg(F.avg("y")).scalar()
-    alive, done, rows = dict(enumerate(configs)), 0, []
-    table = table.withColumns({_rest(i): rest for i in alive})
-    for rung in rungs:
-        table, failed = _grown(table, alive, rung.budget - done)
-        sums = table.groupBy("part").agg(*[F.avg(F.col(_rest(i)) * F.col(_rest(i))).alias(_rest(i)) for i in alive]).collect()
-        losses = {line["part"]: line for line in sums}
-        loss = {i: None if i in failed or "test" not in losses else losses["test"][_rest(i)] for i in alive}
-        order = sorted(alive, key=lambda i: (loss[i] is None, loss[i] or 0.0, i))
-        for place, i in enumerate(order):
-            train_loss = losses["train"][_rest(i)] if "train" in losses and i not in failed else None
-            settings = ",".join(f"{k}={v}" for k, v in sorted(alive[i].items()))
-            rows.append((rung.bracket, rung.rung, rung.budget, rung.budget - done, settings, train_loss, loss[i], place < rung.kept, failed.get(i)))
-        done = rung.budget
-        alive = {i: alive[i] for i in order[: rung.kept] if i not in failed}
-        if not alive:
-            break
-        table = table.select("features", "y", "part", *[_rest(i) for i in alive])
-    return rows
+def _brackets(train: DataFrame, validation: DataFrame, brackets: Sequence[tuple[Sequence[dict], Sequence[Rung]]]) -> list[tuple]:
+    """One row per setting and rung. The settings of all brackets get their trees side by side (``models.trees``)."""
+    settings = [(b, config) for b, (configs, _) in enumerate(brackets) for config in configs]
+    fits = {
+        key: Fit(int(config.get("max_depth", 3)), float(config.get("step", 0.1)), int(config.get("max_bins", 32)))
+        for key, (_, config) in enumerate(settings)
+    }
+    failed = {key: fit.reason() for key, fit in fits.items() if fit.reason()}
+    sides = [
+        fit_rows(side).select(vector_to_array("features").alias("features"), "y", F.lit(held_out).alias("held_out"))
+        for held_out, side in ((False, train), (True, validation))
+    ]
+    boosting = Boosting(materialize(sides[0].unionByName(sides[1]), "boosting"), [fit.max_bins for key, fit in fits.items() if key not in failed])
+    if boosting.reason:
+        failed = {key: failed.get(key, boosting.reason) for key in fits}
+    alive = [[key for key, (b, _) in enumerate(settings) if b == own] for own in range(len(brackets))]
+    waiting = [list(rungs) for _, rungs in brackets]
+    done, rows = [0] * len(brackets), []
+    for trees in range(max((rung.budget for rungs in waiting for rung in rungs), default=0) + 1):
+        growing = {key: fits[key] for b, keys in enumerate(alive) if waiting[b] for key in keys if key not in failed}
+        if trees and growing:
+            boosting.grow(growing)
+        while due := [b for b, rungs in enumerate(waiting) if rungs and rungs[0].budget == trees]:
+            measured = {key: fits[key] for b in due for key in alive[b] if key not in failed}
+            losses = boosting.losses(measured) if measured else {}
+            for b in due:
+                rung = waiting[b].pop(0)
+                loss = {key: losses.get((key, True)) for key in alive[b]}
+                order = sorted(alive[b], key=lambda key: (loss[key] is None, loss[key] or 0.0, key))
+                for place, key in enumerate(order):
+                    text = ",".join(f"{k}={v}" for k, v in sorted(settings[key][1].items()))
+                    rows.append((
+                        rung.bracket, rung.rung, rung.budget, rung.budget - done[b], text, losses.get((key, False)), loss[key], place < rung.kept, failed.get(key),
+                    ))
+                done[b] = rung.budget
+                alive[b] = [key for key in order[: rung.kept] if key not in failed]
+                if not alive[b]:
+                    waiting[b] = []
+    return sorted(rows, key=lambda row: row[:2])
 
 
 def successive_halving(
@@ -266,7 +246,7 @@ def successive_halving(
         keep = 0 if n == 1 else -(-n // factor)
         rungs.append(Rung(0, len(rungs), budget * factor ** len(rungs), n, max(keep, 1)))
         n = keep
-    rows = _bracket(_boosting_table(train, validation), configs, rungs) if rungs else []
+    rows = _brackets(train, validation, [(configs, rungs)]) if rungs else []
     return spark.createDataFrame(rows, HALVING)
 
 
@@ -277,11 +257,11 @@ def hyperband(
 
     ``space`` names lists of values or (low, high, step) ranges of ``max_depth``, ``step`` and ``max_bins``.
     """
-    table, rungs, rows = _boosting_table(train, validation), hyperband_rungs(largest, factor), []
+    rungs, brackets = hyperband_rungs(largest, factor), []
     for bracket in sorted({rung.bracket for rung in rungs}):
         own = [rung for rung in rungs if rung.bracket == bracket]
-        rows += _bracket(table, drawn_settings(space, own[0].settings, seed + bracket), own)
-    return spark.createDataFrame(rows, HALVING)
+        brackets.append((drawn_settings(space, own[0].settings, seed + bracket), own))
+    return spark.createDataFrame(_brackets(train, validation, brackets), HALVING)
 
 
 def linear_configs(l1: Sequence[float], l2: Sequence[float]) -> list[dict]:

@@ -7,10 +7,11 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.models import score, search
+from gaugeframe.models import score, search, trees
 from gaugeframe.models.frames import left_out, to_frame
 from gaugeframe.models.linear import LinearModel, fit_linear, linear_importance
 from gaugeframe.models.moments import Moments, moments, solve, squared_loss
@@ -260,6 +261,95 @@ def test_halving_goes_on_with_the_trees_it_has(spark, regression):
     assert rows[-1].loss == pytest.approx(once.loss) and rows[-1].train_loss < rows[0].train_loss
 
 
+def _jobs(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_settings_and_brackets_share_their_passes(spark, regression):
+    frame = to_frame(regression[2])
+    train, test = frame.where("seq < 300"), frame.where("seq >= 300")
+    configs = [{"model_type": "boosted", "max_depth": 2, "step": s} for s in (0.5, 0.4, 0.3, 0.2, 0.1, 0.05)]
+
+    def halved(n):
+        return _jobs(spark, f"halving-{n}", lambda: search.successive_halving(spark, train, test, 4, configs[:n], budget=1, factor=6))
+
+    # Both have a rung of one tree and one of six.
+    assert halved(2) == halved(6) < 60
+    space = {"max_depth": [2], "step": (0.1, 0.5, 0.1), "max_bins": [16]}
+    one = _jobs(spark, "one", lambda: search.successive_halving(spark, train, test, 4, [{"model_type": "boosted", "max_depth": 2, "max_bins": 16}], budget=4))
+    # Four trees are grown in either case; three brackets measure at two budgets more.
+    assert _jobs(spark, "brackets", lambda: search.hyperband(spark, train, test, space, 4, 2)) <= one + 6
+
+
+def _few_values(spark, rows=600):
+    """Inputs of few values, so that every cut is a candidate."""
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.integers(0, n, rows) for n in (5, 9, 3, 12)]).astype(float)
+    y = np.sin(x[:, 0]) * x[:, 1] + (x[:, 2] > 1) * x[:, 3] + rng.normal(size=rows) / 3
+    made = [(i, x[i].reshape(2, 2).tolist(), float(y[i])) for i in range(rows)]
+    return to_frame(spark.createDataFrame(made, "seq int, X array<array<double>>, y double"))
+
+
+def test_trees_are_those_of_the_tree_regressor(spark):
+    frame = _few_values(spark).cache()
+    train, test = frame.where("seq < 450"), frame.where("seq >= 450")
+    configs = [{"model_type": "boosted", "max_depth": d, "step": s} for d, s in ((0, 0.5), (1, 0.5), (3, 0.3), (6, 0.2))]
+    got = {config: losses for _, _, _, _, config, *losses, _, _ in search._brackets(train, test, [(configs, [search.Rung(0, 0, 3, 4, 1)])])}
+    mean = train.agg(F.avg("y")).first()[0]
+    for config in configs:
+        table = frame.select("features", "seq", (F.col("y") - mean).alias("rest"))
+        for _ in range(3):
+            tree = DecisionTreeRegressor(featuresCol="features", labelCol="rest", predictionCol="tree", maxDepth=config["max_depth"], seed=0).fit(table.where("seq < 450"))
+            table = tree.transform(table).withColumn("rest", F.col("rest") - config["step"] * F.col("tree")).drop("tree")
+        want = {r.held_out: r.loss for r in table.groupBy((F.col("seq") >= 450).alias("held_out")).agg(F.avg(F.col("rest") * F.col("rest")).alias("loss")).collect()}
+        train_loss, loss = got[f"max_depth={config['max_depth']},model_type=boosted,step={config['step']}"]
+        assert train_loss == pytest.approx(want[False], rel=1e-9)
+        # In nodes of few rows several cuts part the same rows, and rounding decides which is taken.
+        assert loss == pytest.approx(want[True], rel=1e-9 if config["max_depth"] < 4 else 1e-3)
+
+
+def test_passes_and_stored_rests_do_not_change_the_trees(spark, monkeypatch):
+    frame = _few_values(spark)
+    train, test = frame.where("seq < 450"), frame.where("seq >= 450")
+    configs = [{"model_type": "boosted", "max_depth": d, "step": 0.3, "max_bins": b} for d, b in ((2, 16), (4, 300), (3, 8))]
+
+    def losses():
+        rows = search._brackets(train, test, [(configs, [search.Rung(0, 0, 1, 3, 2), search.Rung(0, 1, 3, 2, 1)])])
+        return [(rung, config, kept) for _, rung, _, _, config, _, _, kept, _ in rows], [loss for row in rows for loss in row[5:7]]
+
+    rows, want = losses()
+    monkeypatch.setattr(trees, "CELLS", 150)
+    monkeypatch.setattr(trees, "FOLD", 1)
+    monkeypatch.setattr(trees, "VALUES", 40)
+    again, got = losses()
+    assert again == rows and got == pytest.approx(want, rel=1e-9)
+
+
+def test_a_value_most_rows_share_can_be_cut_off(spark):
+    made = [(i, [[10.0 if i % 40 else 0.001 * i]], float(bool(i % 40))) for i in range(4000)]
+    frame = to_frame(spark.createDataFrame(made, "seq int, X array<array<double>>, y double"))
+    row = search.successive_halving(spark, frame, frame, 1, [{"model_type": "boosted", "max_depth": 1, "step": 1.0, "max_bins": 8}], budget=1).first()
+    assert row.loss == pytest.approx(0.0, abs=1e-12)
+
+
+def test_halving_without_usable_rows_says_why(spark, regression):
+    frame = to_frame(regression[2])
+    test = frame.where("seq >= 300")
+    configs = [{"model_type": "boosted"}, {"model_type": "boosted", "max_bins": 1}]
+    for train, why in ((frame.where("seq < 0"), "no rows"), (frame.where("seq < 300").withColumn("y", F.when(F.col("seq") == 7, float("inf")).otherwise(F.col("y"))), "not finite")):
+        rows = search.successive_halving(spark, train, test, 4, configs).collect()
+        assert [r.loss for r in rows] == [None, None] and why in rows[0].reason and "max_bins 1" in rows[1].reason
+    alone = search.successive_halving(spark, test, frame.where("seq < 0"), 4, configs[:1]).first()
+    assert alone.loss is None and alone.reason is None and alone.train_loss > 0
+    none = search.successive_halving(spark, test, test, 4, configs[:1], budget=0).first()
+    assert none.train_loss == pytest.approx(none.loss) and none.fitted == 0
+
+
 def test_hyperband_brackets():
     assert [(r.bracket, r.rung, r.budget, r.settings, r.kept) for r in search.hyperband_rungs(9, 3)] == [
         (0, 0, 1, 9, 3), (0, 1, 3, 3, 1), (0, 2, 9, 1, 1), (1, 0, 3, 5, 1), (1, 1, 9, 1, 1), (2, 0, 9, 3, 1),
