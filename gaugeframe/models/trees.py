@@ -26,6 +26,8 @@ CELLS = 1 << 21
 FOLD = 4
 #: Inputs handled at once in a task.
 VALUES = 1 << 20
+#: Nodes up to which all cuts of a tree are tried on all rows, column by column; rows go through larger trees level by level.
+SMALL = 64
 #: A gain below the rounding of the sums is none.
 ROUNDING = 1e-12
 
@@ -89,19 +91,27 @@ class Fit:
 
 
 def _place(bins: np.ndarray, tree: tuple) -> np.ndarray:
-    """The node every row ends in."""
+    """The node every row ends in; ``bins`` holds a line per input."""
     depth, feature, edge, left, _ = tree
-    at, rows = np.zeros(len(bins), dtype=np.intp), np.arange(len(bins))
+    n = bins.shape[1]
+    if len(left) <= SMALL:
+        # A node leads to later ones, so those are known when it is reached from the end.
+        ends: list = [None] * len(left)
+        for node in range(len(left) - 1, -1, -1):
+            low = left[node]
+            ends[node] = np.uint8(node) if low == node else np.where(bins[feature[node]] > int(edge[node]), ends[low + 1], ends[low])
+        return np.broadcast_to(ends[0], n)
+    at, rows = np.zeros(n, dtype=np.intp), np.arange(n)
     for _ in range(depth):
-        at = left[at] + (bins[rows, feature[at]] > edge[at])
+        at = left[at] + (bins[feature[at], rows] > edge[at])
     return at
 
 
 def _rest(rests: np.ndarray, bins: np.ndarray, slot: int, step: float, trees: Sequence[tuple]) -> np.ndarray:
     """What the trees of a setting leave of the target."""
-    rest = rests[:, slot]
+    rest = rests[slot]
     for tree in trees:
-        rest = rest - step * tree[4][_place(bins, tree)]
+        rest = rest - (step * tree[4]).take(_place(bins, tree))
     return rest
 
 
@@ -122,22 +132,17 @@ def _unpacked(column: pa.Array, width: int, kind: np.dtype) -> np.ndarray:
     return held.view(kind).reshape(len(column), width)
 
 
-def _lists(values: np.ndarray) -> pa.Array:
-    n, size = values.shape
-    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * size, pa.array(values.ravel()))
-
-
 def _kind(max_bins: int) -> np.dtype:
     return np.min_scalar_type(max_bins - 1)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], width: int, limits: Sequence[int]) -> Iterator[tuple[pa.RecordBatch, dict[int, np.ndarray], np.ndarray]]:
-    """Slices of the stored rows, their bins by limit and their rests."""
+    """Slices of the stored rows, and their bins by limit and their rests, a line per input or setting."""
     for batch in batches:
         for first in range(0, batch.num_rows, max(VALUES // width, 1)):
             part = batch.slice(first, max(VALUES // width, 1))
-            bins = {m: _unpacked(part.column(_column(m)), width, _kind(m)) for m in limits}
-            yield part, bins, part.column("rests").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            bins = {m: np.ascontiguousarray(_unpacked(part.column(_column(m)), width, _kind(m)).T) for m in limits}
+            yield part, bins, np.ascontiguousarray(_unpacked(part.column("rests"), -1, np.dtype(float)).T)
 
 
 def edges(rows: DataFrame, limits: Sequence[int]) -> dict[int, dict[int, np.ndarray]]:
@@ -188,6 +193,7 @@ class Boosting:
             self.reason = f"sequences of {about['least']} to {about['most']} inputs"
         if self.reason is None and self.limits:
             self.table = self._binned(rows, about["mean"], edges(fitted_on, self.limits))
+            self.counts: dict[int, np.ndarray] = {}  # of all rows by input and bin, by limit
 
     def _binned(self, rows: DataFrame, mean: float, cuts: dict[int, dict[int, np.ndarray]]) -> DataFrame:
         width, limits = self.width, self.limits
@@ -203,10 +209,10 @@ class Boosting:
                         bins[:, j] = np.searchsorted(cuts[m][j], x[:, j])
                     out.append(_packed(bins))
                 yield pa.RecordBatch.from_arrays(
-                    [*out, _lists(rest), batch.column("held_out")], names=[*map(_column, limits), "rests", "held_out"]
+                    [*out, _packed(rest), batch.column("held_out")], names=[*map(_column, limits), "rests", "held_out"]
                 )
 
-        schema = ", ".join([*(f"{_column(m)} binary" for m in limits), "rests array<double>", "held_out boolean"])
+        schema = ", ".join([*(f"{_column(m)} binary" for m in limits), "rests binary", "held_out boolean"])
         fits = F.when(F.size("features") == width, F.col("features")).otherwise(F.raise_error(F.lit(f"a sequence does not have {width} inputs")))
         return materialize(rows.withColumn("features", fits).mapInArrow(run, schema), "boosting-bins")
 
@@ -251,21 +257,29 @@ class Boosting:
             place[own] = np.arange(len(own))
             plan.append((key, fits[key].slot, fits[key].step, fits[key].max_bins, earlier, tree, place, len(own)))
 
+        # The rows of a first node are the same for all settings and trees.
+        counted = {m for _, _, _, m, _, tree, _, _ in plan if len(tree[3]) == 1 and m in self.counts}
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = {key: (np.zeros(n * width * m), np.zeros(n * width * m)) for key, _, _, m, _, _, _, n in plan}
+            sums = {key: np.zeros((2, width, n * m)) for key, _, _, m, _, _, _, n in plan}
             for _, bins, rests in _parts(batches, width, limits):
-                cells = {m: np.arange(width) * m + bins[m] for m in limits}
-                for key, slot, step, m, earlier, tree, place, _ in plan:
-                    rest, at, cell = _rest(rests, bins[m], slot, step, earlier), place[_place(bins[m], tree)], cells[m]
-                    if (at < 0).any():
-                        own = at >= 0
-                        rest, at, cell = rest[own], at[own], cell[own]
-                    flat = (cell + (at * (width * m))[:, None]).ravel()
+                for key, slot, step, m, earlier, tree, place, n in plan:
+                    rest, at, columns, root = _rest(rests, bins[m], slot, step, earlier), None, bins[m], len(tree[3]) == 1
+                    if not root:
+                        at = place.take(_place(bins[m], tree))
+                        if (at < 0).any():
+                            own = np.flatnonzero(at >= 0)
+                            rest, at, columns = rest[own], at[own], columns[:, own]
+                        at = at * m
                     counts, totals = sums[key]
-                    counts += np.bincount(flat, minlength=len(counts))
-                    totals += np.bincount(flat, weights=np.repeat(rest, width), minlength=len(totals))
-            for key, (counts, totals) in sums.items():
-                on = np.flatnonzero(counts)
+                    for j, column in enumerate(columns):
+                        cell = column.astype(np.intp) if root else at + column
+                        if not (root and m in counted):
+                            counts[j] += np.bincount(cell, minlength=n * m)
+                        totals[j] += np.bincount(cell, weights=rest, minlength=n * m)
+            for key, _, _, m, _, tree, _, n in plan:
+                counts, totals = (side.reshape(width, n, m).transpose(1, 0, 2).ravel() for side in sums[key])
+                on = np.flatnonzero(totals if len(tree[3]) == 1 and m in counted else counts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(on), key, dtype=np.int32)), pa.array(on), pa.array(counts[on].astype(np.int64)), pa.array(totals[on])],
                     names=["fit", "cell", "n", "s"],
@@ -274,10 +288,13 @@ class Boosting:
         rows = self.table.where("not held_out").select(*map(_column, limits), "rests")
         merged = rows.mapInArrow(run, "fit int, cell long, n long, s double").groupBy("fit", "cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
         fit, cell, n, s = (column.to_numpy() for column in merged.columns)
-        for key, *_, m, _, _, _, count in plan:
+        for key, _, _, m, _, tree, _, count in plan:
             sides = np.zeros((2, count * width * m))
             sides[:, cell[fit == key]] = n[fit == key], s[fit == key]
-            found[key].append(tuple(sides.reshape(2, count, width, m)))
+            counts, totals = sides.reshape(2, count, width, m)
+            if len(tree[3]) == 1:
+                counts = self.counts.setdefault(m, counts)
+            found[key].append((counts, totals))
 
     def losses(self, fits: dict[int, Fit]) -> dict[tuple[int, bool], float]:
         """The mean squared error of every setting on (fit, held out) rows; a side without rows has none."""
@@ -313,7 +330,7 @@ class Boosting:
             for part, bins, rests in _parts(batches, width, limits):
                 left = np.column_stack([_rest(rests, bins[m], slot, step, trees) for slot, step, m, trees in plan])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(name) for name in names[:-2]), _lists(left), part.column("held_out")], names=names
+                    [*(part.column(name) for name in names[:-2]), _packed(left), part.column("held_out")], names=names
                 )
 
         table = self.table.select(*names)

@@ -159,13 +159,14 @@ _GRID_SEARCH_SQL = f"""{_with({str(i): (c['l1'], c['l2']) for i, c in enumerate(
     FROM test, fits JOIN named ON name = run_id::VARCHAR GROUP BY run_id, config"""
 
 
-_SPACE = {"max_depth": (1, 3, 1), "step": (0.1, 0.5, 0.1), "max_bins": [16, 32]}
-_LARGEST, _FACTOR = 4, 2
+# The searched ranges: levels as layers, step as dropout rate, bins as units; the trees of the longest fit as its epochs.
+_SPACE = {"max_depth": (1, 4, 1), "step": (0.1, 0.5, 0.1), "max_bins": (32, 128, 32)}
+_LARGEST, _FACTOR = 20, 3
 
 
 def _halving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rungs of all brackets, with what must hold of their losses whatever the data."""
-    train, test = _frames(spark, sf_dir, 2)
+    train, test = _frames(spark, sf_dir)
     runs = search.hyperband(spark, train, test, _SPACE, _LARGEST, _FACTOR)
     before = Window.partitionBy("bracket", "config").orderBy("rung")
     runs = runs.withColumn("fell", F.coalesce(F.col("train_loss") <= F.lag("train_loss").over(before) + 1e-9, F.lit(True)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -17,6 +19,7 @@ from gaugeframe.models.linear import LinearModel, fit_linear, linear_importance
 from gaugeframe.models.moments import Moments, moments, solve, squared_loss
 from gaugeframe.models.nonlinear import fit_nonlinear
 from gaugeframe.operators import features, generate, scaling, sequences
+from gaugeframe.queries import modeling
 from gaugeframe.schemas import feature_names
 from gaugeframe.sources import sinks
 from gaugeframe.streaming import score as stream_scoring
@@ -446,3 +449,31 @@ def test_stream_score_keeps_keys_beside_null_ones(spark, tmp_path):
         stream_scoring.stream_score(stream, out, ["key"], ["t"], ["x"], 2, mean).awaitTermination()
     assert {(r.key, r.t): r.p for r in stream_scoring.read_scores(spark, out).collect()} == {(far, 2): 1.5, (None, 2): 15.0}
     assert [(r.key, r.t, r.x) for r in stream_scoring.read_late(spark, out).collect()] == [(0, None, 6.0)]
+
+
+def test_the_registered_search_is_whole(spark, monkeypatch, tmp_path):
+    """All inputs at five steps, twenty trees by thirds, and ranges as wide as those searched for networks."""
+    seen = {}
+
+    def hyperband(spark, train, test, space, largest, factor):
+        seen.update(width=len(train.first()["X"]), space=space, rungs=search.hyperband_rungs(largest, factor))
+        return spark.createDataFrame([], search.HALVING)
+
+    rows = [(i, datetime(2024, 1, 1, 0, i), i % 3, "view", float(i), '{"k": %d}' % i) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(search, "hyperband", hyperband)
+    modeling.QUERIES["successive_halving"][0](spark, str(tmp_path)).collect()
+    assert seen["width"] == 5
+    assert [(r.bracket, r.budget, r.settings) for r in seen["rungs"]] == [(0, 2, 9), (0, 6, 3), (0, 20, 1), (1, 6, 5), (1, 20, 1), (2, 20, 3)]
+    values = {name: round((high - low) / step) + 1 for name, (low, high, step) in seen["space"].items()}
+    assert values == {"max_depth": 4, "step": 5, "max_bins": 4}
+
+
+def test_rows_go_through_small_and_large_trees_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    tree = trees.Tree([0, 2, 0, 1, 0, 0, 0], [4, 3, 1 << 40, 2, 1 << 40, 1 << 40, 1 << 40], [1, 3, 2, 5, 4, 5, 6], [0.0] * 7, 3)
+    bins = rng.integers(0, 9, (3, 500), dtype=np.uint8)
+    small = trees._place(bins, tree.arrays())
+    monkeypatch.setattr(trees, "SMALL", 0)
+    assert small.tolist() == trees._place(bins, tree.arrays()).tolist() and set(small.tolist()) == {2, 4, 5, 6}
