@@ -24,6 +24,8 @@ from gaugeframe.llm.data import stored
 BYTE_SLICE, WORD_SLICE = 32 << 10, 128 << 10
 OUT_BYTES = 256 << 10
 ANCHOR_ROWS = 50_000
+# Anchors a task gathers before it deals them out, by the highest bits of their hash; anchors compared at once, and told at once.
+DEALT_ROWS, DEALT_BITS, COMPARED_ROWS = 1 << 18, 12, 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -94,6 +96,15 @@ def anchors(seq: Sequences, k: int, window: int) -> Anchors:
     return Anchors(at, mix(gram[at]), context, at - start, end - at)
 
 
+def anchors_of(doc: np.ndarray, u: np.ndarray, first: int, seq: Sequences, k: int, window: int) -> list[np.ndarray]:
+    """The columns h, c, doc, u, pos and reach (left * 65536 + right) of the anchors of texts of a batch."""
+    a = anchors(seq, k, window)
+    text = np.searchsorted(seq.bounds, a.at, side="right") - 1
+    row = first + text
+    columns = [a.hash.view(np.int64), a.context.view(np.int64), doc[row], u[row], (a.at - seq.bounds[text]).astype(np.int32)]
+    return [*columns, (a.left * 65536 + a.right).astype(np.int32)]
+
+
 def anchor_rows(docs: DataFrame, tokens: Callable[[pa.Array], Iterator[tuple[int, Sequences]]], k: int, window: int) -> DataFrame:
     """(h, c, doc, u, pos, reach) of every anchor of ``docs`` (doc, u, t); reach is left * 65536 + right."""
 
@@ -103,12 +114,8 @@ def anchor_rows(docs: DataFrame, tokens: Callable[[pa.Array], Iterator[tuple[int
             doc, u = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             held, size = [], 0
             for first, seq in tokens(batch.column(2)):
-                a = anchors(seq, k, window)
-                text = np.searchsorted(seq.bounds, a.at, side="right") - 1
-                row = first + text
-                columns = [a.hash.view(np.int64), a.context.view(np.int64), doc[row], u[row], (a.at - seq.bounds[text]).astype(np.int32)]
-                held.append([*columns, (a.left * 65536 + a.right).astype(np.int32)])
-                size += len(row)
+                held.append(anchors_of(doc, u, first, seq, k, window))
+                size += len(held[-1][0])
                 if size > ANCHOR_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
                     held, size = [], 0
@@ -154,11 +161,129 @@ def compared(found: DataFrame, order: tuple[str, ...]) -> Compared:
     told = found.join(classes.join(several, "h", "left"), ["h", "c"])
     later = F.struct(*order) > F.col("first")
     told = told.where(later | F.col("n").isNotNull()).select(F.when(~later, F.col("h")).alias("key"), F.when(~later, F.col("n")).alias("n"), "doc", "u", "pos", "reach")
-    told = stored(told, "compared")
+    return split(stored(told, "compared"))
+
+
+def split(told: DataFrame) -> Compared:
     whole = told.where("key is null").select("doc", "u", (F.col("pos") - left_of()).alias("start"), (F.col("pos") + right_of()).alias("end"))
     return Compared(whole, told.where("key is not null"))
 
 
+ANCHOR = np.dtype([("h", "<i8"), ("c", "<i8"), ("doc", "<i8"), ("u", "<i8"), ("pos", "<i4"), ("reach", "<i4")])
+PLACE = np.dtype([("doc", "<i8"), ("u", "<i8"), ("pos", "<i4"), ("reach", "<i4")])
+
+
+class Classes(NamedTuple):
+    """Anchors in the order of hash, context and place: whether an earlier one has their context, and how many contexts their hash has."""
+
+    rows: np.ndarray
+    later: np.ndarray
+    n: np.ndarray
+
+
+def classes_of(rows: np.ndarray) -> Classes:
+    rows = rows[np.lexsort([rows[name] for name in ("u", "pos", "doc", "c", "h")])]
+    new_hash = np.append(True, rows["h"][1:] != rows["h"][:-1])[: len(rows)]
+    heads = new_hash | np.append(True, rows["c"][1:] != rows["c"][:-1])[: len(rows)]
+    first = rows[np.flatnonzero(heads)][np.cumsum(heads) - 1]
+    later = (rows["doc"] != first["doc"]) | (rows["pos"] != first["pos"]) | (rows["u"] != first["u"])
+    starts = np.flatnonzero(new_hash)
+    n = np.add.reduceat(heads, starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
+    return Classes(rows, later, n[np.cumsum(new_hash) - 1])
+
+
+def by_hash(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors whose hash no other has, the others)."""
+    order = np.argsort(rows["h"])
+    h = rows["h"][order]
+    same = h[1:] == h[:-1]
+    alone = ~(np.append(same, False) | np.append(False, same))[: len(rows)]
+    return rows[order[alone]], rows[order[~alone]]
+
+
+def compared_at_once(docs: DataFrame, tokens: Callable[[pa.Array], Iterator[tuple[int, Sequences]]], k: int, window: int) -> Compared:
+    """What :func:`compared` tells of all repeated anchors, by place (doc, pos, u), after one pass over the texts and one shuffle.
+
+    Anchors travel packed, dealt by the highest bits of their hash. A task first compares its own
+    anchors and deals out only the earliest of every context, so a context that a great many texts
+    share is one anchor a task; the others are told at once.
+    """
+
+    def told(rows: np.ndarray, key: np.ndarray | None = None, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        none = None if key is not None else pa.nulls(len(rows), pa.int64())
+        columns = [pa.array(key) if none is None else none, pa.array(n) if none is None else none]
+        columns += [pa.array(np.ascontiguousarray(rows[name])) for name in ("doc", "u", "pos", "reach")]
+        table = pa.RecordBatch.from_arrays(columns, names=["key", "n", "doc", "u", "pos", "reach"])
+        for at in range(0, len(rows), ANCHOR_ROWS):
+            yield table.slice(at, ANCHOR_ROWS)
+
+    def dealt(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows = np.empty(sum(len(part[0]) for part in held), dtype=ANCHOR)
+        for name, parts in zip(ANCHOR.names, zip(*held)):
+            rows[name] = np.concatenate(parts)
+        alone, others = by_hash(rows)
+        own = classes_of(others)
+        rows, gone = np.concatenate([alone, own.rows[~own.later]]), own.rows[own.later]
+        share = rows["h"] >> (64 - DEALT_BITS)
+        order = np.argsort(share, kind="stable")
+        rows, share = rows[order], share[order]
+        starts = np.flatnonzero(np.append(True, share[1:] != share[:-1])[: len(share)])
+        # What is told already goes along, in equal parts.
+        places = np.empty(len(gone), dtype=PLACE)
+        for name in PLACE.names:
+            places[name] = gone[name]
+        columns = [pa.array(share[starts].astype(np.int32)), packed(rows, np.append(starts, len(rows))), packed(places, np.linspace(0, len(gone), len(starts) + 1).astype(np.int64))]
+        table = pa.RecordBatch.from_arrays(columns, names=["share", "anchors", "told"])
+        for at in range(0, len(starts), 1 << 10):
+            yield table.slice(at, 1 << 10)
+
+    def packed(rows: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        size = rows.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int32)), pa.py_buffer(rows.tobytes())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            doc, u = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for first, seq in tokens(batch.column(2)):
+                held.append(anchors_of(doc, u, first, seq, k, window))
+                size += len(held[-1][0])
+                if size >= DEALT_ROWS:
+                    yield from dealt(held)
+                    held, size = [], 0
+        if size:
+            yield from dealt(held)
+
+    def settled(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        _, others = by_hash(np.frombuffer(b"".join(held), dtype=ANCHOR))
+        found = classes_of(others)
+        yield from told(found.rows[found.later])
+        open_ = ~found.later & (found.n > 1)
+        yield from told(found.rows[open_], np.ascontiguousarray(found.rows["h"][open_]), found.n[open_])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last, places, known = [], 0, None, [], 0
+        for batch in batches:
+            for share, rows, told_already in zip(*(column.to_pylist() for column in batch.columns)):
+                if share != last and size >= COMPARED_ROWS * ANCHOR.itemsize:
+                    yield from settled(held)
+                    held, size = [], 0
+                last = share
+                held.append(rows)
+                size += len(rows)
+                places.append(told_already)
+                known += len(told_already)
+            if known >= ANCHOR_ROWS * PLACE.itemsize:
+                yield from told(np.frombuffer(b"".join(places), dtype=PLACE))
+                places, known = [], 0
+        yield from told(np.frombuffer(b"".join(places), dtype=PLACE))
+        yield from settled(held)
+
+    parts = docs.where("doc is not null").select("doc", "u", "t").mapInArrow(deal, "share int, anchors binary, told binary")
+    parts = parts.repartition("share").sortWithinPartitions("share")
+    return split(stored(parts.mapInArrow(settle, "key long, n long, doc long, u long, pos int, reach int"), "compared"))
+
+
 def left_of():
     return F.floor(F.col("reach") / 65536).cast("int")
 

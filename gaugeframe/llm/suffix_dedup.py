@@ -2,8 +2,8 @@
 
 Every byte of a string of ``window`` bytes that also starts earlier goes. Winnowed anchors
 (byte k-grams, one at least in any window) bring equal strings together; copies whose whole
-context around an anchor is equal are aggregated first. The different contexts of an anchor
-are then laid end to end, a few groups at a time, and their suffixes sorted by grouping
+context around an anchor is equal are aggregated first. The different contexts of an anchor,
+cut to what they may share, are then laid end to end, a few groups at a time, and their suffixes sorted by grouping
 (``grouping.suffix_array``); windows that are equal stand next to each other in that order, and
 all but the earliest are removed. Anchors of more than ``TOGETHER`` contexts (a passage in a
 great many different surroundings) first meet their earliest context, and only contexts that
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.anchors import anchor_rows, byte_sequences, compared, contexts, covered, extended, numbered, repeated_anchors, unsqueezed, with_spans
+from gaugeframe.llm.anchors import byte_sequences, compared_at_once, contexts, covered, extended, numbered, unsqueezed, with_spans
 from gaugeframe.llm.data import read
 from gaugeframe.llm.grouping import suffix_array
 
@@ -37,9 +37,11 @@ GRAM = 24
 ORDER = ("doc", "pos", "u")
 TOGETHER = 64
 SORTED_CONTEXTS = 64
-BLOCK = 8
-# Groups up to this size are freed of contexts that share no window before they are sorted.
-PAIRED = 12
+BLOCK = 64
+# Contexts of groups up to this size are cut to what they may share before they are sorted.
+PAIRED = 2 * TOGETHER
+# Bytes of an Arrow batch, which the JVM and Python hold several times.
+BATCH_BYTES = 4 << 20
 
 
 def repeated_windows(rows: list[tuple[int, tuple, int, bytes]], window: int) -> list[list[int]]:
@@ -98,20 +100,35 @@ def agreement(a: bytes, b: bytes) -> int:
     return low
 
 
+def agreements(sides: list[bytes]) -> np.ndarray:
+    """Lengths of the common beginnings of all pairs."""
+    lengths = np.array([len(side) for side in sides])
+    width = int(lengths.max()) + 1
+    table = np.frombuffer(b"".join(side.ljust(width, b"\0") for side in sides), dtype=np.uint8).reshape(-1, width)
+    differ = table[:, None] != table[None]
+    differ[:, :, -1] = True
+    return np.minimum(differ.argmax(axis=2), np.minimum.outer(lengths, lengths))
+
+
 def with_partner(rows: list[tuple], window: int) -> list[tuple]:
-    """The contexts (key, ..., left, data) of one key less those that cannot share a window with any other.
+    """The contexts (key, ..., left, data) of one key less those that cannot share a window with any other,
+    cut to the bytes that a window shared with any other may have.
 
-    Only small groups are looked through; larger ones stay whole.
+    Equal windows hold the anchor at the same place, so both contexts agree around it that far. Very large groups stay whole.
     """
-    if len(rows) > PAIRED:
-        return rows
-    sides = [(data[:left][::-1], data[left:]) for *_, left, data in rows]
-    kept = set()
-    for i, (left, right) in enumerate(sides):
-        for j in range(i):
-            if agreement(left, sides[j][0]) + agreement(right, sides[j][1]) >= window:
-                kept |= {i, j}
-    return [rows[i] for i in sorted(kept)]
+    if not 1 < len(rows) <= PAIRED:
+        return rows if len(rows) > 1 else []
+    lefts, rights = zip(*((data[:left][::-1], data[left:]) for *_, left, data in rows))
+    if len(rows) == 2:
+        before, after = agreement(*lefts), agreement(*rights)
+        most = [(before, after) if before + after >= window else None] * 2
+    else:
+        before, after = agreements(lefts), agreements(rights)
+        shared = before + after >= window
+        np.fill_diagonal(shared, False)
+        befores, afters = (np.where(shared, side, 0).max(axis=1).tolist() for side in (before, after))
+        most = [(x, y) if any_ else None for x, y, any_ in zip(befores, afters, shared.any(axis=1).tolist())]
+    return [(*row[:-2], reach[0], row[-1][row[-2] - reach[0] : row[-2] + reach[1]]) for row, reach in zip(rows, most) if reach]
 
 
 def sorted_spans(group: DataFrame, window: int) -> DataFrame:
@@ -159,7 +176,7 @@ def sorted_spans(group: DataFrame, window: int) -> DataFrame:
 
 def repeated_strings(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
     """Byte spans (doc, u, start, end) of windows that start earlier too; ``docs``: doc, u, t."""
-    split = compared(repeated_anchors(anchor_rows(docs, byte_sequences, k, window)), ORDER)
+    split = compared_at_once(docs, byte_sequences, k, window)
     spans, rest = split.whole, contexts(docs, split.open, 1, bytes)
     while True:
         spans = spans.union(sorted_spans(rest.where(F.col("n") <= TOGETHER), window))
@@ -181,6 +198,7 @@ def kept_bytes(text: bytes, starts: list[int] | None, ends: list[int] | None) ->
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept): every document without repeated strings."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     source = numbered(docs, key, text)
     held = with_spans(source, repeated_strings(source, window))
 

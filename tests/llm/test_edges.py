@@ -486,3 +486,58 @@ def test_near_duplicates_with_ids_that_are_not_sent(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SHINGLES", 100)
     assert sorted(map(tuple, near_dedup.near_duplicates(docs, k=2).collect())) == want
     assert {c for i, _, c in want if i < 20} == {0}
+
+
+def _passages(spark):
+    """Texts in which passages stand in the same and in different surroundings, some under one key."""
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("abc ") for _ in range(rng.randint(30, 200))) for _ in range(12)]
+    rows = [(rng.randint(0, 70), "".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))) for _ in range(90)]
+    return spark.createDataFrame([*rows, *rows[:5], (None, rows[0][1]), (99, None)], "doc_id long, text string")
+
+
+def test_anchors_compared_at_once(spark, monkeypatch):
+    docs = anchors.numbered(_passages(spark), "doc_id", "text").repartition(3).cache()
+
+    def rows(split):
+        return sorted(split.whole.collect()), sorted(split.open.collect())
+
+    want = rows(anchors.compared(anchors.repeated_anchors(anchors.anchor_rows(docs, anchors.byte_sequences, 24, 100)), suffix_dedup.ORDER))
+    assert want[0] and want[1]
+    assert rows(anchors.compared_at_once(docs, anchors.byte_sequences, 24, 100)) == want
+    for name, value in (("DEALT_ROWS", 20), ("COMPARED_ROWS", 7), ("ANCHOR_ROWS", 3)):
+        monkeypatch.setattr(anchors, name, value)
+    assert rows(anchors.compared_at_once(docs, anchors.byte_sequences, 24, 100)) == want
+
+
+def test_texts_are_cut_into_anchors_once(spark, monkeypatch, tmp_path):
+    seen, cut = str(tmp_path / "seen"), anchors.byte_sequences
+
+    def byte_sequences(column):
+        with open(seen, "a") as file:
+            file.write("x" * len(column))
+        return cut(column)
+
+    monkeypatch.setattr(suffix_dedup, "byte_sequences", byte_sequences)
+    docs = spark.createDataFrame([(i, chr(97 + i) * 50 + "shared by all of them, word for word, " * 4) for i in range(9)], "doc_id long, text string")
+    assert sum(r.n_removed > 0 for r in suffix_dedup.suffix_dedup(docs).collect()) == 9
+    assert len((tmp_path / "seen").read_text()) == 9
+
+
+@pytest.mark.parametrize("size", [2, 3, 20])
+def test_contexts_are_cut_to_what_they_share(size):
+    rng = random.Random(size)
+    window, anchor, found = 12, b"anchor", 0
+    for _ in range(60):
+        sides = [tuple(bytes(rng.choice(b"aaaaab") for _ in range(rng.randint(2, 6))) for _ in range(2)) for _ in range(size)]
+        rows = [(7, i // 2, 0, 100 + i, len(a), a + anchor + b) for i, (a, b) in enumerate(sides) if len(a + b) >= 6]
+
+        def spans(contexts):
+            windows = suffix_dedup.repeated_windows([(key, (doc, pos - left, u), left, data) for key, doc, u, pos, left, data in contexts], window) if contexts else []
+            return {(doc, pos - left + j) for (_, doc, _, pos, left, _), own in zip(contexts, windows) for j in own}
+
+        cut = suffix_dedup.with_partner(rows, window)
+        assert spans(cut) == spans(rows)
+        assert sum(len(data) for *_, data in cut) <= sum(len(data) for *_, data in rows)
+        found += len(spans(cut))
+    assert found
